@@ -22,7 +22,8 @@ def staged_slots(spark, d):
 
 
 def graph(slots):
-    return spatial.knn_graph(spatial.canonical_sites(slots))
+    """The neighbour table, written once like the slot table: k rows per site."""
+    return stage(spatial.knn_graph(spatial.canonical_sites(slots)), "edges")
 
 
 def feature_rows(spark, d):

@@ -147,7 +147,7 @@ def flag_above_quantile(
     df: DataFrame, score: str, share: float = fixed.ANOMALY_SHARE, output: str = "anomaly_flag"
 ) -> DataFrame:
     """1 where the score lies strictly above the exact (1 - share) quantile."""
-    cut = exact_quantiles(df, score, [1.0 - share]).select(F.col("quantiles")[0]).scalar()
+    cut = exact_quantiles(df, score, [1.0 - share], few_groups=True).select(F.col("quantiles")[0]).scalar()
     return df.withColumn(output, (F.col(score) > cut).cast("int"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,7 @@ def _block_sums(features: list[str], classes: list):
     """Distance sums from the rows of one block to each cluster of another block."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_columns = ["_id", "_label", "_sums"]
+        out_columns = ["_by", "_id", "_label", "_sums"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=out_columns)
         a, b = left[features].to_numpy(float), right[features].to_numpy(float)
@@ -70,58 +71,75 @@ def _block_sums(features: list[str], classes: list):
             part = b[i : i + 256]
             gap = np.sqrt(((a[:, None, :] - part[None, :, :]) ** 2).sum(axis=2))
             sums += gap @ member[i : i + 256]
-        return pd.DataFrame({"_id": left["_id"], "_label": left["_label"], "_sums": list(sums)})
+        return pd.DataFrame(
+            {"_by": left["_by"], "_id": left["_id"], "_label": left["_label"], "_sums": list(sums)}
+        )
 
     return run
 
 
 def silhouette_euclidean(
-    df: DataFrame, label: str, features: Sequence[str], key: str, block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    label: str,
+    features: Sequence[str],
+    key: str,
+    by: str | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean silhouette under plain Euclidean distance, exact.
+    """Mean silhouette under plain Euclidean distance, exact; one row per ``by`` (labelling) if given.
 
     The measure needs every distance between two sites, so the cost grows with the square of the number of
     sites (not of readings); ``silhouette_squared`` is the linear measure for large site tables. Rows are
     cut into blocks and each task handles one pair of blocks, from which only per-cluster sums leave.
     """
-    rows = stage(df.select(F.col(key).cast("string").alias("_id"), F.col(label).alias("_label"), *features))
+    rows = stage(
+        df.select(
+            (F.col(by) if by else F.lit(0)).alias("_by"),
+            F.col(key).cast("string").alias("_id"),
+            F.col(label).cast("int").alias("_label"),
+            *features,
+        ),
+        "labelled",
+    )
     classes = sorted(r[0] for r in rows.select("_label").distinct().collect())  # one value per cluster
     blocks = max(1, -(-rows.count() // block_rows))
-    parts = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = rows.withColumn("_own", parts)
+    placed = rows.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
     asking = placed.withColumn("_other", F.explode(every))
     giving = placed.withColumnRenamed("_own", "_other").withColumn("_own", F.explode(every))
+    pair = ["_by", "_own", "_other"]
     sums = (
-        asking.groupBy("_own", "_other")
-        .cogroup(giving.groupBy("_own", "_other"))
+        asking.groupBy(*pair)
+        .cogroup(giving.groupBy(*pair))
         .applyInPandas(
             _block_sums(list(features), classes),
-            "_id string, _label " + dict(rows.dtypes)["_label"] + ", _sums array<double>",
+            f"_by {dict(rows.dtypes)['_by']}, _id string, _label int, _sums array<double>",
         )
     )
-    per_row = sums.groupBy("_id", "_label").agg(
+    per_row = sums.groupBy("_by", "_id", "_label").agg(
         *[F.sum(F.col("_sums")[i]).alias(f"_s{i}") for i in range(len(classes))]
     )
-    sizes = rows.groupBy("_label").count()
-    counts = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_label", "count")))).scalar()
-    mean = [
-        F.col(f"_s{i}") / F.when(F.col("_label") == c, F.col("_n")[F.lit(c)] - 1).otherwise(F.col("_n")[F.lit(c)])
-        for i, c in enumerate(classes)
-    ]
-    alone = F.col("_n")[F.col("_label")] <= 1
-    own = F.coalesce(*[F.when((F.col("_label") == c) & ~alone, m) for c, m in zip(classes, mean)])
-    others = [F.when(F.col("_label") != c, m) for c, m in zip(classes, mean)]
-    nearest = F.array_min(F.array(*others))
-    value = F.when(alone, 0.0).otherwise(
+    # One row per labelling.
+    sizes = rows.groupBy("_by").agg(
+        *[F.count_if(F.col("_label") == c).alias(f"_n{i}") for i, c in enumerate(classes)]
+    )
+    own, others, mates = [], [], []
+    for i, c in enumerate(classes):
+        mine = F.col("_label") == c
+        own.append(F.when(mine, F.try_divide(F.col(f"_s{i}"), F.col(f"_n{i}") - 1)))
+        others.append(F.when(~mine, F.try_divide(F.col(f"_s{i}"), F.col(f"_n{i}"))))
+        mates.append(F.when(mine, F.col(f"_n{i}")))
+    value = F.when(F.coalesce(*mates) <= 1, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
     )
-    return (
-        per_row.withColumn("_n", counts)
-        .withColumn("_a", own)
-        .withColumn("_b", nearest)
+    scored = (
+        per_row.join(F.broadcast(sizes), "_by")
+        .withColumn("_a", F.coalesce(*own))
+        .withColumn("_b", F.array_min(F.array(*others)))
+        .groupBy("_by")
         .agg(F.avg(value).alias("silhouette"))
     )
+    return scored.withColumnRenamed("_by", by) if by else scored.drop("_by")
 
 
 def standardised(profiles: DataFrame, features: Sequence[str], output: str = "scaled") -> DataFrame:
@@ -149,19 +167,29 @@ def choose_clusters(
     wide = VectorAssembler(inputCols=names, outputCol="features")
     rows = stage(standardised(profiles, features))
     n = rows.count()
-    best = None
-    for k in range(2, min(largest_k, n - 1) + 1):
-        model = KMeans(k=k, seed=fixed.SEED, maxIter=100, tol=1e-6, initSteps=5).fit(wide.transform(rows))
-        labelled = model.transform(wide.transform(rows)).withColumnRenamed("prediction", "cluster")
-        if measure == "euclidean":
-            found = silhouette_euclidean(labelled, "cluster", names, key)
-        else:
-            found = silhouette_squared(labelled, "cluster", names)
-        value = found.first()["silhouette"]
-        if best is None or value > best[0]:
-            best = (value, k, labelled)
-    if best is None:
+    if n < 3:
         raise ValueError("clustering needs at least three sites")
+    ready = wide.transform(rows)
+    candidates = {
+        k: KMeans(k=k, seed=fixed.SEED, maxIter=100, tol=1e-6, initSteps=5)
+        .fit(ready)
+        .transform(ready)
+        .withColumnRenamed("prediction", "cluster")
+        for k in range(2, min(largest_k, n - 1) + 1)
+    }
+    # All labellings in one frame, judged together.
+    every = reduce(
+        DataFrame.unionByName,
+        [df.select(key, "cluster", *names, F.lit(k).alias("k")) for k, df in candidates.items()],
+    )
+    if measure == "euclidean":
+        values = {r["k"]: r["silhouette"] for r in silhouette_euclidean(every, "cluster", names, key, "k").collect()}
+    else:
+        values = {
+            k: silhouette_squared(df, "cluster", names).first()["silhouette"] for k, df in candidates.items()
+        }
+    best_k = min(values, key=lambda k: (-values[k], k))
+    best = (values[best_k], best_k, candidates[best_k])
     projected, explained = components(best[2], "features")
     return (
         projected.drop("features", *names),

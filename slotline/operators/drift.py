@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotline import fixed
@@ -12,19 +12,6 @@ from slotline.functions import columns as X
 from slotline.operators.order import exact_quantiles
 
 
-def _edge(i: int) -> Column:
-    return F.get(F.col("_edges"), F.lit(i))
-
-
-def _bin(bins: int) -> Column:
-    """1-based right-closed bin; the lowest edge belongs to bin 1; null outside."""
-    v = F.col("value")
-    out = F.when(v < _edge(0), F.lit(None))
-    for i in range(1, bins + 1):
-        out = out.when(v <= _edge(i), F.lit(i))
-    return out
-
-
 def drift_scores(
     df: DataFrame,
     features: Sequence[str],
@@ -36,7 +23,8 @@ def drift_scores(
 
     Bin edges are the reference's exact quantiles with repeats removed; fewer than three
     leave nothing to compare (0). Values outside the reference range are in no bin and do not count
-    towards the shares. Per feature only the bin counts leave each map task.
+    towards the shares. Rows are combined to one row per feature and bin before any shuffle. A bin that is
+    empty on both sides adds nothing.
     """
     long = (
         df.where(reference.isNotNull())
@@ -45,41 +33,47 @@ def drift_scores(
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
     )
     probabilities = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(long.where("_ref"), "value", probabilities, ["feature"], output="_edges").select(
-        "feature", F.array_sort(F.array_distinct("_edges")).alias("_edges")
-    )
+    edges = exact_quantiles(
+        long.where("_ref"), "value", probabilities, ["feature"], output="_q", few_groups=True
+    ).select("feature", F.array_sort(F.array_distinct("_q")).alias("_edges"))
+    # Right-closed bins, the lowest edge in the first; no bin outside the edges.
+    places = " ".join(f"WHEN value <= get(_edges, {i}) THEN {i}" for i in range(1, bins + 1))
     # One row per feature column: the size is fixed by the call.
-    binned = long.join(F.broadcast(edges), "feature", "left").withColumn("_bin", _bin(bins))
-    ref, now = F.col("_ref"), ~F.col("_ref")
-    counts = binned.groupBy("feature").agg(
-        F.max(F.size("_edges")).alias("_edge_count"),
-        F.count_if(ref).alias("reference_rows"),
-        F.count_if(now).alias("recent_rows"),
-        F.avg(F.when(ref, F.col("value"))).alias("train_mean"),
-        F.avg(F.when(now, F.col("value"))).alias("recent_mean"),
-        F.count_if(ref & F.col("_bin").isNotNull()).alias("_ref_all"),
-        F.count_if(now & F.col("_bin").isNotNull()).alias("_now_all"),
-        *[F.count_if(ref & (F.col("_bin") == i)).alias(f"_ref{i}") for i in range(1, bins + 1)],
-        *[F.count_if(now & (F.col("_bin") == i)).alias(f"_now{i}") for i in range(1, bins + 1)],
+    binned = (
+        long.join(F.broadcast(edges), "feature", "left")
+        .select(
+            "feature",
+            F.expr(f"CASE WHEN value < get(_edges, 0) THEN NULL {places} END AS _bin"),
+            F.size("_edges").alias("_edge_count"),
+            F.when(F.col("_ref"), F.col("value")).alias("_r"),
+            F.when(~F.col("_ref"), F.col("value")).alias("_c"),
+        )
+        .groupBy("feature", "_bin")
+        .agg(
+            F.max("_edge_count").alias("_edge_count"),
+            F.sum("_r").alias("_rv"),
+            F.sum("_c").alias("_cv"),
+            F.count("_r").alias("_r"),
+            F.count("_c").alias("_c"),
+        )
     )
-
-    def share(side: str, i: int) -> Column:
-        part = F.try_divide(F.col(f"{side}{i}").cast("double"), F.col(f"{side}_all").cast("double"))
-        return F.when(part < floor, F.lit(floor)).otherwise(part)
-
-    total = F.lit(0.0)
-    for i in range(1, bins + 1):
-        r, c = share("_ref", i), share("_now", i)
-        term = F.when(F.col("_edge_count") > i, (c - r) * F.ln(c / r))
-        total = total + F.coalesce(term, F.lit(0.0))
-    usable = (F.col("_edge_count") >= 3) & (F.col("reference_rows") > 0) & (F.col("recent_rows") > 0)
-    return counts.select(
-        "feature",
-        F.when(usable, total).otherwise(0.0).alias("psi"),
-        "train_mean",
-        "recent_mean",
-        "reference_rows",
-        "recent_rows",
+    inside = Window.partitionBy("feature", F.col("_bin").isNull())
+    share = lambda c: F.greatest(F.try_divide(F.col(c), F.sum(c).over(inside)), F.lit(floor))
+    total = lambda c: F.sum(c).over(inside)
+    scored = binned.select(
+        "*", share("_r").alias("_rs"), share("_c").alias("_cs"), (total("_c") > 0).alias("_seen")
+    )
+    term = F.when(
+        F.col("_bin").isNotNull() & F.col("_seen"),
+        (F.col("_cs") - F.col("_rs")) * F.ln(F.col("_cs") / F.col("_rs")),
+    )
+    usable = (F.max("_edge_count") >= 3) & (F.sum("_r") > 0) & (F.sum("_c") > 0)
+    return scored.groupBy("feature").agg(
+        F.when(usable, F.coalesce(F.sum(term), F.lit(0.0))).otherwise(0.0).alias("psi"),
+        F.try_divide(F.sum("_rv"), F.sum("_r")).alias("train_mean"),
+        F.try_divide(F.sum("_cv"), F.sum("_c")).alias("recent_mean"),
+        F.sum("_r").alias("reference_rows"),
+        F.sum("_c").alias("recent_rows"),
     )
 
 

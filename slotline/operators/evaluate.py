@@ -185,7 +185,7 @@ def interval_radius(
 ) -> DataFrame:
     """Quantile of the absolute residual per group."""
     rows = df.select(*by, F.abs(F.col(actual) - F.col(predicted)).alias("_e"))
-    return exact_quantiles(rows, "_e", [quantile], list(by)).select(
+    return exact_quantiles(rows, "_e", [quantile], list(by), few_groups=True).select(
         *by, F.col("quantiles")[0].alias("radius")
     )
 

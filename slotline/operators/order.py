@@ -29,7 +29,10 @@ def time_bucket(value: str, seconds: int = 86_400) -> Column:
 
 
 def value_positions(
-    df: DataFrame, value: str, groups: Sequence[str] = (), bucket: Column | None = None
+    df: DataFrame,
+    value: str,
+    groups: Sequence[str] = (),
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Distinct non-null values per group with their place in ascending order.
 
@@ -87,28 +90,67 @@ def exact_quantiles(
     groups: Sequence[str] = (),
     bucket: Column | None = None,
     output: str = "quantiles",
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group as an array column, computed without gathering a group."""
-    placed = value_positions(df, value, groups, bucket)
-    last = F.col("total_rows") - 1
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        return F.max(F.when(hit, F.col(value).cast("double")))
-
-    picks = []
-    for i, p in enumerate(probabilities):
-        rank = F.lit(float(p)) * last
-        picks += [
-            at(F.floor(rank)).alias(f"_lo{i}"),
-            at(F.ceil(rank)).alias(f"_hi{i}"),
-            F.max(rank - F.floor(rank)).alias(f"_t{i}"),
-        ]
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_t{i}")
-        for i in range(len(probabilities))
-    ]
-    return placed.groupBy(*groups).agg(*picks).select(*groups, F.array(*values).alias(output))
+    """Linear-interpolation quantiles per group as an array column, computed by selection.
+
+    A first pass counts rows per order-preserving bucket; the counts tell which buckets hold the wanted
+    ranks. Only values of those buckets are then counted and ordered. With ``few_groups``
+    (the caller knows the groups: models, feature columns, none) the wanted buckets, at most two per
+    probability and group, are broadcast and no row outside them is ever shuffled. Otherwise the
+    values are combined and shuffled once and the buckets are joined by size.
+    """
+    groups = list(groups)
+    present = F.col(value).isNotNull()
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        present = present & ~F.isnan(value)
+    place = number_bucket(value) if bucket is None else bucket
+    rows = df.where(present).select(*groups, F.col(value).cast("double").alias("_v"), place.alias("_bucket"))
+    if few_groups:
+        rows = rows.withColumn("_n", F.lit(1))
+    else:
+        rows = rows.groupBy(*groups, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+    # Bucket counts: bounded by the bucket function per group, not by the rows.
+    across = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    lower = across.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spots = [f"CAST({float(p)!r} AS DOUBLE) * (_total - 1)" for p in probabilities]
+    ranks = ", ".join(f"CAST({side}({s}) AS BIGINT)" for s in spots for side in ("floor", "ceil"))
+    wanted = (
+        rows.groupBy(*groups, "_bucket")
+        .agg(F.sum("_n").alias("_in"))
+        .withColumns(
+            {
+                "_below": F.coalesce(F.sum("_in").over(lower), F.lit(0)),
+                "_total": F.sum("_in").over(across),
+            }
+        )
+        .where(f"exists(array({ranks}), r -> r >= _below AND r < _below + _in)")
+        .drop("_in")
+    )
+    near = rows.join(F.broadcast(wanted) if few_groups else wanted, [*groups, "_bucket"])
+    counted = near.groupBy(*groups, "_bucket", "_below", "_total", "_v").agg(F.sum("_n").alias("_n"))
+    upto = (
+        Window.partitionBy(*groups, "_bucket")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = (
+        counted.withColumn("_end", F.col("_below") + F.sum("_n").over(upto))
+        .withColumn(
+            "_rank",
+            F.expr(f"explode(filter(array_distinct(array({ranks})), r -> r >= _end - _n AND r < _end))"),
+        )
+        .groupBy(*groups)
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),  # one entry per rank
+            F.max("_total").alias("_total"),
+        )
+    )
+    low = [f"_at[CAST(floor({s}) AS BIGINT)]" for s in spots]
+    high = [f"_at[CAST(ceil({s}) AS BIGINT)]" for s in spots]
+    values = [f"{lo} + ({hi} - {lo}) * ({s} - floor({s}))" for lo, hi, s in zip(low, high, spots)]
+    return found.select(*groups, F.expr(f"array({', '.join(values)})").alias(output))
 
 
 def dense_rank(df: DataFrame, score: str, output: str, bucket: Column | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def knn_graph(
         F.array_sort(F.collect_list(key)).alias("_keys")
     )
 
-    extent = places.agg(
+    extent = places.select(
         F.struct(
             F.min("_lat").alias("lat0"),
             F.min("_lon").alias("lon0"),
@@ -60,35 +60,32 @@ def knn_graph(
             ).alias("side"),
         )
     ).scalar()
-    framed = places.withColumn("_frame", extent)
 
-    def cell(axis: str, origin: str):
-        step = F.col("_frame.side") / F.pow(F.lit(2.0), F.col("_level"))
-        return F.floor((F.col(axis) - F.col(f"_frame.{origin}")) / step).cast("long")
-
-    gridded = (
-        framed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .withColumn("_x", cell("_lat", "lat0"))
-        .withColumn("_y", cell("_lon", "lon0"))
-        .drop("_frame")
-    )
-
-    def block(reach: int):
-        steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-        return lambda df: (
-            df.withColumn("_dx", F.explode(steps))
-            .withColumn("_dy", F.explode(steps))
-            .withColumn("_x", F.col("_x") + F.col("_dx"))
-            .withColumn("_y", F.col("_y") + F.col("_dy"))
-            .drop("_dx", "_dy")
+    def cells(df: DataFrame, reach: int = 0) -> DataFrame:
+        """Cell of each row at its ``_level``, or the block of cells around it."""
+        step = "_frame.side / power(2D, _level)"
+        x = f"CAST(floor((_lat - _frame.lat0) / ({step})) AS BIGINT)"
+        y = f"CAST(floor((_lon - _frame.lon0) / ({step})) AS BIGINT)"
+        placed = df.withColumn("_frame", extent)
+        if not reach:
+            return placed.withColumns({"_x": F.expr(x), "_y": F.expr(y)}).drop("_frame")
+        shifts = f"explode(sequence({-reach}, {reach}))"
+        return (
+            placed.withColumn("_dx", F.expr(shifts))
+            .withColumn("_dy", F.expr(shifts))
+            .withColumns({"_x": F.expr(f"{x} + _dx"), "_y": F.expr(f"{y} + _dy")})
+            .drop("_frame", "_dx", "_dy")
         )
 
-    weight = F.least(F.size("_keys"), F.lit(k + 1))
+    levelled = places.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    gridded = cells(levelled)
+    # Sites in the 3x3 block around every occupied cell, from one count per occupied cell.
     around = (
         gridded.groupBy("_level", "_x", "_y")
-        .agg(F.sum(weight).alias("_in"))
-        .transform(block(1))
-        .groupBy("_level", "_x", "_y")
+        .agg(F.sum(F.size("_keys")).alias("_in"))
+        .withColumn("_dx", F.expr("explode(sequence(-1, 1))"))
+        .withColumn("_dy", F.expr("explode(sequence(-1, 1))"))
+        .groupBy("_level", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
         .agg(F.sum("_in").alias("_in"))
     )
     # Level 0 is one cell over everything: the fallback when there are k or fewer other sites.
@@ -98,17 +95,9 @@ def knn_graph(
         .groupBy("_lat", "_lon")
         .agg(F.max("_level").alias("_level"))
     )
-    sources = gridded.join(chosen, ["_lat", "_lon", "_level"])
-    candidates = (
-        sources.select(
-            F.col("_lat").alias("_slat"), F.col("_lon").alias("_slon"), "_level", "_x", "_y"
-        )
-        .transform(block(3))
-        .join(gridded, ["_level", "_x", "_y"])
-        .withColumn(
-            "distance",
-            F.sqrt(F.pow(F.col("_lat") - F.col("_slat"), 2) + F.pow(F.col("_lon") - F.col("_slon"), 2)),
-        )
+    sources = cells(chosen, reach=3).withColumnsRenamed({"_lat": "_slat", "_lon": "_slon"})
+    candidates = sources.join(gridded, ["_level", "_x", "_y"]).withColumn(
+        "distance", F.expr("sqrt(power(_lat - _slat, 2) + power(_lon - _slon, 2))")
     )
     # k + 1 nearest keys of each place; a site then drops itself and keeps k.
     near = Window.partitionBy("_slat", "_slon").orderBy("distance", neighbour)

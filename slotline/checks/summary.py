@@ -123,7 +123,7 @@ def distribution_summary(spark, d):
     rows = A.table(spark, d, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("category"), "l_extendedprice"
     )
-    return profile.distribution_summary(rows, "category", "l_extendedprice")
+    return profile.distribution_summary(rows, "category", "l_extendedprice", few_categories=True)
 
 
 @add("bounded_sample")
@@ -421,7 +421,7 @@ def prediction_interval(spark, d):
 
     rows = A.forecasts(spark, d)
     radius = ev.interval_radius(rows, "actual", "predicted")  # one row per model
-    joined = rows.join(radius, "model").withColumn("predicted", X.clip("predicted"))
+    joined = rows.join(F.broadcast(radius), "model").withColumn("predicted", X.clip("predicted"))
     return ev.prediction_interval(joined, F.col("radius"), "predicted").drop("radius")
 
 

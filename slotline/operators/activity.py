@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotline import fixed
-from slotline.operators.asof import asof_join
 
 
 def recent_rows(df: DataFrame, time: str, n: int, tie_break: str) -> DataFrame:
@@ -87,7 +86,6 @@ def offered_rate(
     time: str = "created_at",
     window_seconds: int = fixed.REQUEST_WINDOW_SECONDS,
     bucket_seconds: int = 3600,
-    carry: list[str] | None = None,
 ) -> DataFrame:
     """Requests of the same client in the trailing window, the current instant included.
 
@@ -95,12 +93,19 @@ def offered_rate(
     exactly the window has left it. Clients are split into time buckets; a request near the end of a
     bucket is also sent to the next one as context, so one busy client never has to fit into a task.
     """
+    rated = _rated(requests, client, time, window_seconds, bucket_seconds)
+    return rated.select(*requests.columns, "offered", "earlier")
+
+
+def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, bucket_seconds: int) -> DataFrame:
+    """Offered counts with the time bucket of each row and the newest burst start seen in the bucket."""
+    if window_seconds > bucket_seconds:
+        raise ValueError("a time bucket must be at least as long as the window")
     span, reach = bucket_seconds * 1_000_000, window_seconds * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
     home = F.floor(F.col("_us") / F.lit(span)).cast("long")
-    kept = requests.columns if carry is None else carry
     rows = (
-        requests.select(*kept, at.alias("_us"))
+        requests.select("*", at.alias("_us"))
         .withColumn("_home", home)
         .withColumn(
             "_bucket",
@@ -113,6 +118,7 @@ def offered_rate(
         )
     )
     order = Window.partitionBy(client, "_bucket").orderBy("_us")
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumns(
             {
@@ -121,7 +127,8 @@ def offered_rate(
             }
         )
         .where(F.col("_bucket") == F.col("_home"))
-        .drop("_us", "_home", "_bucket")
+        .withColumn("_start", F.max(F.when(F.col("earlier") == 0, F.col("_us"))).over(upto))
+        .drop("_home")
     )
 
 
@@ -172,10 +179,21 @@ def rate_admission(
     most ``limit`` instants of state.
     """
     reach = window_seconds * 1_000_000
-    rated = offered_rate(requests, client, time, window_seconds)
-    starts = rated.where(F.col("earlier") == 0).select(client, time).distinct()
-    marked = asof_join(rated, starts, [client], time, time, {time: "_burst"})
-    peers = Window.partitionBy(client, "_burst", time).orderBy(tie_break)
+    bucket_seconds = max(3600, window_seconds)
+    rated = _rated(requests, client, time, window_seconds, bucket_seconds)
+    # A burst that began in an earlier bucket: one row per client and bucket is carried forward.
+    before = Window.partitionBy(client).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rated.groupBy(client, "_bucket")
+        .agg(F.max("_start").alias("_last"))
+        .select(client, "_bucket", F.max("_last").over(before).alias("_carried"))
+    )
+    marked = (
+        rated.join(carried, [client, "_bucket"], "left")
+        .withColumn("_burst", F.coalesce("_start", "_carried"))
+        .drop("_start", "_carried", "_bucket")
+    )
+    peers = Window.partitionBy(client, "_burst", "_us").orderBy(tie_break)
     numbered = marked.withColumn("_nth", F.col("earlier") + F.row_number().over(peers))
     load = numbered.groupBy(client, "_burst").agg(F.max("offered").alias("_peak"))
     judged = numbered.join(load, [client, "_burst"])
@@ -192,8 +210,8 @@ def rate_admission(
         .select(
             *keep,
             F.col(client).cast("string").alias("_client"),
-            F.unix_micros(F.col("_burst").cast("timestamp")).alias("_burst"),
-            F.unix_micros(F.col(time).cast("timestamp")).alias("_us"),
+            "_burst",
+            "_us",
         )
         .repartition("_client", "_burst")
         .sortWithinPartitions("_client", "_burst", "_us", tie_break)

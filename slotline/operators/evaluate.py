@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotline import fixed
@@ -170,9 +170,54 @@ def band_metrics(
 def metrics_table(
     df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ("model",), clip: bool = True
 ) -> DataFrame:
+    """All error and band metrics from one pass over the rows.
+
+    The pass leaves one row per group and (true band, predicted band); everything else is
+    arithmetic on these at most 25 rows per group.
+    """
     by = list(by)
-    return regression_metrics(df, actual, predicted, by, clip).join(
-        band_metrics(df, actual, predicted, by, clip), by
+    y = F.col(actual).cast("double")
+    p = X.clip(F.col(predicted).cast("double")) if clip else F.col(predicted).cast("double")
+    cells = (
+        df.select(*by, y.alias("_y"), p.alias("_p"))
+        .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
+        .withColumn("_e", F.col("_y") - F.col("_p"))
+        .groupBy(*by, X.utilization_band("_y").alias("_t"), X.utilization_band("_p").alias("_c"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.avg("_y").alias("_mean"),
+            F.var_pop("_y").alias("_var"),
+            F.sum(F.abs("_e")).alias("_abs"),
+            F.sum(F.col("_e") * F.col("_e")).alias("_sq"),
+            F.sum(F.abs("_e") / F.greatest(F.abs("_y"), F.lit(fixed.ERROR_FLOOR))).alias("_rel"),
+        )
+    )
+    group, true_band = Window.partitionBy(*by), Window.partitionBy(*by, "_t")
+    claimed = Window.partitionBy(*by, "_c")
+    rows = F.sum("_n").over(group)
+    center = F.sum(F.col("_n") * F.col("_mean")).over(group) / rows
+    hit = F.col("_t") == F.col("_c")
+    # Only hits raise F1: the band's weight times 2 * hits / (support + claimed).
+    part = F.when(
+        hit,
+        F.sum("_n").over(true_band)
+        * 2.0
+        * F.col("_n")
+        / (F.sum("_n").over(true_band) + F.sum("_n").over(claimed)),
+    ).otherwise(0.0)
+    spread = F.col("_n") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_center"), 2))
+    return (
+        cells.withColumns({"_center": center, "_f1": part})
+        .groupBy(*by)
+        .agg(
+            F.sum("_n").alias("n"),
+            (F.sum("_abs") / F.sum("_n")).alias("mae"),
+            F.sqrt(F.sum("_sq") / F.sum("_n")).alias("rmse"),
+            (1 - F.try_divide(F.sum("_sq"), F.sum(spread))).alias("r2"),
+            (F.sum("_rel") / F.sum("_n") * 100).alias("mape"),
+            (F.sum(F.when(hit, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("band_accuracy"),
+            (F.sum("_f1") / F.sum("_n")).alias("weighted_f1"),
+        )
     )
 
 

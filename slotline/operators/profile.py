@@ -116,10 +116,10 @@ def hour_pivot(slots: DataFrame, key: str = "system_code", value: str = "utiliza
     )
 
 
-def distribution_summary(df: DataFrame, category: str, value: str) -> DataFrame:
+def distribution_summary(df: DataFrame, category: str, value: str, few_categories: bool = False) -> DataFrame:
     """Five-number summary and mean per category."""
     rows = df.where(F.col(category).isNotNull() & F.col(value).isNotNull())
-    five = exact_quantiles(rows, value, [0.0, 0.25, 0.5, 0.75, 1.0], [category], output="q")
+    five = exact_quantiles(rows, value, [0.0, 0.25, 0.5, 0.75, 1.0], [category], output="q", few_groups=few_categories)
     basics = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return basics.join(five, category).select(
         category,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotline import fixed
 from slotline.functions import columns as X
 from slotline.operators.asof import asof_join
+from slotline.session import stage
 
-GRID_LEVELS = 16
+GRID_LEVELS = 24
 
 
 def canonical_sites(
@@ -31,7 +34,6 @@ def knn_graph(
     lat: str = "latitude",
     lon: str = "longitude",
     neighbour: str = "neighbor_code",
-    levels: int = GRID_LEVELS,
     floor: float = fixed.ERROR_FLOOR,
 ) -> DataFrame:
     """Exact k nearest sites by Euclidean distance with normalised inverse-distance weights.
@@ -44,37 +46,37 @@ def knn_graph(
     are one place in the search, of which only the first k + 1 keys can ever be among the nearest
     (ties go to the smaller key), so a pile of co-located sites stays linear too.
     """
+    at = stage(sites.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), "sites")
     place = Window.partitionBy("_lat", "_lon").orderBy(key)
-    at = sites.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    leading = at.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= k + 1)
-    places = leading.groupBy("_lat", "_lon").agg(
-        F.array_sort(F.collect_list(key)).alias("_keys")
+    places = stage(
+        at.withColumn("_rank", F.row_number().over(place))
+        .where(F.col("_rank") <= k + 1)
+        .groupBy("_lat", "_lon")
+        .agg(F.array_sort(F.collect_list(key)).alias("_keys")),
+        "places",
     )
-
-    extent = places.select(
-        F.struct(
-            F.min("_lat").alias("lat0"),
-            F.min("_lon").alias("lon0"),
-            F.greatest(
-                F.max("_lat") - F.min("_lat"), F.max("_lon") - F.min("_lon"), F.lit(1e-12)
-            ).alias("side"),
-        )
-    ).scalar()
+    frame = places.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("_lat").alias("lat0"),
+        F.min("_lon").alias("lon0"),
+        F.greatest(F.max("_lat") - F.min("_lat"), F.max("_lon") - F.min("_lon"), F.lit(1e-12)).alias("side"),
+    ).first()
+    # Cells of the finest level are far smaller than an even spread would need, for dense spots.
+    levels = min(GRID_LEVELS, 8 + math.ceil(math.log2(math.sqrt(max(frame["n"] or 1, 1)) + 1)))
 
     def cells(df: DataFrame, reach: int = 0) -> DataFrame:
         """Cell of each row at its ``_level``, or the block of cells around it."""
-        step = "_frame.side / power(2D, _level)"
-        x = f"CAST(floor((_lat - _frame.lat0) / ({step})) AS BIGINT)"
-        y = f"CAST(floor((_lon - _frame.lon0) / ({step})) AS BIGINT)"
-        placed = df.withColumn("_frame", extent)
+        step = f"({frame['side'] or 1.0!r}D / power(2D, _level))"
+        x = f"CAST(floor((_lat - ({frame['lat0'] or 0.0!r}D)) / {step}) AS BIGINT)"
+        y = f"CAST(floor((_lon - ({frame['lon0'] or 0.0!r}D)) / {step}) AS BIGINT)"
         if not reach:
-            return placed.withColumns({"_x": F.expr(x), "_y": F.expr(y)}).drop("_frame")
+            return df.withColumns({"_x": F.expr(x), "_y": F.expr(y)})
         shifts = f"explode(sequence({-reach}, {reach}))"
         return (
-            placed.withColumn("_dx", F.expr(shifts))
+            df.withColumn("_dx", F.expr(shifts))
             .withColumn("_dy", F.expr(shifts))
             .withColumns({"_x": F.expr(f"{x} + _dx"), "_y": F.expr(f"{y} + _dy")})
-            .drop("_frame", "_dx", "_dy")
+            .drop("_dx", "_dy")
         )
 
     levelled = places.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))

@@ -118,3 +118,53 @@ def test_isolation_finds_planted_rows(spark):
     assert diff.count() == 0
     flagged = anomalies.flag_above_quantile(scored, "anomaly_score")
     assert 1 <= flagged.where("anomaly_flag = 1").count() <= 0.03 * 602 + 1
+
+
+def test_whole_run(spark, tmp_path):
+    """The batch run end to end on a generated feed, read back through its own outputs."""
+    rows, rid = [], 0
+    for s in range(4):
+        for day in range(12):
+            for i in range(20):
+                at = datetime(2024, 3, 1, 8) + timedelta(days=day, minutes=30 * i)
+                level = 80 * math.sin(math.pi * i / 20) + ((rid * 7919) % 13)
+                rows.append((rid, f"s{s}", 100 + s, 1.0 + s, 2.0 + s * s, level, "car", "low", rid % 5, 0, at))
+                rid += 1
+    from slotline.operators import profile
+    from slotline.plans.run import needs_retrain, run
+    from slotline.schemas import DRIFT_REPORT, INGEST_EVENT, OBSERVATIONS
+    from slotline.sources import tables as S
+    from slotline.streaming import score
+
+    paths = run(spark.createDataFrame(rows, OBSERVATIONS), str(tmp_path), FOREST, BOOST, 10)
+    read = lambda name: spark.read.parquet(paths[name])
+    assert read("clean").count() == len(rows)
+    assert {r.model for r in read("model_metrics").collect()} >= {"Sequence Regressor", "Weighted Ensemble"}
+    assert read("recommendations").count() == 4 and read("site_clusters").count() == 4
+    assert spark.sql("SELECT * FROM vw_daily_system_summary").count() == 48
+    record = S.read_report(spark, paths["drift_report"], DRIFT_REPORT).first()
+    assert len(record.features) == len(fixed.DRIFT_FEATURES)
+    psi = [f.psi for f in record.features]
+    assert psi == sorted(psi, reverse=True)
+    assert needs_retrain(spark, paths["drift"], force=True)
+
+    # Live path on top of the written tables.
+    history, edges = read("clean"), read("neighbour_graph")
+    last = history.where("system_code = 's1'").agg(F.max("time_slot")).first()[0]
+    later = (last + timedelta(minutes=30)).strftime("%Y-%m-%d %H:%M:%S")
+    blank = (None, None, None, None)
+    events = spark.createDataFrame(
+        [("s1", 70.0, 3, "high", 0, later, *blank), ("s2", 500.0, 0, "low", 0, None, *blank)], INGEST_EVENT
+    )
+    live = score.live_rows(events, history, edges)
+    models = {"boost": training.load_model(paths["model_boost"]), "forest": training.load_model(paths["model_forest"])}
+    out = {r.system_code: r for r in score.score_live(live, models, {"boost": 0.5, "forest": 0.5}, read("latest_forecast")).collect()}
+    before = history.where(F.col("system_code") == "s1").orderBy(F.desc("time_slot")).limit(2).collect()
+    assert set(out) == {"s1", "s2"}
+    assert out["s1"].lag_utilization_30m == before[0].utilization
+    assert out["s1"].lag_utilization_60m == before[1].utilization
+    assert out["s1"].session_step == before[0].session_step + 1
+    assert out["s2"].occupancy_clean == 102 and out["s2"].utilization == 1.0
+    assert all(0 <= r.prediction_interval_lower <= r.prediction_interval_upper <= 1 for r in out.values())
+    board = read("recommendations")
+    assert profile.label_counts(board).agg(F.sum("count")).first()[0] == 4

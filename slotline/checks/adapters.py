@@ -134,12 +134,15 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Comparable values: doubles to six digits (half-even), whole numbers as long, instants without zone."""
+    """Comparable values: doubles to six digits, whole numbers as long, instants without zone.
+
+    The nudge of 1e-10 keeps exact ties from being decided by the order in which a sum was added up.
+    """
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.rint(c.cast("double") * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
+            c = F.rint(c.cast("double") * F.lit(1e6) + F.lit(1e-4)) / F.lit(1e6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.TimestampType):
@@ -152,7 +155,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def r6(expression: str) -> str:
-    return f"round_even(({expression})*1e6, 0)/1e6 + 0.0"
+    return f"round_even(({expression})*1e6 + 1e-4, 0)/1e6 + 0.0"
 
 
 def final(query: str, doubles: str = "", longs: str = "", ctes: str = "") -> str:

@@ -154,14 +154,8 @@ def _carry(c):
     )
 
 
-@add(
-    "live_features",
-    A.final(
-        "SELECT system_code, time_slot, session_step, " + ", ".join(_LIVE) + " FROM together",
-        " ".join(_LIVE),
-        "session_step",
-        _ASOF_SQL
-        + f""",
+# Own-history columns of a live row, from the slots expression.
+LIVE_SQL = f""",
 raw AS (SELECT *, lag(utilization) OVER (PARTITION BY system_code, slot_index ORDER BY time_slot) AS u0,
   lag(queue_length) OVER (PARTITION BY system_code, slot_index ORDER BY time_slot) AS q0,
   lag(parking_stress_index) OVER (PARTITION BY system_code, slot_index ORDER BY time_slot) AS s0
@@ -174,7 +168,16 @@ live AS (SELECT system_code, time_slot, utilization, session_step, minutes_from_
   {_roll('utilization', 3)} AS rolling_utilization_3, {_roll('utilization', 6)} AS rolling_utilization_6,
   {_roll('queue_length', 3)} AS rolling_queue_3, {_roll('queue_length', 6)} AS rolling_queue_6,
   {_roll('parking_stress_index', 3)} AS rolling_stress_3, {_carry('u0')} AS lag_utilization_prev_day,
-  {_carry('q0')} AS lag_queue_prev_day, {_carry('s0')} AS lag_stress_prev_day FROM raw),
+  {_carry('q0')} AS lag_queue_prev_day, {_carry('s0')} AS lag_stress_prev_day FROM raw)"""
+
+
+@add(
+    "live_features",
+    A.final(
+        "SELECT system_code, time_slot, session_step, " + ", ".join(_LIVE) + " FROM together",
+        " ".join(_LIVE),
+        "session_step",
+        _ASOF_SQL + LIVE_SQL + """,
 together AS (SELECT l.*, n.* EXCLUDE (system_code, time_slot),
   utilization - lag_utilization_30m AS utilization_delta_30m,
   utilization - lag_utilization_60m AS utilization_delta_60m,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotline import fixed
 from slotline.checks import adapters as A
 from slotline.checks.catalog import CATALOG
-from slotline.checks.context import graph, staged_slots
+from slotline.checks.context import LIVE_SQL, staged_slots
 from slotline.checks.forecast import drift_rows
 from slotline.checks.forecast import _DRIFT as DRIFT_CTES
 from slotline.checks.summary import scored
@@ -70,8 +70,22 @@ def stream_sessions(spark, d):
     return ingest.drain(rows, scratch_path(spark, "sessions"), scratch_path(spark, "checkpoint"))
 
 
+_STREAMED = """lag_occupancy_30m lag_occupancy_60m lag_utilization_30m lag_utilization_60m lag_utilization_120m
+ lag_queue_30m rolling_utilization_3 rolling_utilization_6 rolling_queue_3 rolling_queue_6 rolling_stress_3
+ lag_utilization_prev_day lag_queue_prev_day lag_stress_prev_day utilization_delta_30m utilization_delta_60m
+ minutes_from_previous"""
+
+
 @add(
     "stream_live_features",
+    A.final(
+        """SELECT system_code, time_slot, session_step, false AS is_late, * EXCLUDE (system_code, time_slot, session_step,
+      utilization, session_progress), utilization - lag_utilization_30m AS utilization_delta_30m,
+      utilization - lag_utilization_60m AS utilization_delta_60m FROM live""",
+        _STREAMED,
+        "session_step",
+        A.with_ctes("slots") + LIVE_SQL,
+    ),
 )
 def stream_live_features(spark, d):
     """The stateful stream over the clean slot table."""
@@ -223,7 +237,19 @@ def offered_rate(spark, d):
     return activity.offered_rate(rows, window_seconds=6 * 3600, bucket_seconds=86_400)
 
 
-@add("rate_admission")
+@add(
+    "rate_admission",
+    """WITH RECURSIVE ev AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, event_id, ts, [us] AS q, true AS allowed, CAST(2 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after
+  FROM ev WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, ts, CASE WHEN len(k) < 3 THEN list_append(k, us) ELSE k END, len(k) < 3,
+    CASE WHEN len(k) < 3 THEN CAST(2 - len(k) AS BIGINT) ELSE 0 END,
+    CASE WHEN len(k) < 3 THEN 0 ELSE greatest(1, (21600000000 - (us - k[1])) // 1000000) END
+  FROM (SELECT e.*, list_filter(r.q, lambda x : e.us - x < 21600000000) AS k
+    FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT event_id AS request_id, user_id AS client_host, ts AS created_at, allowed, remaining, retry_after FROM r""",
+)
 def rate_admission(spark, d):
     rows = A.requests(spark, d).select("request_id", "client_host", "created_at")
     return activity.rate_admission(rows, limit=3, window_seconds=6 * 3600)

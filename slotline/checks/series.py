@@ -424,14 +424,14 @@ windowed AS (SELECT system_code, session_id, time_slot,
   lead(utilization, 2) OVER (PARTITION BY system_code, session_id ORDER BY time_slot) AS target_value,
   count(*) OVER (PARTITION BY system_code, session_id) AS n FROM slots)
 SELECT system_code, CAST(session_id AS BIGINT) AS session_id, time_slot, target_time_slot,
-  round_even(target_value*1e6, 0)/1e6 + 0.0 AS target_value,
-  array_to_string(list_transform(flatten(sequence), lambda x : CAST(CAST(round_even(x*1e6, 0) AS BIGINT) AS VARCHAR)), ',')
+  round_even(target_value*1e6 + 1e-4, 0)/1e6 + 0.0 AS target_value,
+  array_to_string(list_transform(flatten(sequence), lambda x : CAST(CAST(round_even(x*1e6 + 1e-4, 0) AS BIGINT) AS VARCHAR)), ',')
     AS sequence
 FROM windowed WHERE n >= 9 AND len(sequence) = 6 AND target_time_slot IS NOT NULL""",
 )
 def sequence_windows(spark, d):
     rows = ts.sequence_windows(slots(spark, d), ("utilization", "queue_length", "hour_sin"))
-    text = F.transform(F.flatten("sequence"), lambda x: F.rint(x * 1e6).cast("long").cast("string"))
+    text = F.transform(F.flatten("sequence"), lambda x: F.rint(x * 1e6 + 1e-4).cast("long").cast("string"))
     return rows.select(
         "system_code", "session_id", "time_slot", "target_time_slot", "target_value",
         F.array_join(text, ",").alias("sequence"),

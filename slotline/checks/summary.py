@@ -126,7 +126,15 @@ def distribution_summary(spark, d):
     return profile.distribution_summary(rows, "category", "l_extendedprice", few_categories=True)
 
 
-@add("bounded_sample")
+@add(
+    "bounded_sample",
+    A.final(
+        "SELECT event_id, event_type, value FROM events "
+        "ORDER BY md5('42|' || CAST(event_id AS VARCHAR)), event_id LIMIT 3000",
+        "value",
+        "event_id",
+    ),
+)
 def bounded_sample(spark, d):
     rows = A.table(spark, d, "events").select("event_id", "event_type", "value")
     return profile.bounded_sample(rows, ["event_id"])

@@ -136,7 +136,7 @@ def key_catalog(df: DataFrame, key: str) -> DataFrame:
 def bounded_sample(df: DataFrame, by: Sequence[str], size: int = 3000, seed: int = fixed.SEED) -> DataFrame:
     """At most ``size`` rows in hash order: the same rows on every run, no global shuffle."""
     return (
-        df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in by]))
+        df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])))
         .orderBy("_h", *by)
         .limit(size)
         .drop("_h")

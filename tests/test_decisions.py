@@ -75,3 +75,9 @@ def test_partitioned_table_and_pruned_read(spark, tmp_path, board):
     assert S.read_table(spark, path).count() == 2
     S.write_table(board.select("system_code", "capacity"), str(tmp_path / "csv"), fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 9
+
+
+def test_publish_replaces(spark, board):
+    for n in (9, 4):
+        names = S.publish({"published_board": board.select("system_code", "capacity").limit(n)})
+        assert spark.table(names[0]).count() == n

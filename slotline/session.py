@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,34 +35,68 @@ def pin_time_zone(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only a local master may fall back to a folder of its own.
-    """
+    """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="slotline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named
+
+
+def default_shared_folder(spark: SparkSession, folder: str) -> None:
+    """For entry points that run on one machine: name a shared folder where the session has none."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", folder)
+
+
+def _on_storage(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    storage, where = _on_storage(spark, path)
+    storage.delete(where, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    token = os.urandom(6).hex()
-    return f"{shared_folder(spark).rstrip('/')}/slotline/{label}-{token}"
+    """A fresh path below the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/slotline/{label}-{os.urandom(6).hex()}"
+    storage, where = _on_storage(spark, path)
+    storage.deleteOnExit(where)
+    return path
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as a table below the shared folder and continue from the table.
+class Staging:
+    """Owner of the intermediate tables of one operator.
 
-    Used where one result feeds many plans or jobs (model fits, several branches over the slot table): the
-    expensive part runs once, readers prune its columns, and a lost executor costs a re-read instead of
-    a recomputation of the history.
+    ``keep`` writes a table below the shared folder and reads it back: the expensive part runs once, readers
+    prune its columns, and a lost executor costs a re-read instead of a recomputation of the history.
+    ``drop`` removes tables that nothing reads any more, and leaving the context removes all of them. Tables
+    that back a returned frame are made without the context (``stage``) and go with the application.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, label: str = "stage") -> None:
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.label}-{name}")
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            remove_folder(self.spark, self.paths.pop(name))
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *raised) -> None:
+        self.drop()
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Cut the lineage of ``df`` with a table that stays until the application ends."""
+    return Staging(df.sparkSession, label).keep(df, "table")

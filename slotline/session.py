@@ -62,10 +62,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/slotline/{label}-{os.urandom(6).hex()}"
-    storage, where = _on_storage(spark, path)
+    owned = f"{shared_folder(spark).rstrip('/')}/slotline/{label}-{os.urandom(6).hex()}"
+    storage, where = _on_storage(spark, owned)
+    storage.mkdirs(where)
     storage.deleteOnExit(where)
-    return path
+    return f"{owned}/data"
 
 
 class Staging:

@@ -18,9 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def row_key(id_column: Column, text: Column) -> Column:
-    """A non-null key that is equal for repeated rows (same id, same text) and for no others."""
+    """A non-null key that is equal for repeated rows: same id, same text (by a 64-bit hash, which parts texts of one id)."""
     told = F.when(id_column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), id_column.cast("string")))
-    return F.concat(told, F.lit("."), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.reverse(text))))
+    return F.concat(told, F.lit("."), F.hex(F.xxhash64(text)))
 
 
 def number_rows(df: DataFrame, order: list[Column], held: Staging, name: str) -> DataFrame:

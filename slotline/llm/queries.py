@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import secrets
+from slotline.llm import fingerprints, mixing, secrets, sharding
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(fn):
 @query
 def op1_secrets(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query
+def op3_sharding(spark, folder):
+    return sharding.report(table(spark, folder, "documents"))
+
+
+@query
+def op4_fingerprints(spark, folder):
+    return fingerprints.report(table(spark, folder, "documents"))
+
+
+@query
+def op7_mixing(spark, folder):
+    return mixing.report(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import fingerprints, mixing, secrets, sharding
+from slotline.llm import fingerprints, mixing, neighbours, packing, quality, secrets, sharding
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,21 @@ def op4_fingerprints(spark, folder):
     return fingerprints.report(table(spark, folder, "documents"))
 
 
+@query
+def op6_packing(spark, folder):
+    return packing.report(table(spark, folder, "documents"))
+
+
 @query
 def op7_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))
+
+
+@query
+def op9_neighbours(spark, folder):
+    return neighbours.report(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_quality(spark, folder):
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import fingerprints, mixing, neighbours, packing, quality, secrets, sharding
+from slotline.llm import fingerprints, mixing, neighbours, packing, personal, quality, secrets, sharding
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_secrets(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
 
 
+@query
+def op2_personal(spark, folder):
+    return personal.report(table(spark, folder, "documents"))
+
+
 @query
 def op3_sharding(spark, folder):
     return sharding.report(table(spark, folder, "documents"))

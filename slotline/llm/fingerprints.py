@@ -5,8 +5,8 @@ r, c ~ Gamma(2, 1) and b ~ U(0, 1), all functions of (word, d) alone; with t = f
 ln a = ln c - r (t - b) - r, and the word with the least value gives the sample (word, t). Two documents agree in a
 sample with a probability equal to their generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 
-A sample's value and its identity are packed in one 64-bit number, so a fingerprint is the element-wise minimum over the words: one
-aggregation of fixed-width buffers. A text and its edited form are scored together, since they share most words.
+A sample's value and its identity are packed in one 64-bit number, so a fingerprint is the element-wise minimum over the words: an
+aggregation of fixed-width buffers in generated code. A text and its edited form are scored together, since they share most words.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from slotline.llm.common import WORD, number_rows, row_key
 from slotline.session import Staging
 
-SAMPLES = 64
+SAMPLES, LANE = 64, 4
 SIGN_BITS, VALUE_SCALE, VALUE_SHIFT = 20, 2.0**35, 64.0
 SEPARATOR = r"[\x20\x09-\x0D]+"
 U21 = (1 << 21) - 1
@@ -27,48 +27,58 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(U21)) + F.lit(0.5)) / F.lit(float(U21 + 1))
 
 
-def draws(word: Column, d: int) -> tuple[Column, Column, Column, Column]:
-    """r, ln c, b and an identity of (word, d)."""
-    one, two = F.xxhash64(word, F.lit(2 * d)), F.xxhash64(word, F.lit(2 * d + 1))
-    r = -F.log(_uniform(one, 0) * _uniform(one, 21))
-    c = F.log(-F.log(_uniform(one, 42) * _uniform(two, 0)))
-    return r, c, _uniform(two, 21), F.shiftrightunsigned(two, 42)
-
-
-def packed(log_weight: Column, r: Column, c: Column, b: Column, identity: Column) -> Column:
-    t = F.floor(log_weight / r + b)
-    value = c - r * (t - b) - r
-    sign = identity.bitwiseXOR(t * F.lit(40_503)).bitwiseAND(F.lit((1 << SIGN_BITS) - 1))
-    return F.shiftleft(((value + F.lit(VALUE_SHIFT)) * F.lit(VALUE_SCALE)).cast("long"), SIGN_BITS) + sign
-
-
 def terms(text: Column) -> Column:
     return F.transform(
         F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != ""), lambda w: F.xxhash64(w)
     )
 
 
-def sample(words: DataFrame, key: str, counts: list[str], samples: int = SAMPLES) -> DataFrame:
-    """Per ``key`` one array of samples for every column of ``counts``, from rows (key, word, counts...)."""
-    parts = {f"_l{j}": F.log(F.col(c).cast("double")) for j, c in enumerate(counts)}
-    for d in range(samples):
-        parts |= {f"_{name}{d}": value for name, value in zip("rcbi", draws(F.col("word"), d))}
-    cells = [
-        (f"_{d}_{j}", packed(F.col(f"_l{j}"), *[F.col(f"_{name}{d}") for name in "rcbi"]))
-        for d in range(samples)
-        for j in range(len(counts))
-    ]
-    # ln 0 is null, so a word that one side lacks leaves that side alone.
-    scored = words.withColumns(parts).select(key, *[v.alias(n) for n, v in cells])
-    least = scored.groupBy(key).agg(*[F.min(n).alias(n) for n, _ in cells])
+def sample(words: DataFrame, key: str, counts: list[str], samples: int = SAMPLES, lane: int = LANE) -> DataFrame:
+    """Per ``key`` one array of samples for every column of ``counts``, from rows (key, word, counts...).
+
+    Each row is repeated per lane of a few samples, so that one row's arithmetic is a short generated method. ``words`` must lie
+    together by ``key``; nothing is exchanged.
+    """
+    logs = [F.log(F.col(c).cast("double")).alias(f"_l{j}") for j, c in enumerate(counts)]
+    rows = words.select(key, "word", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples // lane - 1))).alias("_lane"))
+    hashed = rows.select(
+        key,
+        "_lane",
+        *[f"_l{j}" for j in range(len(counts))],
+        *[F.xxhash64("word", F.col("_lane") * (2 * lane) + F.lit(2 * i + h)).alias(f"_h{i}{h}") for i in range(lane) for h in (0, 1)],
+    )
+    # r, ln c and b of (word, sample); what is left of the second hash is the word's identity in the sample.
+    drawn = hashed.select(
+        key,
+        "_lane",
+        *[f"_l{j}" for j in range(len(counts))],
+        *[(-F.log(_uniform(F.col(f"_h{i}0"), 0) * _uniform(F.col(f"_h{i}0"), 21))).alias(f"_r{i}") for i in range(lane)],
+        *[F.log(-F.log(_uniform(F.col(f"_h{i}0"), 42) * _uniform(F.col(f"_h{i}1"), 0))).alias(f"_c{i}") for i in range(lane)],
+        *[_uniform(F.col(f"_h{i}1"), 21).alias(f"_b{i}") for i in range(lane)],
+        *[F.shiftrightunsigned(F.col(f"_h{i}1"), 42).alias(f"_i{i}") for i in range(lane)],
+    )
+    cells = [(i, j) for i in range(lane) for j in range(len(counts))]
+
+    def packed(i: int, j: int) -> Column:
+        # ln 0 is null, so a word that one side lacks leaves that side alone.
+        r, b = F.col(f"_r{i}"), F.col(f"_b{i}")
+        t = F.floor(F.col(f"_l{j}") / r + b)
+        value = F.col(f"_c{i}") - r * (t - b) - r
+        sign = F.col(f"_i{i}").bitwiseXOR(t * F.lit(40_503)).bitwiseAND(F.lit((1 << SIGN_BITS) - 1))
+        return F.shiftleft(((value + F.lit(VALUE_SHIFT)) * F.lit(VALUE_SCALE)).cast("long"), SIGN_BITS) + sign
+
+    least = drawn.groupBy(key, "_lane").agg(*[F.min(packed(i, j)).alias(f"_m{i}_{j}") for i, j in cells])
     low = F.lit((1 << 16) - 1)
-    return least.select(
+    lanes = least.select(
         key,
+        "_lane",
         *[
-            F.array(*[F.coalesce(F.col(f"_{d}_{j}").bitwiseAND(low), F.lit(-1)).cast("int") for d in range(samples)]).alias(f"samples_{j}")
+            F.array(*[F.coalesce(F.col(f"_m{i}_{j}").bitwiseAND(low), F.lit(-1)).cast("int") for i in range(lane)]).alias(f"_s{j}")
             for j in range(len(counts))
         ],
     )
+    gathered = lanes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_lane", *[f"_s{j}" for j in range(len(counts))]))).alias("_all"))
+    return gathered.select(key, *[F.flatten(F.col(f"_all._s{j}")).alias(f"samples_{j}") for j in range(len(counts))])
 
 
 def likeness(left: Column, right: Column) -> Column:

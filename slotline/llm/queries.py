@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import fingerprints, mixing, neighbours, packing, personal, quality, secrets, sharding
+from slotline.llm import fingerprints, mixing, neighbours, ngram_join, packing, personal, quality, secrets, sharding
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op7_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))
 
 
+@query
+def op8_ngram_join(spark, folder):
+    return ngram_join.report(table(spark, folder, "documents"))
+
+
 @query
 def op9_neighbours(spark, folder):
     return neighbours.report(table(spark, folder, "embeddings"))

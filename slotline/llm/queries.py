@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import fingerprints, mixing, neighbours, ngram_join, packing, personal, quality, secrets, sharding
+import corpus_pipeline
+from slotline.llm import fingerprints, lines, mixing, neighbours, ngram_join, packing, personal, quality, secrets, sharding
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,11 @@ def op4_fingerprints(spark, folder):
     return fingerprints.report(table(spark, folder, "documents"))
 
 
+@query
+def op5_lines(spark, folder):
+    return lines.report(table(spark, folder, "documents"))
+
+
 @query
 def op6_packing(spark, folder):
     return packing.report(table(spark, folder, "documents"))
@@ -61,3 +67,12 @@ def op9_neighbours(spark, folder):
 @query
 def op10_quality(spark, folder):
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

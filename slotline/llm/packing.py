@@ -9,6 +9,7 @@ in the next level, until one group is left or a level no longer helps.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,13 +26,17 @@ UNDERFULL = 32  # a bin with at least so much room is packed again on the next l
 END = 1
 WORDS_KEPT, LONGEST_KEPT = 400_000, 64
 
+#: Letters that composition leaves alone and that have one lower case, then marks that the tokenizer keeps apart from letters.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|#$%&*()\"-]*)")
+
 
 class Words(dict):
     """Token ids of white-space separated words as little-endian bytes.
 
     The tokenizer never joins text across a space or a line break, so a text's ids are those of its words, one after the other.
     Words seen once wait in ``rare``; the second time they move here. Each table is emptied when it is full, so memory is bounded
-    whatever the vocabulary, and a flood of rare words does not wash out the frequent ones.
+    whatever the vocabulary, and a flood of rare words does not wash out the frequent ones. A plain word with marks behind it is looked up
+    as the word and the marks, in lower case, which is how the tokenizer parts it.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,7 +55,11 @@ class Words(dict):
                 self[""] = b""
             self[word] = ids
             return ids
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        simple = _SIMPLE.fullmatch(word)
+        if simple and (simple[2] or not word.islower()):
+            ids = self[simple[1].lower()] + self[simple[2]]
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self.rare) >= WORDS_KEPT:
                 self.rare.clear()

@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents by swap-based local search.
 
 Documents are tokenised where they lie; from then on only (document, piece, length) rows move. Pieces are packed in
-groups of bounded size: best fit, longest first, then a local search among underfull bins. It takes the emptiest bin and moves
-pieces out of it, exchanges one for one, or two for one, with fuller bins; each step raises the sum of squared fills, and it goes on until
-the bin is empty or no step is left. Bins that stay underfull are dissolved, and their pieces meet those of other groups
+groups of bounded size: best fit, longest first, then a local search among underfull bins. A fuller bin takes a piece from an
+emptier one, or exchanges one for one or two for one with it; each step raises the sum of squared fills, so that bins
+empty, and it goes on until no bin can be saved or no step is left. Bins that stay underfull are dissolved, and their pieces meet those of other groups
 in the next level, until one group is left or a level no longer helps.
 """
 
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from slotline.session import Staging
 
-CAPACITY, GROUP = 4096, 8192
+CAPACITY, GROUP = 4096, 4096
 UNDERFULL = 32  # a bin with at least so much room is packed again on the next level
 END = 1
+PARTNERS = 12
 WORDS_KEPT, LONGEST_KEPT = 400_000, 64
 
 #: Letters that composition leaves alone and that have one lower case, then marks that the tokenizer keeps apart from letters.
@@ -144,29 +145,38 @@ def _exchange(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, list[int],
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty bins, from the emptiest on, into fuller ones that have room; every step raises the sum of squared fills."""
+    """Exchange between underfull bins while that raises the sum of squared fills, until the fewest bins possible are left.
+
+    Every fuller bin meets the emptiest ones and those just below it (``PARTNERS`` of each kind) in a pass; a pass without a step ends the search.
+    """
     least = -(-int(lengths.sum()) // capacity)
-    fill = [int(lengths[b].sum()) for b in bins]
-    fixed: list[int] = []
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    while open_ and sum(1 for b in bins if b) > least:
-        victim = open_.pop(0)
-        for target in sorted(open_, key=lambda b: fill[b] - capacity):
-            while bins[victim] and fill[target] < capacity and fill[target] >= fill[victim]:
-                a, b = np.array(bins[victim]), np.array(bins[target])
-                gain, out, into = _exchange(lengths[a], lengths[b], capacity - fill[target])
-                if not gain:
+    held = [np.array(b) for b in bins]
+    fill = [int(lengths[b].sum()) for b in held]
+    alive = len(held)
+    moved = True
+    while moved and alive > least:
+        moved = False
+        order = sorted((b for b in range(len(held)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+        for place in range(len(order) - 1, 0, -1):
+            target = order[place]
+            below = order[:place]
+            for victim in dict.fromkeys(below[:PARTNERS] + below[-PARTNERS:]):
+                while 0 < fill[victim] <= fill[target] < capacity:
+                    a, b = held[victim], held[target]
+                    gain, out, into = _exchange(lengths[a], lengths[b], capacity - fill[target])
+                    if not gain:
+                        break
+                    held[victim] = np.concatenate([np.delete(a, out), b[into]])
+                    held[target] = np.concatenate([np.delete(b, into), a[out]])
+                    fill[victim] -= gain
+                    fill[target] += gain
+                    alive -= fill[victim] == 0
+                    moved = True
+                if fill[target] == capacity or alive == least:
                     break
-                bins[victim] = [int(x) for k, x in enumerate(a) if k not in out] + [int(b[k]) for k in into]
-                bins[target] = [int(x) for k, x in enumerate(b) if k not in into] + [int(a[k]) for k in out]
-                fill[victim] -= gain
-                fill[target] += gain
-            if not bins[victim]:
+            if alive == least:
                 break
-        if bins[victim]:
-            fixed.append(victim)
-        open_ = sorted((b for b in open_ if fill[b] < capacity), key=lambda b: fill[b])
-    return [b for b in bins if b]
+    return [b.tolist() for b in held if len(b)]
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:

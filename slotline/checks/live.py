@@ -253,3 +253,73 @@ SELECT event_id AS request_id, user_id AS client_host, ts AS created_at, allowed
 def rate_admission(spark, d):
     rows = A.requests(spark, d).select("request_id", "client_host", "created_at")
     return activity.rate_admission(rows, limit=3, window_seconds=6 * 3600)
+
+
+_BARE = """bare AS (SELECT event_id AS request_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS client_host,
+  CASE WHEN event_id % 9 = 0 THEN NULL ELSE ts END AS created_at FROM events)"""
+
+
+def _bare_requests(spark, d):
+    rows = A.requests(spark, d).select("request_id", "client_host", "created_at")
+    return rows.withColumns(
+        {
+            "client_host": F.when(F.col("request_id") % 4 != 0, F.col("client_host")),
+            "created_at": F.when(F.col("request_id") % 9 != 0, F.col("created_at")),
+        }
+    )
+
+
+@add(
+    "offered_rate_nulls",
+    f"""WITH {_BARE} SELECT request_id, client_host, created_at,
+  CASE WHEN created_at IS NOT NULL THEN count(*) OVER (PARTITION BY client_host, created_at IS NULL ORDER BY coalesce(epoch_us(created_at), 0)
+    RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) END AS offered,
+  CASE WHEN created_at IS NOT NULL THEN count(*) OVER (PARTITION BY client_host, created_at IS NULL ORDER BY coalesce(epoch_us(created_at), 0)
+    RANGE BETWEEN 599999999 PRECEDING AND 1 PRECEDING) END AS earlier FROM bare""",
+)
+def offered_rate_nulls(spark, d):
+    """A quarter of the requests has no client, a ninth no time."""
+    return activity.offered_rate(_bare_requests(spark, d), window_seconds=600)
+
+
+@add(
+    "rate_admission_nulls",
+    f"""WITH RECURSIVE {_BARE}, ev AS (SELECT *, coalesce(CAST(client_host AS VARCHAR), 'unknown') AS c, epoch_us(created_at) AS us,
+  row_number() OVER (PARTITION BY client_host ORDER BY created_at, request_id) AS rn FROM bare WHERE created_at IS NOT NULL),
+r AS (SELECT c, rn, request_id, client_host, created_at, [us] AS q, true AS allowed, CAST(2 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after
+  FROM ev WHERE rn = 1
+  UNION ALL SELECT c, rn, request_id, client_host, created_at, CASE WHEN len(k) < 3 THEN list_append(k, us) ELSE k END, len(k) < 3,
+    CASE WHEN len(k) < 3 THEN CAST(2 - len(k) AS BIGINT) ELSE 0 END,
+    CASE WHEN len(k) < 3 THEN 0 ELSE greatest(1, (600000000 - (us - k[1])) // 1000000) END
+  FROM (SELECT e.*, list_filter(r.q, lambda x : e.us - x < 600000000) AS k FROM r JOIN ev e ON e.c = r.c AND e.rn = r.rn + 1))
+SELECT request_id, client_host, created_at, allowed, remaining, retry_after FROM r
+UNION ALL SELECT request_id, client_host, created_at, NULL, NULL, NULL FROM bare WHERE created_at IS NULL""",
+)
+def rate_admission_nulls(spark, d):
+    """Requests without a client are limited as one client; those without a time are not judged."""
+    return activity.rate_admission(_bare_requests(spark, d), limit=3, window_seconds=600)
+
+
+@add(
+    "board_reset_upsert",
+    A.final(
+        """SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (
+      PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 4 <> 1) WHERE rn = 1""",
+        "value",
+        "user_id event_id",
+    ),
+)
+def board_reset_upsert(spark, d):
+    """Seed, upsert, reset to the seed, then two sources that both start at batch 0; what came before the reset is gone, nothing else is."""
+    rows = A.table(spark, d, "events").select(*_UPSERTS)
+    part = lambda k: rows.where(F.col("event_id") % 4 == k)
+    order = ["ts", "event_id"]
+    path = scratch_path(spark, "board")
+    seed = activity.upsert_latest(rows.limit(0), part(0), "user_id", order)
+    B.seed_if_empty(seed, path)
+    B.upsert_batch(part(1), path, 0, "user_id", order, "one")
+    B.reset(seed, path)
+    B.upsert_batch(part(1), path, 0, "user_id", order, "one")  # delivered before, so it changes nothing
+    B.upsert_batch(part(2), path, 1, "user_id", order, "one")
+    B.upsert_batch(part(3), path, 0, "user_id", order, "two")
+    return B.read_board(spark, path)

@@ -55,6 +55,29 @@ def scan_observations(spark, d):
     return S.read_observations_csv(spark, path, timestamp_format=stamp)
 
 
+@add(
+    "scan_damaged",
+    """SELECT CAST(count(*) FILTER (WHERE event_id % 10 > 2) AS BIGINT) AS readable,
+  CAST(count(*) FILTER (WHERE event_id % 10 <= 2) AS BIGINT) AS damaged,
+  CAST(sum(event_id) FILTER (WHERE event_id % 10 > 2) AS BIGINT) AS readable_ids FROM events""",
+)
+def scan_damaged(spark, d):
+    """The feed with unreadable times, numbers and field counts in three rows of ten: all rows are found on one side."""
+    back = {v: k for k, v in fixed.SOURCE_HEADER.items()}
+    path = scratch_path(spark, "csv")
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    kind = F.col("record_id") % 10
+    feed = A.observations(spark, d).withColumn("timestamp", F.date_format("timestamp", stamp))
+    feed = feed.withColumn("timestamp", F.when(kind == 0, F.lit("noon-ish")).otherwise(F.col("timestamp")))
+    feed = feed.withColumn("occupancy", F.when(kind == 1, F.lit("many")).otherwise(F.col("occupancy").cast("string")))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fixed.SOURCE_HEADER.values()]
+    line = F.when(kind == 2, F.concat_ws(",", *texts, F.lit("surplus"))).otherwise(F.concat_ws(",", *texts))
+    feed.select(F.when(line.isNull(), "").otherwise(line).alias("value")).write.text(path)
+    good, damaged = S.split_observations_csv(spark, path, timestamp_format=stamp, header=False)
+    sums = good.agg(F.count(F.lit(1)).alias("readable"), F.sum("record_id").alias("readable_ids"))
+    return sums.crossJoin(damaged.agg(F.count(F.lit(1)).alias("damaged"))).select("readable", "damaged", "readable_ids")
+
+
 @add("key_catalog", "SELECT DISTINCT event_type AS system_code FROM events WHERE event_type IS NOT NULL")
 def _key_catalog(spark, d):
     return key_catalog(A.observations(spark, d), "system_code")

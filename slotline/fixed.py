@@ -245,5 +245,6 @@ QUIET_QUEUE_LIMIT = 2
 SPILL_TARGET = {"gain": 0.12, "per_step": 0.02, "floor": 0.93, "ceiling": 0.99}
 
 # --- request audit ---------------------------------------------------------
+UNKNOWN_CLIENT = "unknown"
 REQUEST_LIMIT = 180
 REQUEST_WINDOW_SECONDS = 60

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotline import fixed
+from slotline.session import stage
 
 
 def recent_rows(df: DataFrame, time: str, n: int, tie_break: str) -> DataFrame:
@@ -92,9 +93,12 @@ def offered_rate(
     Adds ``offered`` (all in the window) and ``earlier`` (strictly before the current instant). A request aged
     exactly the window has left it. Clients are split into time buckets; a request near the end of a
     bucket is also sent to the next one as context, so one busy client never has to fit into a task.
+    Requests without a client are one client, the unknown; requests without a time have null counts.
     """
     rated = _rated(requests, client, time, window_seconds, bucket_seconds)
-    return rated.select(*requests.columns, "offered", "earlier")
+    none = F.lit(None).cast("long")
+    untimed = requests.where(F.col(time).isNull()).select("*", none.alias("offered"), none.alias("earlier"))
+    return rated.select(*requests.columns, "offered", "earlier").unionByName(untimed)
 
 
 def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, bucket_seconds: int) -> DataFrame:
@@ -105,7 +109,8 @@ def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, buc
     at = F.unix_micros(F.col(time).cast("timestamp"))
     home = F.floor(F.col("_us") / F.lit(span)).cast("long")
     rows = (
-        requests.select("*", at.alias("_us"))
+        requests.where(F.col(time).isNotNull())
+        .select("*", at.alias("_us"), F.coalesce(F.col(client).cast("string"), F.lit(fixed.UNKNOWN_CLIENT)).alias("_client"))
         .withColumn("_home", home)
         .withColumn(
             "_bucket",
@@ -117,7 +122,7 @@ def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, buc
             ),
         )
     )
-    order = Window.partitionBy(client, "_bucket").orderBy("_us")
+    order = Window.partitionBy("_client", "_bucket").orderBy("_us")
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumns(
@@ -176,27 +181,29 @@ def rate_admission(
     A request with nothing in the window before it starts a burst with an empty limiter, so bursts are
     independent. A burst that never offers more than ``limit`` admits everything and stays in
     built-in operators. Only overloaded bursts are replayed in order, streamed through sorted partitions with at
-    most ``limit`` instants of state.
+    most ``limit`` instants of state. Requests without a client are one client, the unknown; a request without
+    a time is not judged (null in all three columns).
     """
     reach = window_seconds * 1_000_000
     bucket_seconds = max(3600, window_seconds)
     rated = _rated(requests, client, time, window_seconds, bucket_seconds)
     # A burst that began in an earlier bucket: one row per client and bucket is carried forward.
-    before = Window.partitionBy(client).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_client").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rated = stage(rated, "rated")
     carried = (
-        rated.groupBy(client, "_bucket")
+        rated.groupBy("_client", "_bucket")
         .agg(F.max("_start").alias("_last"))
-        .select(client, "_bucket", F.max("_last").over(before).alias("_carried"))
+        .select("_client", "_bucket", F.max("_last").over(before).alias("_carried"))
     )
     marked = (
-        rated.join(carried, [client, "_bucket"], "left")
+        rated.join(carried, ["_client", "_bucket"], "left")
         .withColumn("_burst", F.coalesce("_start", "_carried"))
         .drop("_start", "_carried", "_bucket")
     )
-    peers = Window.partitionBy(client, "_burst", "_us").orderBy(tie_break)
-    numbered = marked.withColumn("_nth", F.col("earlier") + F.row_number().over(peers))
-    load = numbered.groupBy(client, "_burst").agg(F.max("offered").alias("_peak"))
-    judged = numbered.join(load, [client, "_burst"])
+    peers = Window.partitionBy("_client", "_burst", "_us").orderBy(tie_break)
+    numbered = stage(marked.withColumn("_nth", F.col("earlier") + F.row_number().over(peers)), "numbered")
+    load = numbered.groupBy("_client", "_burst").agg(F.max("offered").alias("_peak"))
+    judged = numbered.join(load, ["_client", "_burst"])
 
     keep = requests.columns
     calm = judged.where(F.col("_peak") <= limit).select(
@@ -207,15 +214,14 @@ def rate_admission(
     )
     busy = (
         judged.where(F.col("_peak") > limit)
-        .select(
-            *keep,
-            F.col(client).cast("string").alias("_client"),
-            "_burst",
-            "_us",
-        )
+        .select(*keep, "_client", "_burst", "_us")
         .repartition("_client", "_burst")
         .sortWithinPartitions("_client", "_burst", "_us", tie_break)
     )
+    none = F.lit(None)
+    untimed = requests.where(F.col(time).isNull()).select(
+        *keep, none.cast("boolean").alias("allowed"), none.cast("long").alias("remaining"), none.cast("long").alias("retry_after")
+    )
     schema = T.StructType(
         [requests.schema[c] for c in keep]
         + [
@@ -224,7 +230,7 @@ def rate_admission(
             T.StructField("retry_after", T.LongType()),
         ]
     )
-    return calm.unionByName(busy.mapInPandas(_admit(limit, reach, keep), schema))
+    return calm.unionByName(busy.mapInPandas(_admit(limit, reach, keep), schema)).unionByName(untimed)
 
 
 def event_key(*parts: str | Column) -> Column:

@@ -32,7 +32,11 @@ def asof_join(
         return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(span)).cast("long")
 
     payload = F.struct(*[F.col(src).alias(out) for src, out in right_columns.items()])
-    found = right.where(F.col(right_time).isNotNull()).select(
+    # A null key equals no key: such right rows are no match, such left rows stay without one.
+    usable = F.col(right_time).isNotNull()
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    found = right.where(usable).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         bucket_of(right_time).alias("_bucket"),
         F.col(right_time).alias("_at"),

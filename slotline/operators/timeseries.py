@@ -33,15 +33,26 @@ def slot_aggregate(
     averaged: Sequence[str] = ("latitude", "longitude", "occupancy", "queue_length"),
     commonest: Sequence[str] = ("vehicle_type", "traffic_condition_nearby"),
 ) -> DataFrame:
-    """One row per key and slot. Rows without key or time belong to no slot."""
+    """One row per key and slot. Rows without key or time belong to no slot.
+
+    Raw rows are combined by slot and ``commonest`` values with fixed-width buffers in generated code; only the few
+    combinations of a slot are folded into its row.
+    """
     rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    measures = (
-        [F.min(c).alias(c) for c in smallest]
-        + [F.max(c).alias(c) for c in largest]
-        + [F.avg(X.nan_to_null(c)).alias(c) for c in averaged]
-        + [mode_smallest(c).alias(c) for c in commonest]
+    extremes = [F.min(c).alias(c) for c in smallest] + [F.max(c).alias(c) for c in largest]
+    sums = [F.sum(X.nan_to_null(c).cast("double")).alias(f"_sum_{c}") for c in averaged]
+    counts = [F.count(X.nan_to_null(c)).alias(f"_n_{c}") for c in averaged]
+    combined = rows.groupBy(key, X.slot_round(time, minutes).alias(slot), *commonest).agg(
+        *extremes, *sums, *counts, F.count(F.lit(1)).alias("_rows")
+    )
+    for c in commonest:
+        often = F.sum("_rows").over(Window.partitionBy(key, slot, c))
+        combined = combined.withColumn(f"_top_{c}", F.when(F.col(c).isNotNull(), F.struct((-often).alias("n"), F.col(c).alias("v"))))
+    return combined.groupBy(key, slot).agg(
+        *extremes,
+        *[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(c) for c in averaged],
+        *[F.min(f"_top_{c}")["v"].alias(c) for c in commonest],
     )
-    return rows.groupBy(key, X.slot_round(time, minutes).alias(slot)).agg(*measures)
 
 
 def clean_measures(df: DataFrame, null_occupancy: str = "full") -> DataFrame:

@@ -9,20 +9,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotline import fixed, schemas
+from slotline.session import stage
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
+DAMAGED = "damaged_row"
+
+
 def read_observations_csv(
-    spark: SparkSession, path: str, timestamp_format: str | None = None, mode: str = "PERMISSIVE"
+    spark: SparkSession, path: str, timestamp_format: str | None = None, mode: str = "FAILFAST"
 ) -> DataFrame:
-    """The raw feed with its source header, renamed to the library's columns."""
+    """The raw feed with its source header, renamed to the library's columns. A row that cannot be read fails the read."""
+    return _feed(spark, path, timestamp_format, mode).select(*fixed.SOURCE_HEADER.values())
+
+
+def split_observations_csv(
+    spark: SparkSession, path: str, timestamp_format: str | None = None, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of the feed, and the damaged ones as text (``damaged_row``): none is lost between the two.
+
+    Damaged are rows with a field that does not fit its column's type, with missing or with surplus fields.
+    """
+    rows = _feed(spark, path, timestamp_format, "PERMISSIVE", header)
+    # The reader refuses a scan of the text column alone, and a row counts as damaged by all its fields: a written copy serves both.
+    seen = stage(rows, "feed")
+    return seen.where(F.col(DAMAGED).isNull()).drop(DAMAGED), seen.where(F.col(DAMAGED).isNotNull()).select(DAMAGED)
+
+
+def _feed(spark: SparkSession, path: str, timestamp_format: str | None, mode: str, header: bool = True) -> DataFrame:
     kinds = {f.name: f.dataType for f in schemas.OBSERVATIONS}
-    declared = T.StructType([T.StructField(h, kinds[c]) for h, c in fixed.SOURCE_HEADER.items()])
-    reader = spark.read.schema(declared).option("header", True).option("mode", mode)
+    declared = [T.StructField(h, kinds[c]) for h, c in fixed.SOURCE_HEADER.items()]
+    reader = spark.read.schema(T.StructType([*declared, T.StructField(DAMAGED, T.StringType())]))
+    reader = reader.option("header", header).option("mode", mode).option("columnNameOfCorruptRecord", DAMAGED)
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
-    return reader.csv(path).withColumnsRenamed(fixed.SOURCE_HEADER)
+    # Without pruning in the parser a row is judged by all its fields, whatever is selected later.
+    return reader.option("columnPruning", False).csv(path).withColumnsRenamed(fixed.SOURCE_HEADER)
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

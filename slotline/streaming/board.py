@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from slotline.operators.activity import upsert_latest
+from slotline.streaming.ingest import checkpoint_id
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -47,6 +48,22 @@ def seed_if_empty(baseline: DataFrame, path: str) -> bool:
     return True
 
 
+def merged_until(spark: SparkSession, path: str, source: str) -> int:
+    """Number of the last micro-batch of ``source`` that any version holds; -1 when there is none.
+
+    Every version that merged a micro-batch keeps a marker file with the source and the batch id, so a reset or a
+    second source changes nothing about what a source has delivered.
+    """
+    at, fs, jvm = _file_system(spark, path)
+    last = -1
+    for number in versions(spark, path):
+        for item in fs.listStatus(jvm.org.apache.hadoop.fs.Path(at, f"v{number:012d}")):
+            name = item.getPath().getName()
+            if name.startswith(f"_merged.{source}."):
+                last = max(last, int(name.rpartition(".")[2]))
+    return last
+
+
 def reset(baseline: DataFrame, path: str) -> int:
     """Put the baseline back as the newest version."""
     known = versions(baseline.sparkSession, path)
@@ -56,16 +73,22 @@ def reset(baseline: DataFrame, path: str) -> int:
 
 
 def upsert_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: list[str],
-                 offset: int = 1) -> bool:
-    """Merge one micro-batch into the board. A batch id that is already merged changes nothing."""
+                 source: str = "batch") -> bool:
+    """Merge one micro-batch of ``source`` into the board as its next version.
+
+    A batch id that this source has delivered before changes nothing; version numbers are only an order.
+    """
     spark = batch.sparkSession
-    number = batch_id + offset
-    known = versions(spark, path)
-    if known and known[-1] >= number:
+    if merged_until(spark, path, source) >= batch_id:
         return False
+    known = versions(spark, path)
     board = read_board(spark, path)
     merged = upsert_latest(batch.limit(0) if board is None else board, batch, key, order)
+    number = known[-1] + 1 if known else 0
     write_version(merged, path, number)
+    # Merging the same batch twice gives the same board, so a crash before the marker does no harm.
+    at, fs, jvm = _file_system(spark, f"{path}/v{number:012d}/_merged.{source}.{batch_id}")
+    fs.create(at).close()
     return True
 
 
@@ -74,7 +97,8 @@ def board_stream(changes: DataFrame, path: str, checkpoint: str, key: str, order
     """Keep the board current from a stream. ``prepare`` adds context and scores per micro-batch."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(prepare(batch) if prepare else batch, path, batch_id, key, order)
+        source = checkpoint_id(batch.sparkSession, checkpoint)
+        upsert_batch(prepare(batch) if prepare else batch, path, batch_id, key, order, source)
 
     return (
         changes.writeStream.foreachBatch(merge)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,10 @@ def rules() -> dict[str, Column]:
     between = lambda c, low, high: (F.col(c) < low) | (F.col(c) > high)
     stamp = F.col("timestamp")
     return {
-        "occupancy": F.col("occupancy").isNull() | (F.col("occupancy") < 0),
+        "occupancy": F.col("occupancy").isNull() | F.isnan("occupancy") | (F.col("occupancy") < 0),
         "queue_length": between("queue_length", 0, fixed.QUEUE_LIMIT),
         "is_special_day": between("is_special_day", 0, 1),
-        "capacity": F.col("capacity") <= 0,
+        "capacity": (F.col("capacity") <= 0) | F.isnan("capacity"),
         "timestamp": stamp.isNotNull() & F.try_to_timestamp(stamp).isNull(),
         "traffic_condition_nearby": ~F.col("traffic_condition_nearby").isin(*fixed.TRAFFIC_LEVELS),
     }
@@ -66,16 +68,25 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.parquet(folder)
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream got with its checkpoint; a fresh checkpoint is another source with batch ids of its own."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def split_stream(events: DataFrame, known: DataFrame, valid_path: str, quarantine_path: str,
                  checkpoint: str) -> StreamingQuery:
-    """Valid rows and quarantined rows to their tables. A replayed batch overwrites its own folder."""
+    """Valid rows and quarantined rows to their tables, in folders by source (checkpoint) and batch.
+
+    A replayed batch overwrites its own folder and no other; a stream that starts anew adds to what is there.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         judged = validate(batch, known).persist()
+        own = f"source={checkpoint_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
         good = with_defaults(judged.where("is_valid")).drop("problems", "is_valid")
-        good.write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
+        good.write.mode("overwrite").parquet(f"{valid_path}/{own}")
         judged.where("NOT is_valid").drop("is_valid").write.mode("overwrite").parquet(
-            f"{quarantine_path}/batch={batch_id}"
+            f"{quarantine_path}/{own}"
         )
         judged.unpersist()
 

@@ -107,6 +107,28 @@ def test_board_versions(spark):
     assert state()["a"] == 6.0
     B.reset(base, path)
     assert state() == {"a": 1.0, "b": 2.0}
+    # The batch after a reset is merged, and another source's batch 0 is no replay of this one's.
+    assert B.upsert_batch(make([("a", later, 3, 7.0)]), path, 1, "k", ["at", "n"])
+    assert B.upsert_batch(make([("b", later, 1, 8.0)]), path, 0, "k", ["at", "n"], "other")
+    assert not B.upsert_batch(make([("b", later, 9, 0.0)]), path, 0, "k", ["at", "n"], "other")
+    assert state() == {"a": 7.0, "b": 8.0}
+
+
+def test_fresh_checkpoints_lose_nothing(spark):
+    known = spark.createDataFrame([("a",)], "system_code string")
+    ok, bad, board = (scratch_path(spark, n) for n in ("ok", "bad", "board"))
+    for run in range(2):
+        rows = [("a", float(run), 3, "low", 0, f"2024-01-0{run + 1} 08:00:00", None, 10.0, None, None),
+                ("a", float("nan"), 3, "low", 0, None, None, 10.0, None, None)]
+        path = scratch_path(spark, "in")
+        spark.createDataFrame(rows, schemas.INGEST_EVENT).coalesce(1).write.parquet(path)
+        stream = ingest.read_files(spark, path, schemas.INGEST_EVENT)
+        ingest.split_stream(stream, known, ok, bad, scratch_path(spark, "cp")).awaitTermination()
+        changes = ingest.read_files(spark, path, schemas.INGEST_EVENT).where("NOT isnan(occupancy)")
+        B.board_stream(changes, board, scratch_path(spark, "cp"), "system_code", ["timestamp"]).awaitTermination()
+    assert sorted(r.occupancy for r in spark.read.parquet(ok).collect()) == [0.0, 1.0]
+    assert {r.problems for r in spark.read.parquet(bad).collect()} == {"occupancy"} and spark.read.parquet(bad).count() == 2
+    assert [r.occupancy for r in B.read_board(spark, board).collect()] == [1.0]
 
 
 def test_reports_and_tables_round_trip(spark):

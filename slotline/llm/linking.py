@@ -10,6 +10,8 @@ windows: a ring meets itself and the next one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,15 +20,44 @@ from pyspark.sql import functions as F
 from slotline.session import Staging
 
 ROUNDS = 3  # pivots per region before the rest is compared pair by pair
+FEW = 500_000  # links that one task may join
 CELL = 512  # members that one task compares with each other or with as many others
 
 
-def components(links: DataFrame, held: Staging, name: str) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links (a, b) and the smallest node that each is connected with, by minima and pointer jumping."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def components(links: DataFrame, held: Staging, name: str, few: int = FEW) -> DataFrame:
     """(node, root) for every node of links (a, b): the smallest node that it is connected with.
 
-    Large-star and small-star steps in turn; each shortens all paths, and every step is a grouped minimum and a join.
+    Large-star and small-star steps in turn; each shortens all paths, and every step is a grouped minimum and a join. Links of
+    a bounded number (``few``) are joined by one task instead, with the same result.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges = held.keep(edges.distinct(), f"{name}edges")
+    if edges.limit(few + 1).count() <= few:
+
+        def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [(f["a"].to_numpy(), f["b"].to_numpy()) for f in frames if len(f)]
+            if parts:
+                nodes, root = _roots(*(np.concatenate(x) for x in zip(*parts)))
+                yield pd.DataFrame({"node": nodes, "root": root})
+
+        return edges.coalesce(1).mapInPandas(one, "node long, root long")
     before, turn = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -63,6 +94,10 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
     those of all pairs that share a region and whose similarity is at least ``percent``.
     """
     epsilon = 1 - percent / 100
+    # Alike items share many regions; regions with the same members (by two 64-bit sums) ask for the same pairs.
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"_s{k}") for k in (1, 2)]
+    told_apart = members.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_s1", "_s2").agg(F.min("region").alias("region"))
+    members = held.keep(members.join(told_apart.select("region"), "region"), "regions")
     open_ = members.select("region", "item", "size", F.array().cast("array<float>").alias("away"), F.col("item").alias("root"))
     links, labels, turn = None, None, 0
 
@@ -99,7 +134,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
             break
         open_ = open_.drop("count")
 
-    pairs = held.keep(windows(open_ if "count" in open_.columns else unsettled(open_), epsilon, percent).distinct(), "pairs")
+    pairs = held.keep(windows(open_ if "count" in open_.columns else unsettled(open_), epsilon, percent, turn).distinct(), "pairs")
     told = held.keep(compared(pairs, sets).filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b"), "last")
     if not told.isEmpty():
         if labels is not None:
@@ -108,7 +143,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
     return labels
 
 
-def windows(rows: DataFrame, epsilon: float, percent: int) -> DataFrame:
+def windows(rows: DataFrame, epsilon: float, percent: int, pivots: int) -> DataFrame:
     """Pairs (a, b) of one region that its pivots leave possible: other component, like size, like distances.
 
     Rows go to the ring of their distance to the first pivot, and as window rows to the ring before. A ring with more than ``CELL`` rows is cut
@@ -122,28 +157,17 @@ def windows(rows: DataFrame, epsilon: float, percent: int) -> DataFrame:
     last = F.lit(int(1 / epsilon) + 1).cast("bigint")
     rings = F.when(unknown, F.sequence(F.lit(-1).cast("bigint"), last)).otherwise(F.array(F.col("ring"), F.col("ring") - 1))
     dealt = placed.withColumn("at", F.explode(rings)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = unknown | (F.col("ring") == F.col("at"))
+    cell = ["region", "at", "c1", "c2"]
     cells = dealt.select(
-        "region", "at", F.least("chunk", "with").alias("c1"), F.greatest("chunk", "with").alias("c2"), "item", "size", "root", "away"
+        "region", "at", F.least("chunk", "with").alias("c1"), F.greatest("chunk", "with").alias("c2"),
+        *[F.col(c).alias(f"{c}_a") for c in ("item", "size", "root", "away", "chunk")], own.alias("own_a"),
     )
-    share = percent / 100
-
-    def cross(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("size", ignore_index=True)
-        n = len(frame)
-        item, root, size = (frame[c].to_numpy() for c in ("item", "root", "size"))
-        away = np.array([np.asarray(x, float) for x in frame["away"]]).reshape(n, -1)
-        out_a, out_b = [], []
-        ends = np.searchsorted(size, size / share + 1e-9, side="right")
-        for i in range(n):
-            j = np.arange(i + 1, ends[i])
-            if not len(j):
-                continue
-            fits = root[j] != root[i]
-            gap = np.abs(away[j] - away[i])
-            fits &= (np.isnan(gap) | (gap <= epsilon + 1e-6)).all(axis=1)
-            for k in j[fits]:
-                out_a.append(max(item[i], item[k]))
-                out_b.append(min(item[i], item[k]))
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return cells.groupBy("region", "at", "c1", "c2").applyInPandas(cross, "a long, b long").filter("a <> b")
+    other = cells.select(*cell, *[F.col(c).alias(c[:-1] + "b") for c in cells.columns[4:]])
+    possible = near_enough(F.least("size_a", "size_b"), F.greatest("size_a", "size_b"), percent)
+    for k in range(pivots):
+        gap = F.abs(F.element_at("away_a", k + 1) - F.element_at("away_b", k + 1))
+        possible = possible & F.coalesce(gap <= F.lit(epsilon + 1e-6), F.lit(True))
+    same_chunk = (F.col("c1") == F.col("c2")) | (F.col("chunk_a") != F.col("chunk_b"))
+    wanted = (F.col("item_a") > F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("own_a") | F.col("own_b"))
+    return cells.join(other, cell).filter(wanted & same_chunk & possible).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))

@@ -357,7 +357,8 @@ def test_line_dedup(spark, texts, empty):
     assert lines.report(empty).count() == 0 and lines.without_repeats(empty).count() == 0
 
 
-def test_components(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
     from slotline.llm.linking import components
 
     r = np.random.default_rng(1)
@@ -367,7 +368,7 @@ def test_components(spark, tmp_path):
         if a != b:
             u.join(a, b)
     with Staging(spark, "test") as held:
-        out = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long"), held, "c").collect()}
+        out = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long"), held, "c", few).collect()}
     assert out == {n: u.find(n) for n in u.p}
 
 

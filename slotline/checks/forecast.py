@@ -287,7 +287,7 @@ def _enrich(slots):
 
 @add("cluster_sites")
 def cluster_sites(spark, d):
-    out, summary = cluster.choose_clusters(many_site_profiles(spark, d))
+    out, summary = cluster.choose_clusters(many_site_profiles(spark, d), measure="euclidean")
     return out.select("system_code", "cluster", "pca_1", "pca_2").withColumn(
         "silhouette", F.lit(float(summary["silhouette_score"]))
     )
@@ -428,29 +428,6 @@ def what_if(spark, d):
 # --- records ----------------------------------------------------------------
 
 
-@add("registry_record")
-def registry_record(spark, d):
-    forecasts = A.forecasts(spark, d)
-    metrics = ev.metrics_table(forecasts, "actual", "predicted")
-    weights = {
-        r["model"]: r["weight"] for r in ev.ensemble_weights(forecasts, "actual", "predicted").collect()
-    }
-    cut = ev.split_time(forecasts).first()["split_time"]
-    back = training.backtest_persistence(_back_rows(spark, d), "actual", "predicted")
-    return reports.registry_record(metrics, cut, weights, drift_rows(spark, d), back).drop("generated_at_utc")
-
-
-@add("project_summary")
-def project_summary(spark, d):
-    slots = staged_slots(spark, d)
-    forecasts = A.forecasts(spark, d)
-    metrics = ev.metrics_table(forecasts, "actual", "predicted")
-    horizons = metrics.select(F.col("model").alias("forecast_horizon"), "rmse")
-    board = decide.recommend(A.board(spark, d), ordered=False)
-    cut = ev.split_time(forecasts).first()["split_time"]
-    return reports.project_summary(slots, metrics, horizons, board, cut)
-
-
 @add("forecast_board")
 def forecast_board(spark, d):
     """Train both models, score the newest row of each site and rank the board."""

@@ -216,14 +216,6 @@ def alert_counts(spark, d):
     return decide.alert_counts(decide.ops_alerts(*_alert_inputs(spark, d)))
 
 
-@add("ops_summary")
-def ops_summary(spark, d):
-    from slotline.operators import evaluate as ev
-
-    metrics = ev.metrics_table(A.forecasts(spark, d), "actual", "predicted")
-    return reports.ops_summary(*_alert_inputs(spark, d), metrics=metrics).drop("as_of_utc")
-
-
 @add(
     "offered_rate",
     """SELECT event_id AS request_id, user_id AS client_host, ts AS created_at,

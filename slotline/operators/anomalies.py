@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from slotline import fixed
 from slotline.functions import columns as X
 from slotline.operators.order import exact_quantiles
+from slotline.session import stage
 
 TREE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double, size int"
 
@@ -158,8 +159,11 @@ def detect_anomalies(
     reason: Column | None = None,
     **settings,
 ) -> DataFrame:
-    """Flagged rows with score and reason, most anomalous first."""
-    scored = isolation_scores(df, features, identity, **settings)
+    """Flagged rows with score and reason, most anomalous first.
+
+    Scores are worked out once and written with their rows: the quantile reads them several times.
+    """
+    scored = stage(isolation_scores(df, features, identity, **settings), "scores")
     return (
         flag_above_quantile(scored, "anomaly_score")
         .where(F.col("anomaly_flag") == 1)

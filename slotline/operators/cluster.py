@@ -160,7 +160,7 @@ def choose_clusters(
     key: str = "system_code",
     features: Sequence[str] = tuple(fixed.PROFILE_FEATURES),
     largest_k: int = 5,
-    measure: str = "euclidean",
+    measure: str = "squared",
 ) -> tuple[DataFrame, dict]:
     """k-means for k = 2..min(5, n - 1); the best silhouette wins, the smaller k on a tie."""
     names = [f"z_{c}" for c in features]

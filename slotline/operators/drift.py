@@ -86,9 +86,15 @@ def drift_report(df: DataFrame, features: Sequence[str], reference: Column) -> D
     )
 
 
-def drift_record(df: DataFrame, features: Sequence[str], time: str, split: Column) -> DataFrame:
-    """The report as one nested row. The feature list is as long as ``features``."""
-    rows = drift_scores(df, features, F.col(time) <= split).withColumn("drift_level", X.drift_level("psi"))
+def drift_record(
+    df: DataFrame, features: Sequence[str], time: str, split: Column, rows: DataFrame | None = None
+) -> DataFrame:
+    """The report as one nested row. The feature list is as long as ``features``.
+
+    ``rows`` are drift rows that were worked out before (``drift_report``); without them they are worked out here.
+    """
+    if rows is None:
+        rows = drift_report(df, features, F.col(time) <= split)
     item = F.struct(
         (-F.round("psi", 6)).alias("order"),
         F.col("feature"),

@@ -9,6 +9,7 @@ from slotline import fixed
 from slotline.functions import columns as X
 from slotline.operators import spatial
 from slotline.operators import timeseries as ts
+from slotline.session import pin_time_zone
 
 
 def enrich_slots(slots: DataFrame, minutes: int = fixed.SLOT_MINUTES, null_occupancy: str = "full") -> DataFrame:
@@ -28,6 +29,7 @@ def build_clean(observations: DataFrame, minutes: int = fixed.SLOT_MINUTES,
     Shuffles: one for the (site, slot) aggregation, which carries combined rows only, and one
     by site that the session, lag and same-slot windows that follow all share.
     """
+    pin_time_zone(observations.sparkSession)
     return (
         ts.slot_aggregate(observations, minutes=minutes)
         .transform(enrich_slots, minutes, null_occupancy)

@@ -35,15 +35,17 @@ def run(
     def put(name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         paths[name] = f"{folder.rstrip('/')}/{name}"
         S.write_table(df, paths[name], partition_by)
-        return S.read_table(spark, paths[name])
+        back = S.read_table(spark, paths[name])
+        # A partition column comes back with an inferred type.
+        return back.select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
 
     def report(name: str, df: DataFrame) -> None:
         paths[name] = f"{folder.rstrip('/')}/{name}"
         S.write_report(df, paths[name])
 
-    clean = put("clean", features.build_clean(observations))
+    clean = put("clean", features.build_clean(observations), ("date",))
     edges = put("neighbour_graph", spatial.knn_graph(spatial.canonical_sites(clean)))
-    table = put("model_table", features.build_model_table(clean, edges))
+    table = put("model_table", features.build_model_table(clean, edges), ("date",))
 
     trained = training.train_and_evaluate(table, forest, boost)
     metrics = trained["metrics"]
@@ -80,7 +82,7 @@ def run(
     cut = F.lit(trained["split_time"])
     reference = F.col("target_time_slot") <= cut
     drift_rows = put("drift", drift.drift_report(table, fixed.DRIFT_FEATURES, reference))
-    report("drift_report", drift.drift_record(table, fixed.DRIFT_FEATURES, "target_time_slot", cut))
+    report("drift_report", drift.drift_record(table, fixed.DRIFT_FEATURES, "target_time_slot", cut, drift_rows))
     back, back_predictions = training.backtest(table, boost)
     backtest = put("backtest_metrics", back)
     put("backtest_predictions", back_predictions)

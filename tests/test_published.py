@@ -133,6 +133,6 @@ def test_cluster_choice_runs_over_all_k(spark):
         (f"s{i:02d}", *map(float, line.split("|")[:-1]))
         for i, line in enumerate(PROFILES.strip().splitlines())
     ]
-    out, summary = cluster.choose_clusters(spark.createDataFrame(rows, ["system_code", *fixed.PROFILE_FEATURES]))
+    out, summary = cluster.choose_clusters(spark.createDataFrame(rows, ["system_code", *fixed.PROFILE_FEATURES]), measure="euclidean")
     assert out.count() == 14 and 2 <= summary["optimal_clusters"] <= 5
     assert summary["silhouette_score"] > 0.2

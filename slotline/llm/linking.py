@@ -1,8 +1,8 @@
 """Links between sets that are alike, found region by region, and the connected components they form.
 
 A region is a group of items that share a key (a shingle, a band). Its smallest item is the pivot; every member's exact
-similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Members linked to the pivot are connected, so no
-pair among them is looked at. What stays unconnected inside a region meets again around other pivots, and in
+similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Bitmaps rule most
+pairs out before elements are fetched. Members linked to the pivot are connected, so no pair among them is looked at. What stays unconnected inside a region meets again around other pivots, and in
 the end pair by pair, but only where the triangle inequality allows it: Jaccard distance is a metric, so two items whose distances to a
 pivot differ by more than the threshold are no link. Rings around the pivot, as wide as the threshold, hold these
 windows: a ring meets itself and the next one.
@@ -21,6 +21,7 @@ from slotline.session import Staging
 
 ROUNDS = 3  # pivots per region before the rest is compared pair by pair
 FEW = 500_000  # links that one task may join
+BITS = 2048  # of the bitmap that rules pairs out before their elements are fetched
 CELL = 512  # members that one task compares with each other or with as many others
 
 
@@ -87,6 +88,38 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (F.col("_n") + F.col("_m") - F.col("shared")).alias("together"))
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(item, n, marks): size of every set and a bitmap of ``BITS`` bits in which each element marks one."""
+
+    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            marks = []
+            for elements in frame["elements"]:
+                bits = np.zeros(BITS, bool)
+                bits[np.asarray(elements).view(np.uint64) % np.uint64(BITS)] = True
+                marks.append(np.packbits(bits).view(np.int64))
+            yield pd.DataFrame({"item": frame["item"], "n": frame["elements"].map(len), "marks": marks})
+
+    return sets.mapInPandas(one, "item long, n int, marks array<long>")
+
+
+def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) that the bitmaps leave possible.
+
+    Every bit that only one of two sets marks stands for an element the other lacks, so they share at most
+    their size less those bits: no pair that is alike enough is left out, and elements move for the others only.
+    """
+    left = marks.select(F.col("item").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
+    right = marks.select(F.col("item").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
+
+    def alone(x: str, y: str) -> Column:
+        bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+
+    most = F.least(F.col("_n") - alone("_x", "_y"), F.col("_m") - alone("_y", "_x"))
+    return pairs.join(left, "a").join(right, "b").filter(near_enough(most, F.col("_n") + F.col("_m") - most, percent)).select("a", "b")
+
+
 def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> DataFrame | None:
     """(node, root) of all items that are linked; None when nothing is.
 
@@ -99,7 +132,26 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
     told_apart = members.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_s1", "_s2").agg(F.min("region").alias("region"))
     members = held.keep(members.join(told_apart.select("region"), "region"), "regions")
     open_ = members.select("region", "item", "size", F.array().cast("array<float>").alias("away"), F.col("item").alias("root"))
-    links, labels, turn = None, None, 0
+    marks = held.keep(bitmaps(sets), "marks")
+    labels, turn = None, 0
+
+    def told_of(pairs: DataFrame, name: str) -> DataFrame:
+        """Similarities of the promising ``pairs``; ``labels`` takes the links among them in."""
+        nonlocal labels
+        told = held.keep(compared(promising(pairs, marks, percent), sets), f"told{name}")
+        new = told.filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b")
+        if not new.isEmpty():
+            if labels is not None:
+                new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            labels = held.keep(components(new, held, f"step{name}-"), f"labels{name}")
+        return told
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """``pairs`` that are not connected yet."""
+        if labels is None:
+            return pairs
+        own = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+        return pairs.join(own[0], "a", "left").join(own[1], "b", "left").filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b")
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Rows of the regions that still hold more than one component."""
@@ -113,13 +165,12 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
         beside = open_.join(pivots, "region")
         possible = near_enough(F.least("size", "pivot_size"), F.greatest("size", "pivot_size"), percent)
         asked = beside.filter((F.col("item") != F.col("pivot")) & possible).select(F.col("item").alias("a"), F.col("pivot").alias("b")).distinct()
-        told = held.keep(compared(asked, sets), f"told{turn}")
-        new = told.filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b")
-        links = new if links is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-        if not links.isEmpty():
-            labels = held.keep(components(links, held, f"step{turn}-"), f"labels{turn}")
-        else:
-            links, labels = None, None
+        # One pivot per item first: copies of a text are connected then, whatever the number of regions they share.
+        asked = held.keep(asked, f"asked{turn}")
+        nearest = held.keep(apart(asked).groupBy("a").agg(F.min("b").alias("b")), f"nearest{turn}")
+        told = told_of(nearest, f"{turn}-one")
+        rest = apart(asked).join(nearest, ["a", "b"], "left_anti")
+        told = told.unionByName(told_of(rest, f"{turn}-all"))
         # Distance to this pivot; by size alone at least 1 - small / large where no comparison was needed.
         far = F.coalesce(1 - F.col("shared") / F.col("together"), F.when(F.col("item") == F.col("pivot"), F.lit(0.0)))
         marked = beside.join(told.select(F.col("a").alias("item"), F.col("b").alias("pivot"), "shared", "together"), ["item", "pivot"], "left")
@@ -135,11 +186,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
         open_ = open_.drop("count")
 
     pairs = held.keep(windows(open_ if "count" in open_.columns else unsettled(open_), epsilon, percent, turn).distinct(), "pairs")
-    told = held.keep(compared(pairs, sets).filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b"), "last")
-    if not told.isEmpty():
-        if labels is not None:
-            told = told.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = held.keep(components(told, held, "end-"), "labels-end")
+    told_of(pairs, "-last")
     return labels
 
 

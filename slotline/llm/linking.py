@@ -1,16 +1,17 @@
 """Links between sets that are alike, found region by region, and the connected components they form.
 
 A region is a group of items that share a key (a shingle, a band). Its smallest item is the pivot; every member's exact
-similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Bitmaps rule most
-pairs out before elements are fetched. Members linked to the pivot are connected, so no pair among them is looked at. What stays unconnected inside a region meets again around other pivots, and in
-the end pair by pair, but only where the triangle inequality allows it: Jaccard distance is a metric, so two items whose distances to a
-pivot differ by more than the threshold are no link. Rings around the pivot, as wide as the threshold, hold these
-windows: a ring meets itself and the next one.
+similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Bitmaps, where the
+caller has some, rule most pairs out before texts are fetched; texts move rather than elements, which are several times as large.
+Members linked to the pivot are connected, so no pair among them is looked at. Each item first asks one pivot only, which settles
+most regions. What stays unconnected inside a region meets again around other pivots, and in the end pair by pair, but only
+where the triangle inequality allows it: Jaccard distance is a metric, so two items whose distances to a pivot differ by more than the
+threshold are no link. Rings around the pivot, as wide as the threshold, hold these windows: a ring meets itself and the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,10 @@ from slotline.session import Staging
 
 ROUNDS = 3  # pivots per region before the rest is compared pair by pair
 FEW = 500_000  # links that one task may join
-BITS = 2048  # of the bitmap that rules pairs out before their elements are fetched
+BITS = 1024  # of the smallest bitmap that rules pairs out before their texts are fetched
 CELL = 512  # members that one task compares with each other or with as many others
+HOT = 4096  # pairs of one pivot that one task compares; its text is repeated for more
+SHORT = 200_000  # rows of a list that is broadcast
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,65 +83,97 @@ def near_enough(shared: Column, together: Column, percent: int) -> Column:
     return shared * 100 >= together * percent
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of intersection and union, from ``sets`` (item, elements)."""
-    left = sets.select(F.col("item").alias("a"), F.col("elements").alias("_x"))
-    right = sets.select(F.col("item").alias("b"), F.col("elements").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("_x").alias("_n"), F.size("_y").alias("_m"), F.size(F.array_intersect("_x", "_y")).alias("shared"))
-    return both.select("a", "b", "shared", (F.col("_n") + F.col("_m") - F.col("shared")).alias("together"))
+def listed(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join: broadcast when they are few by count, else left to a shuffle."""
+    return F.broadcast(rows) if rows.limit(SHORT + 1).count() <= SHORT else rows
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """(item, n, marks): size of every set and a bitmap of ``BITS`` bits in which each element marks one."""
+def compared(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of intersection and union of their sets, made from ``texts`` (item, text) where pairs meet.
+
+    A pivot ``b`` with more than ``HOT`` pairs is dealt to several tasks.
+    """
+    salts = F.floor(F.count(F.lit(1)) / HOT).cast("int").alias("_salts")
+    pivots = pairs.groupBy("b").agg(salts)
+    left = texts.select(F.col("item").alias("a"), F.col("text").alias("_x"))
+    right = texts.select(F.col("item").alias("b"), F.col("text").alias("_y")).join(pivots, "b")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), "_salts"))).drop("_salts")
+    dealt = pairs.join(pivots, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_salts") + 1).cast("int")).drop("_salts")
+    both = dealt.join(left, "a").join(right, ["b", "_salt"]).select("a", "b", "_x", "_y")
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            marks = []
-            for elements in frame["elements"]:
-                bits = np.zeros(BITS, bool)
-                bits[np.asarray(elements).view(np.uint64) % np.uint64(BITS)] = True
-                marks.append(np.packbits(bits).view(np.int64))
-            yield pd.DataFrame({"item": frame["item"], "n": frame["elements"].map(len), "marks": marks})
+            shared, together = np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int32)
+            last, held = None, np.zeros(0, np.int64)
+            for k, (b, x, y) in enumerate(zip(frame["b"], frame["_x"], frame["_y"])):
+                if b != last:
+                    last, held = b, sets_of([y])[0]
+                mine = sets_of([x])[0]
+                shared[k] = len(np.intersect1d(mine, held, assume_unique=True))
+                together[k] = len(mine) + len(held) - shared[k]
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "shared": shared, "together": together})
+
+    return both.mapInPandas(one, "a long, b long, shared int, together int")
+
 
-    return sets.mapInPandas(one, "item long, n int, marks array<long>")
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Bits, as 64-bit integers, in which each element marks one: a power of two of them, at least twice the elements."""
+    width = max(BITS, 1 << (2 * len(elements)).bit_length())
+    bits = np.zeros(width, bool)
+    bits[elements.view(np.uint64) % np.uint64(width)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) that the bitmaps leave possible.
 
     Every bit that only one of two sets marks stands for an element the other lacks, so they share at most
-    their size less those bits: no pair that is alike enough is left out, and elements move for the others only.
+    their size less those bits: no pair that is alike enough is left out, and texts move for the others only. Sets whose sizes
+    are alike have bitmaps of the same or of double width; the wider one is folded.
     """
     left = marks.select(F.col("item").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
     right = marks.select(F.col("item").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
 
+    def folded(x: str, y: str) -> Column:
+        half = F.size(y)
+        other = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > half, other).otherwise(F.col(x))
+
     def alone(x: str, y: str) -> Column:
         bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
         return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
 
     most = F.least(F.col("_n") - alone("_x", "_y"), F.col("_m") - alone("_y", "_x"))
-    return pairs.join(left, "a").join(right, "b").filter(near_enough(most, F.col("_n") + F.col("_m") - most, percent)).select("a", "b")
-
-
-def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> DataFrame | None:
+    both = pairs.join(left, "a").join(right, "b").filter(near_enough(F.least("_n", "_m"), F.greatest("_n", "_m"), percent))
+    both = both.select("a", "b", "_n", "_m", folded("_x", "_y").alias("_x"), folded("_y", "_x").alias("_y"))
+    return both.filter(near_enough(most, F.col("_n") + F.col("_m") - most, percent)).select("a", "b")
+
+
+def link(
+    members: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[list[str]], list[np.ndarray]],
+    percent: int,
+    held: Staging,
+    marks: DataFrame | None = None,
+) -> DataFrame | None:
     """(node, root) of all items that are linked; None when nothing is.
 
-    ``members`` has rows (region, item, size), distinct, ``sets`` the distinct elements of every item in it. The components are
-    those of all pairs that share a region and whose similarity is at least ``percent``.
+    ``members`` has rows (region, item, size), distinct. ``texts_of`` gives (item, text) for items, ``sets_of`` the distinct elements of
+    texts, ``marks``, if any, (item, n, marks): size and bitmap of every set. The components are those of all pairs that share a
+    region and whose similarity is at least ``percent``.
     """
     epsilon = 1 - percent / 100
-    # Alike items share many regions; regions with the same members (by two 64-bit sums) ask for the same pairs.
-    sums = [F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"_s{k}") for k in (1, 2)]
-    told_apart = members.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_s1", "_s2").agg(F.min("region").alias("region"))
-    members = held.keep(members.join(told_apart.select("region"), "region"), "regions")
-    open_ = members.select("region", "item", "size", F.array().cast("array<float>").alias("away"), F.col("item").alias("root"))
-    marks = held.keep(bitmaps(sets), "marks")
     labels, turn = None, 0
 
     def told_of(pairs: DataFrame, name: str) -> DataFrame:
         """Similarities of the promising ``pairs``; ``labels`` takes the links among them in."""
         nonlocal labels
-        told = held.keep(compared(promising(pairs, marks, percent), sets), f"told{name}")
+        asked = held.keep(pairs if marks is None else promising(pairs, marks, percent), f"asked{name}")
+        items = asked.select(F.col("a").alias("item")).unionByName(asked.select(F.col("b").alias("item"))).distinct()
+        texts = held.keep(texts_of(items), f"texts{name}")
+        told = held.keep(compared(asked, texts, sets_of), f"told{name}")
+        held.drop(f"texts{name}", f"asked{name}")
         new = told.filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b")
         if not new.isEmpty():
             if labels is not None:
@@ -146,6 +181,11 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
             labels = held.keep(components(new, held, f"step{name}-"), f"labels{name}")
         return told
 
+    def rooted(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("root", F.col("item"))
+        return rows.join(labels.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+
     def apart(pairs: DataFrame) -> DataFrame:
         """``pairs`` that are not connected yet."""
         if labels is None:
@@ -158,6 +198,21 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
         kept = rows.groupBy("region").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("count"))
         return rows.join(kept.filter("_low < _high").select("region", "count"), "region")
 
+    # One pivot per item first: copies of a text are connected then, and the regions they fill are settled.
+    pivots = members.groupBy("region").agg(F.min(F.struct("item", "size")).alias("p")).select("region", F.col("p.item").alias("b"), F.col("p.size").alias("_size"))
+    alike = near_enough(F.least("size", "_size"), F.greatest("size", "_size"), percent)
+    asked = members.join(pivots, "region").filter((F.col("item") != F.col("b")) & alike).select(F.col("item").alias("a"), "b")
+    told_of(asked.groupBy("a").agg(F.min("b").alias("b")), "first")
+    left = held.keep(unsettled(rooted(members.select("region", "item", "size"))).drop("count", "root"), "unsettled")
+    # Alike items share many regions; regions with the same members (by two 64-bit sums) ask for the same pairs.
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"_s{k}") for k in (1, 2)]
+    told_apart = left.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_s1", "_s2").agg(F.min("region").alias("region"))
+    open_ = rooted(left.join(told_apart.select("region"), "region"))
+    open_ = held.keep(open_.withColumn("away", F.array().cast("array<float>")).select("region", "item", "size", "away", "root"), "open")
+    held.drop("unsettled")
+    if open_.isEmpty():
+        return labels
+
     while turn < ROUNDS:
         # The pivot comes from the region's smallest component first, from others in later rounds.
         turned = F.xxhash64(F.lit(turn), "root") if turn else F.col("root")
@@ -165,9 +220,8 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
         beside = open_.join(pivots, "region")
         possible = near_enough(F.least("size", "pivot_size"), F.greatest("size", "pivot_size"), percent)
         asked = beside.filter((F.col("item") != F.col("pivot")) & possible).select(F.col("item").alias("a"), F.col("pivot").alias("b")).distinct()
-        # One pivot per item first: copies of a text are connected then, whatever the number of regions they share.
-        asked = held.keep(asked, f"asked{turn}")
-        nearest = held.keep(apart(asked).groupBy("a").agg(F.min("b").alias("b")), f"nearest{turn}")
+        asked = held.keep(apart(asked), f"pairs{turn}")
+        nearest = held.keep(asked.groupBy("a").agg(F.min("b").alias("b")), f"nearest{turn}")
         told = told_of(nearest, f"{turn}-one")
         rest = apart(asked).join(nearest, ["a", "b"], "left_anti")
         told = told.unionByName(told_of(rest, f"{turn}-all"))
@@ -175,9 +229,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, held: Staging) -> Da
         far = F.coalesce(1 - F.col("shared") / F.col("together"), F.when(F.col("item") == F.col("pivot"), F.lit(0.0)))
         marked = beside.join(told.select(F.col("a").alias("item"), F.col("b").alias("pivot"), "shared", "together"), ["item", "pivot"], "left")
         marked = marked.select("region", "item", "size", F.concat("away", F.array(far.cast("float"))).alias("away"), "root")
-        if labels is not None:
-            marked = marked.drop("root").join(labels.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-        open_ = held.keep(unsettled(marked), f"open{turn}")
+        open_ = held.keep(unsettled(rooted(marked.drop("root"))), f"open{turn}")
         turn += 1
         if open_.isEmpty():
             return labels

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.linking import link
+from slotline.llm.linking import bitmap, link, listed
 from slotline.session import Staging
 
 WORDS, PERCENT = 5, 75
 SAMPLE, SEEN, FREQUENT = 64, 3, 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _KEPT = 400_000
+REGIONS = 2_000_000  # shared regions (8 bytes each) that are broadcast; more are joined by a shuffle
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, size, item, prefix) per row; ``frequent`` holds sample-frequent shingles, the most frequent last."""
+    """(id, content, size, item, prefix, marks) per row; ``frequent`` holds sample-frequent shingles, the most frequent last."""
     known = np.argsort(frequent)
     ordered = frequent[known]
     kind = docs.schema["id"].dataType.simpleString()
@@ -82,15 +83,17 @@ def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            sizes, items, prefixes = [], [], []
+            sizes, items, prefixes, marks = [], [], [], []
             for text in frame["text"]:
                 s = shingles(text, hashes)
                 sizes.append(len(s))
                 items.append(digest(s))
                 prefixes.append(s[np.lexsort((s, rank(s)))][: prefix_length(len(s))] if len(s) else s)
-            yield pd.DataFrame({"id": frame["id"], "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "prefix": prefixes})
+                marks.append(bitmap(s))
+            yield pd.DataFrame({"id": frame["id"], "content": frame["content"], "marks": marks, "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "prefix": prefixes})
 
-    return docs.mapInPandas(one, f"id {kind}, size int, item long, prefix array<long>")
+    schema = f"id {kind}, content long, size int, item long, prefix array<long>, marks array<long>"
+    return docs.select("id", "text", F.xxhash64("text").alias("content")).mapInPandas(one, schema)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -111,36 +114,40 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.array([r["shingle"] for r in reversed(top)], np.int64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """(item, elements) of the wanted (id, item); a wanted list of bounded size is broadcast, a longer one joined."""
-    wanted = wanted.select(F.col("id").alias("_id"), "item")
-    picked = docs.join(F.broadcast(wanted) if count <= 200_000 else wanted, F.col("id").eqNullSafe(F.col("_id"))).select("item", "text")
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(item, text) of the ``chosen`` (item, id, content); only these texts leave the scan."""
+    wanted = chosen.select("item", F.col("id").alias("_id"), F.col("content").alias("_content"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
+    return docs.join(listed(wanted), same).select("item", "text").dropDuplicates(["item"])
 
-    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
-            found = [shingles(t, hashes) for t in frame["text"]]
-            same = [k for k, (s, i) in enumerate(zip(found, frame["item"])) if digest(s) == i]
-            yield pd.DataFrame({"item": frame["item"].to_numpy()[same], "elements": [found[k] for k in same]})
 
-    return picked.mapInPandas(one, "item long, elements array<long>").dropDuplicates(["item"])
+def _sets_of(texts: list[str]) -> list[np.ndarray]:
+    hashes = WordHashes()
+    return [shingles(t, hashes) for t in texts]
 
 
 def classes(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, item (its set) and root (its component, as an item; null without words)."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = held.keep(_summaries(plain, _frequent(plain)), "summaries")
-    sets = rows.filter("size > 0").groupBy("item").agg(F.min("size").alias("size"), F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    first = held.keep(sets, "distinct")
-    spread = first.select(F.explode("prefix").alias("region"), "item", "size")
-    shared = spread.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    members = held.keep(spread.join(shared, "region"), "members")
-    wanted = held.keep(members.select("item").distinct().join(first.select("item", "id"), "item"), "wanted")
-    count = wanted.count()
+    # Copies of a set fall together in the grouped minimum and in ``distinct``, before anything moves.
+    spread = rows.filter("size > 0").select(F.explode("prefix").alias("region"), "item", "size")
+    shared = spread.groupBy("region").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("region")
+    shared = held.keep(shared, "shared")
+    few = shared.count() <= REGIONS
+    members = held.keep(spread.join(F.broadcast(shared) if few else shared, "region").distinct(), "members")
+    held.drop("shared")
     roots = None
-    if count:
-        elements = held.keep(_sets(plain, wanted, count), "sets")
-        roots = link(members, elements, percent, held)
+    if not members.isEmpty():
+        sets = rows.join(members.select("item").distinct(), "item", "left_semi").groupBy("item")
+        first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "content")).alias("at")
+        one = held.keep(sets.agg(first, F.min("size").alias("n"), F.first("marks").alias("marks")), "sets")
+        chosen = one.select("item", "at.id", "at.content")
+
+        def texts_of(items: DataFrame) -> DataFrame:
+            return _texts(plain, held.keep(chosen.join(items, "item"), f"chosen{len(held.paths)}"))
+
+        roots = link(members, texts_of, _sets_of, percent, held, one.select("item", "n", "marks"))
     told = rows.select("id", F.col("size").cast("long").alias("n_shingles"), "item")
     if roots is None:
         return told.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("item")))

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotline.llm.common import row_key
-from slotline.llm.linking import link
+from slotline.llm.linking import link, listed
 from slotline.llm.ngram_join import mixed
 from slotline.session import Staging
 
 SHINGLE, BANDS, ROWS, PERCENT, SEED = 8, 14, 4, 75, 17
 CHUNK = 200_000  # characters hashed at a time
+REGIONS = 2_000_000  # shared bands (8 bytes each) that are broadcast; more are joined by a shuffle
 
 
 def normal(line: str) -> str:
@@ -108,52 +109,58 @@ def _spread(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(one, f"key string, id {kind}, place int, item long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """(item, elements) of wanted (key, place, item): the texts that hold one are read again, the others are not sent anywhere."""
-    listed = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list("place").alias("places"))
-    picked = docs.join(F.broadcast(listed) if count <= 200_000 else listed, F.col("key") == F.col("_key")).select("key", "text", "places")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item, text) of wanted lines (key, place, item): the documents that hold one are read again, the others are not sent anywhere."""
+    places = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list("place").alias("places"))
+    picked = docs.join(listed(places), F.col("key") == F.col("_key")).select("text", "places")
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
+            found = {}
             for text, places in zip(frame["text"], frame["places"]):
-                lines = text.split("\n")
-                found += [normal(lines[p]) for p in places]
-            found = list(dict.fromkeys(found))
-            elements = []
-            for part in in_chunks(found):
-                hashes, firsts = shingle_hashes(part)
-                elements += [np.unique(x).view(np.int64) for x in np.split(hashes, firsts[1:])]
-            yield pd.DataFrame({"item": np.array([item_of(x) for x in found], np.int64), "elements": elements})
+                split = text.split("\n")
+                for p in places:
+                    line = normal(split[p])
+                    found[item_of(line)] = line
+            yield pd.DataFrame({"item": np.array(list(found), np.int64), "text": list(found.values())})
 
-    return picked.mapInPandas(one, "item long, elements array<long>").dropDuplicates(["item"])
+    return picked.mapInPandas(one, "item long, text string").dropDuplicates(["item"])
+
+
+def sets_of(lines: list[str]) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes([x])[0]).view(np.int64) for x in lines]
 
 
 def marked(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id, place, root, kept) of every line that is not blank; ``root`` names its component."""
+    """(key, id, places, kept) of every document with lines: the places of those that are not blank, and of those that stay."""
     plain = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = held.keep(_spread(plain), "lines")
     spread = lines.filter("bands is not null").select(F.explode("bands").alias("region"), "item")
+    # A line that fills a third of all rows falls together in the grouped minimum, before anything moves.
     shared = spread.groupBy("region").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("region")
-    members = held.keep(spread.join(shared, "region").distinct().withColumn("size", F.lit(1)), "members")
-    asked = members.select("item").distinct()
-    # One place of every wanted line is enough to read it.
-    first = F.min(F.struct("key", "place")).alias("at")
-    wanted = held.keep(asked.join(lines.select("item", "key", "place"), "item").groupBy("item").agg(first).select("item", "at.key", "at.place"), "wanted")
-    count = wanted.count()
-    roots = link(members, held.keep(_sets(plain, wanted, count), "sets"), PERCENT, held) if count else None
-    rooted = lines.select("key", "id", "place", "item")
-    if roots is None:
-        rooted = rooted.withColumn("root", F.col("item"))
-    else:
-        rooted = rooted.join(roots.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-    rooted = held.keep(rooted.select("key", "id", "place", "root"), "rooted")
+    shared = held.keep(shared, "shared")
+    few = shared.count() <= REGIONS
+    members = spread.join(F.broadcast(shared) if few else shared, "region").distinct().withColumn("size", F.lit(1))
+    members = held.keep(members, "members")
+    held.drop("shared")
     # Null ids come last, so that a line with a known document is kept rather.
     order = F.struct(F.col("id").isNull().alias("n"), "id", "key", "place")
-    kept = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("lines"))
-    return rooted.join(kept, "root").select(
-        "key", "id", "place", "root", "lines", ((F.col("key") == F.col("first.key")) & (F.col("place") == F.col("first.place"))).alias("kept")
-    )
+    firsts = held.keep(lines.groupBy("item").agg(F.min(order).alias("at")), "firsts")
+    roots = None
+    if not members.isEmpty():
+
+        def texts_of(items: DataFrame) -> DataFrame:
+            return _texts(plain, held.keep(firsts.join(items, "item").select("item", "at.key", "at.place"), f"wanted{len(held.paths)}"))
+
+        roots = link(members, texts_of, sets_of, PERCENT, held)
+    if roots is not None:
+        rooted = firsts.join(roots.select(F.col("node").alias("item"), "root"), "item", "left")
+        firsts = rooted.groupBy(F.coalesce("root", "item").alias("root")).agg(F.min("at").alias("at"))
+    # Each component names the place that it keeps; documents, not components, meet in the join.
+    kept = firsts.select("at.key", "at.place").groupBy("key").agg(F.collect_list("place").alias("kept"))
+    own = lines.groupBy("key").agg(F.first("id").alias("id"), F.collect_set("place").alias("places"))
+    nothing = F.array().cast("array<int>")
+    return own.join(kept, "key", "left").withColumn("kept", F.coalesce("kept", nothing))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -163,13 +170,11 @@ def report(docs: DataFrame) -> DataFrame:
     in each of them. Blank lines stay where they are. Other columns are not read.
     """
     held = Staging(docs.sparkSession, "lines")
-    found = marked(docs, held)
-    return found.select("key", "id", "place", "kept").distinct().groupBy("key").agg(
-        F.first("id").alias("doc_id"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("kept").alias("n_kept"),
-        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("dropped"),
-    ).drop("key")
+    dropped = F.array_sort(F.array_except("places", "kept"))
+    found = marked(docs, held).withColumn("dropped", dropped)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("places").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), "dropped"
+    )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +184,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     held = Staging(docs.sparkSession, "lines")
     found = marked(docs, held, id_col, text_col)
-    drops = found.filter(~F.col("kept")).groupBy(F.col("key").alias("_key")).agg(F.collect_set("place").alias("_drop"))
+    drops = found.select(F.col("key").alias("_key"), F.array_except("places", "kept").alias("_drop")).filter(F.size("_drop") > 0)
     drops = held.keep(drops, "drops")
     keyed = docs.withColumn("_own", row_key(F.col(id_col), F.col(text_col)))
     small = drops.count() <= 200_000 and drops.agg(F.sum(F.size("_drop"))).first()[0] or 0

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from slotline.llm import fingerprints, lines, mixing, neighbours, ngram_join, packing, personal, quality, secrets, sharding
+from slotline.llm import (
+    fill_middle, fingerprints, lines, mixing, neighbours, ngram_join, packing, page_text, personal, quality, secrets, sharding, turns,
+)
 from slotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +71,24 @@ def op10_quality(spark, folder):
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_fill_middle(spark, folder):
+    return fill_middle.report(table(spark, folder, "documents"))
+
+
+SQL["op11_fill_middle"] = fill_middle.REPORT_SQL
+
+
+@query
+def op12_page_text(spark, folder):
+    return page_text.report(table(spark, folder, "pages"))
+
+
+@query
+def op13_turns(spark, folder):
+    return turns.report(table(spark, folder, "conversations"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -62,15 +62,15 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def board(spark: SparkSession, folder: str) -> DataFrame:
-    """A forecast board, one row per part."""
+def board(spark: SparkSession, folder: str, changed: dict[str, str] | None = None) -> DataFrame:
+    """A forecast board, one row per part; ``changed`` expressions take the place of the usual ones."""
     predicted = F.col("predicted_utilization_1h")
     end = lambda v: F.when(
         F.col("system_code") % 10 != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
     )
     return (
         table(spark, folder, "part")
-        .selectExpr(*[f"{e} AS {c}" for c, e in BOARD_COLUMNS.items()])
+        .selectExpr(*[f"{e} AS {c}" for c, e in (BOARD_COLUMNS | (changed or {})).items()])
         .withColumns(
             {
                 "prediction_interval_lower": end(predicted - 0.0436),

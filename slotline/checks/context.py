@@ -86,6 +86,33 @@ def _asof_join(spark, d):
     return asof_join(left, right, ["user_id"], "ts", "ts", wanted, tie_break="event_id")
 
 
+@add(
+    "asof_join_dense",
+    A.final(
+        """SELECT l.event_id, l.ts, r.event_id AS seen_id, r.value AS seen_value
+      FROM (SELECT * FROM crowded WHERE event_id % 2 = 1) l
+      ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client, ts ORDER BY event_id DESC) AS rn
+        FROM crowded WHERE event_id % 2 = 0) WHERE rn = 1) r
+      ON l.client = r.client AND l.ts >= r.ts""",
+        "seen_value",
+        "event_id seen_id",
+        """WITH crowded AS (SELECT event_id, value, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS client,
+      CASE WHEN user_id % 3 = 0 THEN make_timestamp(1704067200000000 + event_id % 4 * 20000000 + event_id % 900) ELSE ts END AS ts FROM events)""",
+    ),
+)
+def asof_join_dense(spark, d):
+    """A third of all rows belong to one key and lie within a minute, many at one instant; buckets with more than a fiftieth of the rows are cut."""
+    events = A.table(spark, d, "events")
+    hot = F.col("user_id") % 3 == 0
+    crowd = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") % 4 * 20_000_000 + F.col("event_id") % 900)
+    rows = events.select(
+        "event_id", "value", F.when(hot, F.lit(-1)).otherwise(F.col("user_id")).alias("client"), F.when(hot, crowd).otherwise(F.col("ts")).alias("ts")
+    )
+    left = rows.where(F.col("event_id") % 2 == 1).select("event_id", "client", "ts")
+    out = asof_join(left, rows.where(F.col("event_id") % 2 == 0), ["client"], "ts", "ts", {"event_id": "seen_id", "value": "seen_value"}, tie_break="event_id", full=max(2, events.count() // 50))
+    return out.select("event_id", "ts", "seen_id", "seen_value")
+
+
 _ASOF_SQL = A.with_ctes("edges") + """,
 asked AS (SELECT s.system_code, s.time_slot, e.neighbor_code, e.distance, e.weight
   FROM slots s JOIN edges e ON e.system_code = s.system_code),

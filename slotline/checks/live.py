@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotline import fixed
 from slotline.checks import adapters as A
 from slotline.checks.catalog import CATALOG
-from slotline.checks.context import LIVE_SQL, staged_slots
+from slotline.checks.context import _ASOF_SQL, LIVE_SQL, graph, staged_slots
 from slotline.checks.forecast import drift_rows
 from slotline.checks.forecast import _DRIFT as DRIFT_CTES
 from slotline.checks.summary import scored
-from slotline.operators import activity, decide
+from slotline.operators import activity, decide, ranks
 from slotline.plans import reports
-from slotline.session import pin_time_zone, scratch_path
+from slotline.session import pin_time_zone, scratch_path, stage
 from slotline.streaming import board as B
-from slotline.streaming import ingest
+from slotline.streaming import ingest, keyed
+from slotline.streaming.live import site_history
 
 add = CATALOG.add
 
@@ -140,19 +142,151 @@ def live_board_stream(spark, d):
     return B.read_board(spark, path)
 
 
+_UPSERTED_SQL = A.BOARD_SQL.replace(
+    "part_board AS (SELECT ",
+    "part_board AS (SELECT "
+    + ", ".join(f"{e} AS {c}" for c, e in A.BOARD_COLUMNS.items() if c not in ("predicted_utilization_1h", "queue_length"))
+    + """, CASE WHEN p_partkey % 3 = 0 THEN CAST((p_size * 3) % 50 AS DOUBLE) / 50 ELSE CAST(p_size AS DOUBLE) / 50 END AS predicted_utilization_1h,
+  CASE WHEN p_partkey % 3 = 0 THEN (p_partkey + 4) % 15 ELSE p_partkey % 15 END AS queue_length FROM part), untouched AS (SELECT """,
+)
+
+
 @add(
     "rank_after_upsert",
     A.final(
         """SELECT rn AS recommendation_rank FROM (SELECT system_code, row_number() OVER (ORDER BY balanced_score DESC, system_code) AS rn
-      FROM scored) WHERE system_code = (SELECT max(p_partkey) // 2 FROM part)""",
+      FROM scored) WHERE system_code = (SELECT max(p_partkey) // 6 * 3 FROM part)""",
         "",
         "recommendation_rank",
-        A.BOARD_SQL,
+        _UPSERTED_SQL,
     ),
 )
 def rank_after_upsert(spark, d):
-    middle = A.table(spark, d, "part").agg(F.expr("max(p_partkey) div 2")).scalar()
-    return decide.rank_of(scored(spark, d), middle)
+    """A third of the board gets new forecasts; the index follows by differences and ranks one of the changed sites."""
+    board = stage(ranks.with_bucket(scored(spark, d)).withColumn("version", F.lit(0)), "board")
+    index = stage(ranks.build_index(board), "index")
+    fresh = A.board(spark, d, {"predicted_utilization_1h": "CAST((p_size * 3) % 50 AS DOUBLE) / 50", "queue_length": "(p_partkey + 4) % 15"})
+    changes = decide.score_board(fresh.where(F.col("system_code") % 3 == 0)).transform(ranks.with_bucket).withColumn("version", F.lit(1))
+    changes = stage(changes.select(*board.columns), "changes")
+    before = board.join(changes.select("system_code"), "system_code", "left_semi")
+    index = stage(ranks.index_after(index, before, changes), "index")
+    board = stage(activity.upsert_latest(board, changes, "system_code", ["version"]), "board")
+    middle = A.table(spark, d, "part").agg(F.expr("max(p_partkey) div 6 * 3")).scalar()
+    return ranks.rank_from_index(board, index, middle)
+
+
+@add(
+    "live_interval",
+    A.final(
+        """SELECT system_code, predicted_utilization_1h, greatest(0.0, predicted_utilization_1h - w/2) AS prediction_interval_lower,
+      least(1.0, predicted_utilization_1h + w/2) AS prediction_interval_upper,
+      least(1.0, predicted_utilization_1h + w/2) - greatest(0.0, predicted_utilization_1h - w/2) AS uncertainty_width
+      FROM part_board, (SELECT max(coalesce(uncertainty_width, 0)) AS w FROM board)""",
+        "predicted_utilization_1h prediction_interval_lower prediction_interval_upper uncertainty_width",
+        "",
+        A.BOARD_SQL,
+    ),
+)
+def live_interval(spark, d):
+    """Half the widest published width on both sides of a prediction."""
+    widths = A.board(spark, d).select("uncertainty_width")
+    rows = A.board(spark, d).select("system_code", "predicted_utilization_1h")
+    return decide.live_interval(rows, widths)
+
+
+# A linear stand-in for the models, so that SQL can follow the whole path.
+STAND_IN = {
+    "utilization": 0.55, "lag_utilization_30m": 0.2, "rolling_utilization_6": 0.15, "lag_utilization_prev_day": 0.1, "neighbor_utilization_mean": 0.05,
+    "rolling_queue_3": 0.002, "minutes_from_previous": -0.00001,
+}
+_SCORED_D = """predicted_utilization_1h prediction_interval_lower prediction_interval_upper uncertainty_width predicted_available_spaces_1h predicted_free_ratio
+ balanced_score low_risk_score low_congestion_score max_availability_score"""
+_LINEAR = " + ".join(f"CAST({w!r} AS DOUBLE)*coalesce({c}, 0)" for c, w in STAND_IN.items())
+_LIVE_SCORED = (
+    _ASOF_SQL
+    + LIVE_SQL
+    + ", "
+    + A.BOARD_SQL.replace("WITH ", "", 1)
+    + f""", widest AS (SELECT max(coalesce(uncertainty_width, 0)) AS w FROM board),
+together AS (SELECT l.*, n.* EXCLUDE (system_code, time_slot), s.capacity, s.capacity_pressure, s.occupancy_clean, s.queue_length, s.parking_stress_index,
+  row_number() OVER (PARTITION BY l.system_code ORDER BY l.time_slot DESC) AS rn
+  FROM live l JOIN nearby n USING (system_code, time_slot) JOIN slots s USING (system_code, time_slot)),
+told AS (SELECT *, least(1.0, greatest(0.0, {_LINEAR})) AS predicted_utilization_1h FROM together WHERE rn = 1),
+ranged AS (SELECT *, greatest(0.0, predicted_utilization_1h - w/2) AS prediction_interval_lower, least(1.0, predicted_utilization_1h + w/2) AS prediction_interval_upper,
+  round_even(capacity*(1 - predicted_utilization_1h), 0) AS predicted_available_spaces_1h FROM told, widest),
+spread AS (SELECT *, prediction_interval_upper - prediction_interval_lower AS uncertainty_width, predicted_available_spaces_1h/greatest(capacity, 1) AS predicted_free_ratio FROM ranged)"""
+)
+
+
+@add(
+    "live_scored_board",
+    A.final(
+        """SELECT system_code, time_slot, session_step, lag_utilization_30m, rolling_utilization_6, lag_utilization_prev_day, neighbor_utilization_mean, mean_neighbor_distance,
+      predicted_utilization_1h, prediction_interval_lower, prediction_interval_upper, uncertainty_width, predicted_available_spaces_1h, predicted_free_ratio,
+      CAST(0.45 AS DOUBLE)*predicted_free_ratio + CAST(0.25 AS DOUBLE)*(1 - predicted_utilization_1h) + CAST(0.20 AS DOUBLE)*(1 - capacity_pressure)
+        + CAST(0.10 AS DOUBLE)*(1 - uncertainty_width) AS balanced_score,
+      1 - prediction_interval_upper AS low_risk_score, CAST(0.6 AS DOUBLE)*(1 - capacity_pressure) + CAST(0.4 AS DOUBLE)*(1 - predicted_utilization_1h) AS low_congestion_score,
+      predicted_free_ratio AS max_availability_score,
+      CASE WHEN prediction_interval_upper <= 0.55 THEN 'Low' WHEN prediction_interval_upper <= 0.75 THEN 'Moderate' WHEN prediction_interval_upper <= 0.9 THEN 'High' ELSE 'Critical' END AS risk_band
+      FROM spread""",
+        _SCORED_D + " lag_utilization_30m rolling_utilization_6 lag_utilization_prev_day neighbor_utilization_mean mean_neighbor_distance",
+        "session_step",
+        _LIVE_SCORED,
+    ),
+)
+def live_scored_board(spark, d):
+    """Slot rows of all sites as a stream in two steps of time, from a state that starts with the oldest third; the board keeps each site's newest scored row."""
+    from slotline.streaming import score
+
+    slots = staged_slots(spark, d)
+    ends = slots.agg(F.min("time_slot").alias("a"), F.max("time_slot").alias("b"))
+    third = lambda k: ends.select(F.timestamp_micros((F.unix_micros("a") + (F.unix_micros("b") - F.unix_micros("a")) * k / 3).cast("long"))).scalar()
+    history = stage(slots.where(F.col("time_slot") < third(1)), "history")
+    path = scratch_path(spark, "arrivals")
+    for low, high in ((1, 2), (2, 4)):
+        part = slots.where((F.col("time_slot") >= third(low)) & (F.col("time_slot") < third(high)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.read_files(spark, path, slots.schema, files_per_batch=1)
+    board, checkpoint = scratch_path(spark, "board"), scratch_path(spark, "checkpoint")
+    predict = lambda rows: rows.withColumn("predicted_utilization_1h", score.linear_prediction(STAND_IN))
+    widths = A.board(spark, d).select("uncertainty_width")
+    score.scored_board_stream(stream, graph(slots), history, widths, predict, board, checkpoint).awaitTermination()
+    names = "system_code time_slot session_step lag_utilization_30m rolling_utilization_6 lag_utilization_prev_day neighbor_utilization_mean mean_neighbor_distance"
+    return B.read_board(spark, board).select(*names.split(), *_SCORED_D.split(), "risk_band")
+
+
+_TEMPLATED = "lag_occupancy_30m lag_occupancy_60m lag_utilization_30m lag_utilization_60m lag_utilization_120m rolling_utilization_3 rolling_queue_6 rolling_stress_3 lag_utilization_prev_day lag_queue_prev_day"
+
+
+@add(
+    "live_template_lags",
+    A.final(
+        """SELECT a.system_code, a.time_slot, CASE WHEN a.time_slot = b.time_slot + INTERVAL 30 MINUTES THEN b.session_step + 1 ELSE 0 END AS session_step,
+      b.occupancy_clean AS lag_occupancy_30m, c.occupancy_clean AS lag_occupancy_60m, b.utilization AS lag_utilization_30m, c.utilization AS lag_utilization_60m,
+      b.lag_utilization_120m, list_avg([b.utilization, c.utilization]) AS rolling_utilization_3, list_avg([b.queue_length, c.queue_length]) AS rolling_queue_6,
+      list_avg([b.parking_stress_index, c.parking_stress_index]) AS rolling_stress_3,
+      coalesce(CASE a.slot_index WHEN b.slot_index THEN b.utilization WHEN c.slot_index THEN c.utilization END, b.lag_utilization_prev_day) AS lag_utilization_prev_day,
+      coalesce(CASE a.slot_index WHEN b.slot_index THEN b.queue_length WHEN c.slot_index THEN c.queue_length END, b.lag_queue_prev_day) AS lag_queue_prev_day
+      FROM r a JOIN r b ON b.system_code = a.system_code AND b.rn = 2 JOIN r c ON c.system_code = a.system_code AND c.rn = 3 WHERE a.rn = 1""",
+        _TEMPLATED,
+        "session_step",
+        A.with_ctes("slots")
+        + LIVE_SQL
+        + """, r AS (SELECT l.*, s.slot_index, s.occupancy_clean, s.queue_length, s.parking_stress_index,
+      row_number() OVER (PARTITION BY l.system_code ORDER BY l.time_slot DESC) AS rn FROM live l JOIN slots s USING (system_code, time_slot))""",
+    ),
+)
+def live_template_lags(spark, d):
+    """The newest row of each site after a history of two rows: lags that reach further back are those of the newest stored row."""
+    slots = staged_slots(spark, d)
+    place = F.row_number().over(Window.partitionBy("system_code").orderBy(F.desc("time_slot")))
+    rows = stage(site_history(slots).withColumn("_place", place).where("_place <= 3"), "tails")
+    path = scratch_path(spark, "newest")
+    rows.where("_place = 1").drop("_place").write.parquet(path)
+    stream = ingest.read_files(spark, path, rows.drop("_place").schema)
+    features = keyed.feature_stream(stream, history=rows.where("_place > 1"))
+    out = ingest.drain(features, scratch_path(spark, "live"), scratch_path(spark, "checkpoint"))
+    return out.select("system_code", "time_slot", "session_step", *_TEMPLATED.split())
 
 
 _JOBS = """jobs AS (SELECT job_id, arg_max(status, row(moment, event_id)) AS status, min(moment) AS created_at,
@@ -274,6 +408,24 @@ def offered_rate_nulls(spark, d):
     return activity.offered_rate(_bare_requests(spark, d), window_seconds=600)
 
 
+@add(
+    "rate_admission_hot",
+    """WITH RECURSIVE ev AS (SELECT *, epoch_us(moment) AS us, row_number() OVER (PARTITION BY client ORDER BY moment, event_id) AS rn FROM (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS client, ts AS moment FROM events)),
+r AS (SELECT client, rn, event_id, moment, [us] AS q, true AS allowed, CAST(2 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM ev WHERE rn = 1
+  UNION ALL SELECT client, rn, event_id, moment, CASE WHEN len(k) < 3 THEN list_append(k, us) ELSE k END, len(k) < 3,
+    CASE WHEN len(k) < 3 THEN CAST(2 - len(k) AS BIGINT) ELSE 0 END,
+    CASE WHEN len(k) < 3 THEN 0 ELSE greatest(1, (3600000000 - (us - k[1])) // 1000000) END
+  FROM (SELECT e.*, list_filter(r.q, lambda x : e.us - x < 3600000000) AS k FROM r JOIN ev e ON e.client = r.client AND e.rn = r.rn + 1))
+SELECT event_id AS request_id, client AS client_host, moment AS created_at, allowed, remaining, retry_after FROM r""",
+)
+def rate_admission_hot(spark, d):
+    """A third of all requests comes from one client, whose burst is replayed in blocks."""
+    rows = A.requests(spark, d).select("request_id", "client_host", "created_at")
+    hot = F.when(F.col("request_id") % 3 == 0, F.lit(-1)).otherwise(F.col("client_host"))
+    return activity.rate_admission(rows.withColumn("client_host", hot), limit=3, window_seconds=3600)
+
+
 @add(
     "rate_admission_nulls",
     f"""WITH RECURSIVE {_BARE}, ev AS (SELECT *, coalesce(CAST(client_host AS VARCHAR), 'unknown') AS c, epoch_us(created_at) AS us,

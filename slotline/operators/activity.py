@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotline import fixed
+from slotline.operators.order import row_numbers
 from slotline.session import stage
 
 
@@ -137,35 +137,84 @@ def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, buc
     )
 
 
-def _admit(limit: int, reach: int, columns: list[str]):
-    """Per sorted stream of (client, burst) rows: admit while fewer than ``limit`` are in the window.
+BLOCK = 50_000  # rows that one task replays at a time
 
-    State is one deque of at most ``limit`` instants, renewed at each burst.
+
+def _replay(times, groups, start: list[int], limit: int, reach: int) -> tuple[list, list, list, list[int]]:
+    """Admit sorted requests while fewer than ``limit`` admitted ones are in the window: (allowed, remaining, retry_after, instants left at the end).
+
+    ``start`` holds the admitted instants in the window of the first group; every other group starts from nothing.
+    """
+    current, admitted = (groups[0] if len(groups) else None), deque(start)
+    ok, left, wait = [], [], []
+    for group, now in zip(groups, times):
+        if group != current:
+            current, admitted = group, deque()
+        while admitted and now - admitted[0] >= reach:
+            admitted.popleft()
+        if len(admitted) >= limit:
+            ok.append(False)
+            left.append(0)
+            wait.append(max(1, (reach - (now - admitted[0])) // 1_000_000))
+        else:
+            admitted.append(now)
+            ok.append(True)
+            left.append(limit - len(admitted))
+            wait.append(0)
+    return ok, left, wait, [int(x) for x in admitted]
+
+
+def _replayed(busy: DataFrame, keep: list[str], schema: T.StructType, order: list[str], limit: int, reach: int) -> DataFrame:
+    """Overloaded bursts replayed in blocks of ``BLOCK`` rows, whatever client they belong to.
+
+    Every block is first replayed from an empty window, all at once. Its end is then the start of the next one if that goes on with the same burst; blocks
+    whose start turns out to be another than assumed are replayed again, and so on until no start changes. A lull within a block makes its end
+    independent of its start, so a change seldom travels far; with none it travels a block per round.
     """
+    numbered = row_numbers(busy, [F.col(c) for c in order])
+    blocks = numbered.withColumn("_block", F.floor(F.col("row_no") / BLOCK).cast("long"))
+    blocks = stage(blocks.withColumn("_group", F.concat_ws("\0", "_client", F.col("_burst").cast("string"))), "blocks")
+    narrow = blocks.select("_block", "row_no", "_group", "_us")
+    ends_schema = "_block long, _head string, _tail string, _end array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, admitted = None, deque()
-        for batch in batches:
-            ok, left, wait = [], [], []
-            for group, now in zip(zip(batch["_client"], batch["_burst"]), batch["_us"]):
-                if group != current:
-                    current, admitted = group, deque()
-                while admitted and now - admitted[0] >= reach:
-                    admitted.popleft()
-                if len(admitted) >= limit:
-                    ok.append(False)
-                    left.append(0)
-                    wait.append(max(1, (reach - (now - admitted[0])) // 1_000_000))
-                else:
-                    admitted.append(now)
-                    ok.append(True)
-                    left.append(limit - len(admitted))
-                    wait.append(0)
-            out = batch[columns].copy()
-            out["allowed"], out["remaining"], out["retry_after"] = ok, left, wait
-            yield out
-
-    return run
+    def end_of(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=["_block", "_head", "_tail", "_end"])
+        rows = rows.sort_values("row_no")
+        groups = rows["_group"].tolist()
+        start = list(states["_start"].iloc[0]) if len(states) else []
+        end = _replay(rows["_us"].tolist(), groups, start, limit, reach)[3]
+        return pd.DataFrame([(rows["_block"].iloc[0], groups[0], groups[-1], end)], columns=["_block", "_head", "_tail", "_end"])
+
+    def ends(rows: DataFrame, starts: DataFrame) -> DataFrame:
+        return stage(rows.groupBy("_block").cogroup(starts.groupBy("_block")).applyInPandas(end_of, ends_schema), "ends")
+
+    def starts_from(known: DataFrame) -> DataFrame:
+        """(_block, _start) of the blocks that go on with the burst of the one before, where its window is not empty."""
+        before = known.select((F.col("_block") + 1).alias("_block"), F.col("_tail").alias("_head"), F.col("_end").alias("_start"))
+        return known.select("_block", "_head").join(before, ["_block", "_head"]).where(F.size("_start") > 0).select("_block", "_start")
+
+    used = narrow.limit(0).select("_block", F.array().cast("array<long>").alias("_start"))
+    known = ends(narrow, used)
+    while True:
+        starts = stage(starts_from(known), "starts")
+        none = F.array().cast("array<long>")
+        changed = starts.join(used.withColumnRenamed("_start", "_used"), "_block", "full").where(F.coalesce("_start", none) != F.coalesce("_used", none))
+        changed = stage(changed.select("_block"), "changed")
+        if changed.isEmpty():
+            break
+        # One row per block.
+        again = ends(narrow.join(changed, "_block", "left_semi"), starts.join(changed, "_block", "left_semi"))
+        known = stage(known.join(changed, "_block", "left_anti").unionByName(again), "known")
+        used = starts
+
+    def judge(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row_no")
+        start = list(states["_start"].iloc[0]) if len(states) else []
+        ok, left, wait, _ = _replay(rows["_us"].tolist(), rows["_group"].tolist(), start, limit, reach)
+        return rows[keep].assign(allowed=ok, remaining=left, retry_after=wait)
+
+    return blocks.groupBy("_block").cogroup(used.groupBy("_block")).applyInPandas(judge, schema)
 
 
 def rate_admission(
@@ -180,8 +229,8 @@ def rate_admission(
 
     A request with nothing in the window before it starts a burst with an empty limiter, so bursts are
     independent. A burst that never offers more than ``limit`` admits everything and stays in
-    built-in operators. Only overloaded bursts are replayed in order, streamed through sorted partitions with at
-    most ``limit`` instants of state. Requests without a client are one client, the unknown; a request without
+    built-in operators. Only overloaded bursts are replayed in order, in blocks of bounded size with at
+    most ``limit`` instants of state, so a hot client is shared by many tasks. Requests without a client are one client, the unknown; a request without
     a time is not judged (null in all three columns).
     """
     reach = window_seconds * 1_000_000
@@ -212,12 +261,7 @@ def rate_admission(
         (F.lit(limit) - F.col("_nth")).cast("long").alias("remaining"),
         F.lit(0).cast("long").alias("retry_after"),
     )
-    busy = (
-        judged.where(F.col("_peak") > limit)
-        .select(*keep, "_client", "_burst", "_us")
-        .repartition("_client", "_burst")
-        .sortWithinPartitions("_client", "_burst", "_us", tie_break)
-    )
+    busy = judged.where(F.col("_peak") > limit).select(*keep, "_client", "_burst", "_us")
     none = F.lit(None)
     untimed = requests.where(F.col(time).isNull()).select(
         *keep, none.cast("boolean").alias("allowed"), none.cast("long").alias("remaining"), none.cast("long").alias("retry_after")
@@ -230,7 +274,8 @@ def rate_admission(
             T.StructField("retry_after", T.LongType()),
         ]
     )
-    return calm.unionByName(busy.mapInPandas(_admit(limit, reach, keep), schema)).unionByName(untimed)
+    replayed = _replayed(busy, keep, schema, ["_client", "_burst", "_us", tie_break], limit, reach)
+    return calm.unionByName(replayed).unionByName(untimed)
 
 
 def event_key(*parts: str | Column) -> Column:

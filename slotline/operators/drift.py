@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from slotline import fixed
 from slotline.functions import columns as X
-from slotline.operators.order import exact_quantiles
+from slotline.operators.order import LISTED, SHIFTS, cut, order_bits, select_ranks, wanted_buckets
+from slotline.session import stage
 
 
 def drift_scores(
@@ -23,38 +24,55 @@ def drift_scores(
 
     Bin edges are the reference's exact quantiles with repeats removed; fewer than three
     leave nothing to compare (0). Values outside the reference range are in no bin and do not count
-    towards the shares. Rows are combined to one row per feature and bin before any shuffle. A bin that is
-    empty on both sides adds nothing.
+    towards the shares. A bin that is empty on both sides adds nothing.
+
+    Two scans: the first counts both sides per feature and bucket of leading bits, the second looks only at the values of
+    buckets in which an edge may lie. All other buckets fall into one bin as a whole.
     """
-    long = (
+    rows = (
         df.where(reference.isNotNull())
         .select(reference.alias("_ref"), *[F.col(c).cast("double").alias(c) for c in features])
-        .unpivot(["_ref"], list(features), "feature", "value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .unpivot(["_ref"], list(features), "feature", "_v")
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .withColumn("_bits", order_bits("_v"))
+        .withColumn("_bucket", cut("_bits", SHIFTS[0]))
+    )
+    cells = stage(
+        rows.groupBy("feature", "_ref", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_v").alias("_v")),
+        "cells",
     )
     probabilities = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(
-        long.where("_ref"), "value", probabilities, ["feature"], output="_q", few_groups=True
+    # An edge lies in a bucket that holds a wanted rank, or between two of them that follow each other.
+    first = cells.where("_ref").select("feature", "_bucket", F.col("_n").alias("_in"))
+    near = wanted_buckets(first, probabilities, ["feature"])
+    spans = near.select("feature", F.col("_bucket").alias("_from"), F.when(F.col("_next_wanted"), F.col("_next")).otherwise(F.col("_bucket")).alias("_to"))
+    inside = F.col("_bucket").between(F.col("_from"), F.col("_to"))
+    # At most two spans per probability and feature.
+    looked = stage(cells.join(F.broadcast(spans), "feature").where(inside).select("feature", "_bucket").distinct(), "looked")
+    listed = F.broadcast(looked) if looked.count() <= LISTED else looked
+    values = stage(
+        rows.join(listed, ["feature", "_bucket"]).groupBy("feature", "_ref", "_bucket", "_bits", "_v").agg(F.count(F.lit(1)).alias("_n")), "values"
+    )
+    edges = select_ranks(
+        values.where("_ref").select("feature", "_v", "_bits", "_n"), first, probabilities, ["feature"], "_q", few_groups=True
     ).select("feature", F.array_sort(F.array_distinct("_q")).alias("_edges"))
+    parts = cells.join(looked, ["feature", "_bucket"], "left_anti").select("feature", "_ref", "_v", "_n", "_sum").unionByName(
+        values.select("feature", "_ref", "_v", "_n", (F.col("_v") * F.col("_n")).alias("_sum"))
+    )
     # Right-closed bins, the lowest edge in the first; no bin outside the edges.
-    places = " ".join(f"WHEN value <= get(_edges, {i}) THEN {i}" for i in range(1, bins + 1))
+    places = " ".join(f"WHEN _v <= get(_edges, {i}) THEN {i}" for i in range(1, bins + 1))
+    side = lambda c, ref: F.sum(F.when(F.col("_ref") if ref else ~F.col("_ref"), F.col(c)))
     # One row per feature column: the size is fixed by the call.
     binned = (
-        long.join(F.broadcast(edges), "feature", "left")
-        .select(
-            "feature",
-            F.expr(f"CASE WHEN value < get(_edges, 0) THEN NULL {places} END AS _bin"),
-            F.size("_edges").alias("_edge_count"),
-            F.when(F.col("_ref"), F.col("value")).alias("_r"),
-            F.when(~F.col("_ref"), F.col("value")).alias("_c"),
-        )
+        parts.join(F.broadcast(edges), "feature", "left")
+        .withColumn("_bin", F.expr(f"CASE WHEN _v < get(_edges, 0) THEN NULL {places} END"))
         .groupBy("feature", "_bin")
         .agg(
-            F.max("_edge_count").alias("_edge_count"),
-            F.sum("_r").alias("_rv"),
-            F.sum("_c").alias("_cv"),
-            F.count("_r").alias("_r"),
-            F.count("_c").alias("_c"),
+            F.max(F.size("_edges")).alias("_edge_count"),
+            side("_sum", True).alias("_rv"),
+            side("_sum", False).alias("_cv"),
+            F.coalesce(side("_n", True), F.lit(0)).alias("_r"),
+            F.coalesce(side("_n", False), F.lit(0)).alias("_c"),
         )
     )
     inside = Window.partitionBy("feature", F.col("_bin").isNull())

@@ -1,8 +1,8 @@
 """Global order without a global task: distinct-value positions, exact quantiles, dense ranks.
 
 Values are first counted (combined on the map side, so a value that repeats in a third of all rows
-becomes one row), then placed in buckets that preserve order. Positions inside a bucket come from
-a window over that bucket; the positions before a bucket come from a table with one row per bucket.
+becomes one row), then placed in buckets that preserve order: the leading bits of the number. Buckets that are too full are split
+by further bits. Positions inside a bucket come from a window over that bucket; the positions before a bucket come from a table with one row per bucket.
 """
 
 from __future__ import annotations
@@ -12,15 +12,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotline.session import stage
 
-def number_bucket(value: str, scale: float = 1.0, steps: int = 1024) -> Column:
-    """Order-preserving bucket of a number, fixed by the value alone.
 
-    Logarithmic in size, so a double's whole range maps to a bounded number of buckets and
-    nothing has to be known about the data beforehand.
+def order_bits(value: str | Column) -> Column:
+    """The bits of a double as a whole number in the same order: sign, then exponent, then fraction. Infinite values have their place, both zeros share one.
+
+    Built from powers of two, by which division and multiplication are exact. NaN has no place and must be left out.
     """
-    v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * scale) * steps).cast("long")
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = F.abs(v)
+    two = F.lit(2.0)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    # The logarithm may be off by one next to a power of two.
+    exponent = guess + F.when(size >= F.pow(two, guess + 1), 1.0).otherwise(0.0) - F.when(size < F.pow(two, guess), 1.0).otherwise(0.0)
+    whole = F.lit(float(1 << 52))
+    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + ((size / F.pow(two, exponent) - 1) * whole).cast("long")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size == F.lit(float("inf")), F.lit(0x7FF << 52))
+        .when(size < F.lit(2.0**-1022), tiny)
+        .otherwise(normal)
+    )
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+#: Bits that a refinement leaves out of a bucket: first all but sign, exponent and 8 bits of the fraction, then 12 fewer at a time.
+SHIFTS = (44, 32, 20, 8, 0)
+FULL = 65_536  # distinct values that one window sorts; fuller buckets are split further
+
+
+def number_bucket(value: str, shift: int = SHIFTS[0]) -> Column:
+    """Order-preserving bucket of a number, fixed by the value alone: its leading bits."""
+    return F.shiftright(order_bits(value), shift)
 
 
 def time_bucket(value: str, seconds: int = 86_400) -> Column:
@@ -40,16 +65,14 @@ def value_positions(
     smaller value), ``total_rows`` and ``total_values``.
     """
     groups = list(groups)
-    place = number_bucket(value) if bucket is None else bucket
     present = F.col(value).isNotNull()
     if df.schema[value].dataType.typeName() in ("double", "float"):
         present = present & ~F.isnan(value)
-    counted = (
-        df.where(present)
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_bucket", place)
-    )
+    counted = df.where(present).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    if bucket is None:
+        counted = split_buckets(counted, value, groups)
+    else:
+        counted = counted.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value)
     local = counted.withColumns(
         {
@@ -58,7 +81,7 @@ def value_positions(
             - F.col("n"),
         }
     )
-    # One row per bucket: the bucket count is bounded by the bucket function, not by the data.
+    # One row per bucket: buckets are split only while they are full, so there are few of them beside the values.
     per_bucket = counted.groupBy(*groups, "_bucket").agg(
         F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")
     )
@@ -83,58 +106,105 @@ def value_positions(
     )
 
 
+def split_buckets(counted: DataFrame, value: str, groups: Sequence[str] = (), full: int | None = None) -> DataFrame:
+    """``counted`` (distinct values) with ``_bucket``, the least bits of its bucket; no bucket holds more than ``full`` values.
+
+    Buckets start from the leading bits and only those that are too full are split by 12 more bits, four times at most. Buckets of all depths are
+    disjoint intervals of the same order.
+    """
+    full = FULL if full is None else full
+    groups = list(groups)
+    rows = stage(counted.withColumn("_bits", order_bits(value)).withColumn("_bucket", cut("_bits", SHIFTS[0])), "counted")
+    for shift in SHIFTS[1:]:
+        heavy = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_values")).where(F.col("_values") > full)
+        if heavy.isEmpty():
+            break
+        marks = heavy.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_heavy"))
+        same = F.col("_bucket") == F.col("_heavy")
+        for i, g in enumerate(groups):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        # A heavy bucket stands for more than ``full`` values, so the list is that much shorter than the table.
+        split = F.when(F.col("_heavy").isNotNull(), cut("_bits", shift)).otherwise(F.col("_bucket"))
+        rows = stage(rows.join(marks, same, "left").withColumn("_bucket", split).select(*rows.columns), "counted")
+    return rows.drop("_bits")
+
+
+def cut(bits: str, shift: int) -> Column:
+    return F.shiftleft(F.shiftright(bits, shift), shift)
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probabilities: Sequence[float],
     groups: Sequence[str] = (),
-    bucket: Column | None = None,
     output: str = "quantiles",
     few_groups: bool = False,
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group as an array column, computed by selection.
+    """Linear-interpolation quantiles per group as an array column, by radix refinement.
 
-    A first pass counts rows per order-preserving bucket; the counts tell which buckets hold the wanted
-    ranks. Only values of those buckets are then counted and ordered. With ``few_groups``
-    (the caller knows the groups: models, feature columns, none) the wanted buckets, at most two per
-    probability and group, are broadcast and no row outside them is ever shuffled. Otherwise the
-    values are combined and shuffled once and the buckets are joined by size.
+    A pass counts rows per bucket of leading bits; the counts tell which buckets hold the wanted ranks, and only rows of those are looked at again, by 12 more
+    bits at a time, until a bucket holds few rows or one value. Wanted buckets are two per probability and group at most. With ``few_groups``
+    (the caller knows the groups: models, feature columns, none) they are broadcast up to ``LISTED`` of them; otherwise they are joined by size.
     """
     groups = list(groups)
     present = F.col(value).isNotNull()
     if df.schema[value].dataType.typeName() in ("double", "float"):
         present = present & ~F.isnan(value)
-    place = number_bucket(value) if bucket is None else bucket
-    rows = df.where(present).select(*groups, F.col(value).cast("double").alias("_v"), place.alias("_bucket"))
-    if few_groups:
-        rows = rows.withColumn("_n", F.lit(1))
-    else:
-        rows = rows.groupBy(*groups, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(present).select(*groups, F.col(value).cast("double").alias("_v")).withColumn("_bits", order_bits("_v"))
+    first = rows.groupBy(*groups, cut("_bits", SHIFTS[0]).alias("_bucket")).agg(F.count(F.lit(1)).alias("_in"))
+    return select_ranks(rows, first, probabilities, groups, output, few_groups)
 
-    # Bucket counts: bounded by the bucket function per group, not by the rows.
-    across = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    lower = across.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+LISTED = 100_000
+
+
+def _wanted(probabilities: Sequence[float]) -> tuple[list[str], str, str]:
+    """SQL for the place of each probability, the ranks beside these places, and whether a bucket holds one of them."""
     spots = [f"CAST({float(p)!r} AS DOUBLE) * (_total - 1)" for p in probabilities]
     ranks = ", ".join(f"CAST({side}({s}) AS BIGINT)" for s in spots for side in ("floor", "ceil"))
-    wanted = (
-        rows.groupBy(*groups, "_bucket")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumns(
-            {
-                "_below": F.coalesce(F.sum("_in").over(lower), F.lit(0)),
-                "_total": F.sum("_in").over(across),
-            }
-        )
-        .where(f"exists(array({ranks}), r -> r >= _below AND r < _below + _in)")
-        .drop("_in")
-    )
-    near = rows.join(F.broadcast(wanted) if few_groups else wanted, [*groups, "_bucket"])
-    counted = near.groupBy(*groups, "_bucket", "_below", "_total", "_v").agg(F.sum("_n").alias("_n"))
-    upto = (
-        Window.partitionBy(*groups, "_bucket")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    return spots, ranks, f"exists(array({ranks}), r -> r >= _below AND r < _below + _in)"
+
+
+def wanted_buckets(first: DataFrame, probabilities: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """Rows of ``first`` (groups, _bucket, _in) that hold a wanted rank, with ``_below``, ``_total``, the next bucket and whether that one is wanted too."""
+    across = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    order = across.orderBy("_bucket")
+    lower = order.rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.withColumns({"_below": F.coalesce(F.sum("_in").over(lower), F.lit(0)), "_total": F.sum("_in").over(across)})
+    marked = counts.withColumn("_wanted", F.expr(_wanted(probabilities)[2]))
+    marked = marked.withColumns({"_next": F.lead("_bucket").over(order), "_next_wanted": F.coalesce(F.lead("_wanted").over(order), F.lit(False))})
+    return marked.where("_wanted").drop("_wanted")
+
+
+def select_ranks(
+    rows: DataFrame, first: DataFrame, probabilities: Sequence[float], groups: Sequence[str], output: str, few_groups: bool
+) -> DataFrame:
+    """Quantiles of ``rows`` (groups, _v, _bits) from the counts ``first`` (groups, _bucket, _in) of the first pass."""
+    groups = list(groups)
+    spots, ranks, holds = _wanted(probabilities)
+    wanted = stage(wanted_buckets(first, probabilities, groups).drop("_next", "_next_wanted"), "wanted")
+    inside = rows
+    for depth, shift in enumerate(SHIFTS):
+        listed = F.broadcast(wanted) if few_groups and wanted.count() <= LISTED else wanted
+        keys = listed.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"), "_below", "_total")
+        same = cut("_bits", shift) == F.col("_b")
+        for i, g in enumerate(groups):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        drop = [f"_g{i}" for i in range(len(groups))]
+        near = inside.join(keys, same).drop(*drop)
+        last = depth == len(SHIFTS) - 1
+        if last or wanted.agg(F.max("_in")).first()[0] is None or wanted.agg(F.max("_in")).first()[0] <= FULL:
+            break
+        # Equal values fall together on the map side, so what is looked at again shrinks at once.
+        inside = stage(near.groupBy(*groups, "_v", "_bits", "_b", "_below", "_total").agg(_rows_of(near)), "inside")
+        finer = inside.groupBy(*groups, "_b", "_total", cut("_bits", SHIFTS[depth + 1]).alias("_bucket")).agg(F.sum("_n").alias("_in"), F.min("_below").alias("_base"))
+        part = Window.partitionBy(*groups, "_b").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        finer = finer.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_in").over(part), F.lit(0)))
+        wanted = stage(finer.where(holds).select(*groups, "_bucket", "_in", "_below", "_total"), "wanted")
+        inside = inside.select(*groups, "_v", "_bits", "_n")
+    counted = near.groupBy(*groups, "_b", "_below", "_total", "_v").agg(_rows_of(near))
+    upto = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         counted.withColumn("_end", F.col("_below") + F.sum("_n").over(upto))
         .withColumn(
@@ -153,6 +223,24 @@ def exact_quantiles(
     return found.select(*groups, F.expr(f"array({', '.join(values)})").alias(output))
 
 
+def _rows_of(df: DataFrame) -> Column:
+    return (F.sum("_n") if "_n" in df.columns else F.count(F.lit(1))).alias("_n")
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_no") -> DataFrame:
+    """``df``, written once, with its place in ``order`` from 0. Equal rows are told apart by their scan position.
+
+    A range exchange and a sort inside its partitions place each row there; the sizes of the partitions, one row each, give the rest.
+    """
+    tie = F.monotonically_increasing_id()
+    sorted_ = df.withColumn("_tie", tie).repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie")).drop("_tie")
+    placed = stage(sorted_.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(output, F.col("_before") + inside).drop("_part", "_at", "_before")
+
+
 def dense_rank(df: DataFrame, score: str, output: str, bucket: Column | None = None) -> DataFrame:
     """Dense rank of every row by ``score``, highest first, over the whole table.
 

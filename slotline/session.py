@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,14 @@ def pin_time_zone(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Typed keyed state (lists, maps, timers) needs the store on local disk; it is backed up with the checkpoint."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -69,6 +78,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{owned}/data"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of frames that nothing refers to any more.
+
+    Spark finds out at the next collection of the driver's heap, which in a long chain of written tables comes late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Staging:
     """Owner of the intermediate tables of one operator.
 
@@ -90,6 +108,7 @@ class Staging:
     def drop(self, *names: str) -> None:
         for name in names or list(self.paths):
             remove_folder(self.spark, self.paths.pop(name))
+        free_shuffles(self.spark)
 
     def __enter__(self) -> Staging:
         return self

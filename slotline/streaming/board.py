@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from slotline.operators.activity import upsert_latest
 from slotline.streaming.ingest import checkpoint_id
 
+KEPT_VERSIONS = 5  # readers of an older version must have finished by then
+
 
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -49,26 +51,45 @@ def seed_if_empty(baseline: DataFrame, path: str) -> bool:
 
 
 def merged_until(spark: SparkSession, path: str, source: str) -> int:
-    """Number of the last micro-batch of ``source`` that any version holds; -1 when there is none.
+    """Number of the last micro-batch of ``source`` that the board holds; -1 when there is none.
 
-    Every version that merged a micro-batch keeps a marker file with the source and the batch id, so a reset or a
+    The newest version carries one marker per source, whatever came before it, so a reset or a
     second source changes nothing about what a source has delivered.
     """
+    return _merged(spark, path).get(source, -1)
+
+
+def _merged(spark: SparkSession, path: str) -> dict[str, int]:
     at, fs, jvm = _file_system(spark, path)
-    last = -1
-    for number in versions(spark, path):
+    last: dict[str, int] = {}
+    # Where a crash cut off the markers of a version, those of the one before hold.
+    for number in reversed(versions(spark, path)):
         for item in fs.listStatus(jvm.org.apache.hadoop.fs.Path(at, f"v{number:012d}")):
             name = item.getPath().getName()
-            if name.startswith(f"_merged.{source}."):
-                last = max(last, int(name.rpartition(".")[2]))
+            if name.startswith("_merged."):
+                source, _, batch = name.removeprefix("_merged.").rpartition(".")
+                last[source] = max(last.get(source, -1), int(batch))
+        if last:
+            break
     return last
 
 
+def _settle(spark: SparkSession, path: str, number: int, merged: dict[str, int]) -> None:
+    """Mark what version ``number`` holds and remove versions that no reader needs any more."""
+    at, fs, jvm = _file_system(spark, path)
+    for source, batch in merged.items():
+        fs.create(jvm.org.apache.hadoop.fs.Path(at, f"v{number:012d}/_merged.{source}.{batch}")).close()
+    for old in versions(spark, path)[:-KEPT_VERSIONS]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(at, f"v{old:012d}"), True)
+
+
 def reset(baseline: DataFrame, path: str) -> int:
     """Put the baseline back as the newest version."""
     known = versions(baseline.sparkSession, path)
     number = known[-1] + 1 if known else 0
+    merged = _merged(baseline.sparkSession, path)
     write_version(baseline, path, number)
+    _settle(baseline.sparkSession, path, number, merged)
     return number
 
 
@@ -79,16 +100,16 @@ def upsert_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: li
     A batch id that this source has delivered before changes nothing; version numbers are only an order.
     """
     spark = batch.sparkSession
-    if merged_until(spark, path, source) >= batch_id:
+    merged = _merged(spark, path)
+    if merged.get(source, -1) >= batch_id:
         return False
     known = versions(spark, path)
     board = read_board(spark, path)
-    merged = upsert_latest(batch.limit(0) if board is None else board, batch, key, order)
+    rows = upsert_latest(batch.limit(0) if board is None else board, batch, key, order)
     number = known[-1] + 1 if known else 0
-    write_version(merged, path, number)
-    # Merging the same batch twice gives the same board, so a crash before the marker does no harm.
-    at, fs, jvm = _file_system(spark, f"{path}/v{number:012d}/_merged.{source}.{batch_id}")
-    fs.create(at).close()
+    write_version(rows, path, number)
+    # Merging the same batch twice gives the same board, so a crash before the markers does no harm.
+    _settle(spark, path, number, merged | {source: batch_id})
     return True
 
 

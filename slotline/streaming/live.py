@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from slotline import fixed
 from slotline.operators import spatial
 from slotline.operators import timeseries as ts
+from slotline.streaming import keyed
 
-KEPT_ROWS = 6
-MEASURES = ["occupancy_clean", "utilization", "queue_length", "parking_stress_index"]
-PREVIOUS_DAY = ["lag_utilization_prev_day", "lag_queue_prev_day", "lag_stress_prev_day"]
+PREVIOUS_DAY = keyed.PREVIOUS_DAY
+FEATURES = [*keyed.HISTORY, "utilization_delta_30m", "utilization_delta_60m"]
 
 
 def site_history(slots: DataFrame, key: str = "system_code", slot: str = "time_slot") -> DataFrame:
@@ -53,91 +47,6 @@ def live_features(slots: DataFrame, edges: DataFrame) -> DataFrame:
     return add_context(site_history(slots), slots, edges)
 
 
-# --- stateful stream --------------------------------------------------------
-
-STATE = (
-    "last_slot long, step long, recent array<double>, same_slot array<double>, carried array<double>"
-)
-FEATURES = [*ts.IN_SESSION_LAGS, *ts.ROLLING_MEANS, *PREVIOUS_DAY, "utilization_delta_30m", "utilization_delta_60m"]
-OUTPUT = (
-    "system_code string, time_slot timestamp, session_step long, minutes_from_previous double, "
-    "is_late boolean, " + ", ".join(f"{c} double" for c in FEATURES)
-)
-
-
-def _advance(minutes: int, kept: int, measures: list[str], features: int, names: list[str]):
-    """Walk one site's new slot rows in time order with a bounded memory.
-
-    Kept: the last six rows of four measures, one triple per slot of the day, the session step
-    and the carried previous-day values. A row not later than the last one is marked late.
-    """
-    width_us = minutes * 60_000_000
-    day_slots = 24 * 60 // minutes
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        width = len(measures)
-        if state.exists:
-            last, step, flat, same, carried = state.get
-            recent = [list(flat[i : i + width]) for i in range(0, len(flat), width)]
-            same, carried = np.array(same), list(carried)
-        else:
-            last, step, recent = None, -1, []
-            same, carried = np.full(day_slots * 3, np.nan), [np.nan] * 3
-        rows = pd.concat(list(parts)).sort_values("time_slot")
-        slot_us = rows["time_slot"].astype("datetime64[us]").astype("int64")
-
-        def mean(c, n):
-            seen = [r[c] for r in recent[-n:] if not np.isnan(r[c])]
-            return float(np.mean(seen)) if seen else np.nan
-
-        def back(c, n):
-            return recent[-n][c] if len(recent) >= n else np.nan
-
-        out = []
-        for at, stamp, occ, use, queue, load in zip(
-            slot_us, rows["time_slot"], *[rows[c] for c in measures]
-        ):
-            if last is not None and at <= last:
-                out.append([key[0], stamp, None, None, True, *[np.nan] * features])
-                continue
-            contiguous = last is not None and at - last == width_us
-            step = step + 1 if contiguous else 0
-            gap = (at - last) / 60e6 if last is not None else 0.0
-            place = int(at // width_us % day_slots) * 3
-            carried = [s if not np.isnan(s) else c for s, c in zip(same[place : place + 3], carried)]
-            lag1, lag2 = back(1, 1), back(1, 2)
-            out.append(
-                [key[0], stamp, step, gap, False]
-                + [back(0, 1), back(0, 2), lag1, lag2, back(1, 4), back(2, 1)]
-                + [mean(1, 3), mean(1, 6), mean(2, 3), mean(2, 6), mean(3, 3)]
-                + [*carried, use - lag1, use - lag2]
-            )
-            recent = [*recent, [occ, use, queue, load]][-kept:]
-            same[place : place + 3] = [use, queue, load]
-            last = int(at)
-        state.update(
-            (
-                last,
-                step,
-                [float(v) for r in recent for v in r],
-                [float(v) for v in same],
-                [float(v) for v in carried],
-            )
-        )
-        yield pd.DataFrame(out, columns=names).astype({"session_step": "Int64"})
-
-    return run
-
-
 def live_feature_stream(slots: DataFrame, key: str = "system_code") -> DataFrame:
-    """Own-history features per arriving slot row, from state bounded per site.
-
-    Neighbour context comes from the board and is added per micro-batch with ``add_context``.
-    """
-    names = [f.split(" ")[0] for f in OUTPUT.split(", ")]
-    advance = _advance(fixed.SLOT_MINUTES, KEPT_ROWS, MEASURES, len(FEATURES), names)
-    return (
-        slots.select(F.col(key).alias("system_code"), "time_slot", *[F.col(c).cast("double").alias(c) for c in MEASURES])
-        .groupBy("system_code")
-        .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+    """Own-history features per arriving slot row, from state bounded per site (``keyed``)."""
+    return keyed.feature_stream(slots, key)

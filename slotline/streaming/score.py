@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from slotline import fixed
 from slotline.functions import columns as X
@@ -15,6 +17,7 @@ from slotline.operators import evaluate as ev
 from slotline.operators import timeseries as ts
 from slotline.plans import training
 from slotline.sources.tables import union_history
+from slotline.streaming import board, keyed
 from slotline.streaming.live import add_context, site_history
 
 CARRIED = ["capacity", "latitude", "longitude", "vehicle_type"]
@@ -71,7 +74,20 @@ def score_live(
     blended = scored.withColumn(
         "predicted_utilization_1h", ev.ensemble_value(members, {n: f"_{n}" for n in models})
     ).drop(*[f"_{n}" for n in models])
-    ranged = decide.live_interval(blended, widths).withColumn(
+    return score_prediction(blended, widths)
+
+
+def linear_prediction(weights: dict[str, float], intercept: float = 0.0) -> Column:
+    """A stand-in model: a weighted sum of features, unknown ones left out, within [0, 1]."""
+    total = F.lit(float(intercept))
+    for name, weight in weights.items():
+        total = total + F.lit(float(weight)) * F.coalesce(F.col(name), F.lit(0.0))
+    return X.clip(total)
+
+
+def score_prediction(rows: DataFrame, widths: DataFrame) -> DataFrame:
+    """Interval from the widest published width, free spaces, scores and total risk band for rows with a prediction."""
+    ranged = decide.live_interval(rows, widths).withColumn(
         "predicted_available_spaces_1h", X.free_spaces("capacity", "predicted_utilization_1h")
     )
     ratioed = ranged.withColumn(
@@ -90,3 +106,25 @@ def score_live(
             "risk_band": X.risk_band_total("prediction_interval_upper"),
         }
     )
+
+
+def scored_board_stream(
+    slots: DataFrame,
+    edges: DataFrame,
+    history: DataFrame,
+    widths: DataFrame,
+    predict: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    key: str = "system_code",
+) -> StreamingQuery:
+    """The live path in one stream: slot rows to features on keyed state, prediction, scores, and the board of each site's newest row.
+
+    ``history`` is read once, into the state; ``predict`` adds ``predicted_utilization_1h``. Late rows have no features and change nothing on the board.
+    """
+    rows = keyed.feature_stream(slots, key, edges, history, carry=["capacity", "capacity_pressure"])
+
+    def scored(batch: DataFrame) -> DataFrame:
+        return score_prediction(predict(batch.where("NOT is_late")), widths).drop("is_late")
+
+    return board.board_stream(rows, path, checkpoint, "system_code", ["time_slot"], scored)

@@ -58,6 +58,35 @@ def test_order_preserving_bucket(spark):
     assert buckets == sorted(buckets)
 
 
+def test_order_bits_are_those_of_the_number(spark):
+    import struct
+
+    rng = np.random.default_rng(4)
+    v = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), -float("inf")]
+    v += [float(np.nextafter(2.0**k, d)) for k in range(-1070, 1024, 7) for d in (0, np.inf)] + [2.0**k for k in range(-1074, 1024)]
+    v += [float(x) for x in rng.integers(0, 0x7FF0 << 48, 3000).view(np.float64)] + [-float(x) for x in rng.lognormal(0, 50, 500)]
+    df = spark.createDataFrame([(x,) for x in v], "v double").withColumn("b", order.order_bits("v"))
+    for r in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.b == (-bits if r.v < 0 else bits), r.v
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_full_buckets_are_split(spark, few, monkeypatch):
+    """Values closer together than the first buckets: quantiles, positions and ranks stay exact and no window gets large."""
+    monkeypatch.setattr(order, "FULL", 40)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.uniform(1000.0, 1000.0 + 1e-9, 700), rng.uniform(0, 1e-3, 700), np.full(500, 7.5), -rng.uniform(1000.0, 1000.001, 300)])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    probs = [0.0, 0.05, 0.1, 0.33, 0.5, 0.75, 0.9, 1.0]
+    assert np.allclose(order.exact_quantiles(df, "v", probs, few_groups=few).first().quantiles, np.quantile(v, probs), rtol=1e-15, atol=0)
+    distinct = np.unique(v)
+    counted = order.split_buckets(df.groupBy("v").count(), "v")
+    assert counted.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 40
+    placed = {r.v: r.position for r in order.value_positions(df, "v").collect()}
+    assert placed == {x: i + 1 for i, x in enumerate(distinct.tolist())}
+
+
 # --- splits -----------------------------------------------------------------
 
 

@@ -293,6 +293,29 @@ def cluster_sites(spark, d):
     )
 
 
+@add(
+    "cluster_facts",
+    """WITH s AS (SELECT count(DISTINCT event_type || '-' || CAST(user_id % 8 AS VARCHAR)) AS n FROM events)
+SELECT CAST(k AS BIGINT) AS k, n AS sites, CAST(20 AS BIGINT) AS starts, CAST(0 AS BIGINT) AS misplaced, true AS least_cost FROM s, (SELECT unnest([2, 3, 4, 5]) AS k)""",
+)
+def cluster_facts(spark, d):
+    """What holds for any k-means answer: no site is nearer to another centre, and the kept start is the cheapest of all."""
+    features = fixed.PROFILE_FEATURES
+    names = [f"z_{c}" for c in features]
+    rows = stage(cluster.standardised(many_site_profiles(spark, d), features))
+    found = cluster.kmeans(rows, names, [2, 3, 4, 5])
+    out = None
+    for k, fit in found.items():
+        placed = cluster.nearest(rows, names, fit["centres"])
+        away = lambda j: sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(names, fit["centres"][j])), F.lit(0.0))
+        gaps = F.array(*[away(j) for j in range(k)])
+        wrong = F.count_if(F.array_min(gaps) < F.element_at(gaps, F.col("cluster") + 1) - 1e-9)
+        cost = F.abs(F.sum(F.element_at(gaps, F.col("cluster") + 1)) - F.lit(min(fit["costs"]))) < 1e-6
+        one = placed.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("sites"), F.lit(len(fit["costs"])).cast("long").alias("starts"), wrong.alias("misplaced"), cost.alias("least_cost"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @add("pca_project")
 def pca_project(spark, d):
     from pyspark.ml.feature import VectorAssembler
@@ -361,7 +384,7 @@ def silhouette_squared(spark, d):
 @add("isolation_anomalies")
 def isolation_anomalies(spark, d):
     rows = stage(feature_rows(spark, d), "features")
-    found = anomalies.detect_anomalies(rows, trees=50)
+    found = anomalies.detect_anomalies(rows)
     return found.select("system_code", "time_slot", "anomaly_score", "anomaly_reason")
 
 

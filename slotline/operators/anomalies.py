@@ -14,6 +14,7 @@ from slotline.functions import columns as X
 from slotline.operators.order import exact_quantiles
 from slotline.session import stage
 
+SPARE = 4  # expected rows below a sample's bound, as a multiple of the sample
 TREE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double, size int"
 
 
@@ -66,25 +67,33 @@ def isolation_trees(
     sample: int = fixed.ANOMALY_SAMPLE,
     seed: int = fixed.SEED,
 ) -> DataFrame:
-    """Tree nodes. The pool is the ``trees * sample`` rows with the smallest hash of their identity;
-    every tree then draws its own sample from the pool in its own hash order."""
-    hashed = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in identity])
-    pool = (
-        df.select(*features, hashed.alias("_pool"))
-        .orderBy("_pool", *features)
-        .limit(trees * sample)
-    )
-    order = Window.partitionBy("_tree").orderBy("_h", *features)
-    drawn = (
-        pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_h", F.xxhash64("_tree", "_pool"))
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= sample)
-        .drop("_n", "_pool")
-    )
+    """Tree nodes. Every tree has its own sample: the ``sample`` rows with the smallest hash of the tree and their identity."""
+    drawn = tree_samples(df.select(*features, *[c for c in identity if c not in features]), identity, trees, sample, seed)
     return drawn.groupBy("_tree").applyInPandas(_grow(list(features), seed, sample), TREE_SCHEMA)
 
 
+def tree_samples(df: DataFrame, identity: Sequence[str], trees: int, sample: int, seed: int = fixed.SEED) -> DataFrame:
+    """Rows of each tree's sample with ``_tree`` and ``_h``: bottom-``sample`` by hash, exactly, for all trees in one pass.
+
+    Each row works out its hash for all trees and goes only to those where it lies below a bound that ``SPARE`` times the wanted rows are expected to
+    meet. Should a tree get too few, the bound is raised and the pass repeated; any bound that is met by enough rows gives the same sample.
+    """
+    n = df.count()
+    hashed = lambda t: F.xxhash64(F.lit(seed), t, *[F.col(c).cast("string") for c in identity])
+    share = min(1.0, SPARE * sample / max(n, 1))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    while True:
+        bound = min((1 << 63) - 1, -(1 << 63) + int(share * ((1 << 64) - 1)))
+        hits = F.filter(F.transform(every, lambda t: F.struct(t.alias("tree"), hashed(t).alias("h"))), lambda x: x["h"] <= F.lit(bound))
+        near = stage(df.withColumn("_hit", F.explode(hits)).select(*df.columns, F.col("_hit.tree").alias("_tree"), F.col("_hit.h").alias("_h")), "near")
+        short = near.groupBy("_tree").count().agg(F.count(F.lit(1)).alias("trees"), F.min("count").alias("least")).first()
+        if share >= 1.0 or (short["trees"] == trees and short["least"] >= min(sample, n)):
+            break
+        share = min(1.0, 4 * share)
+    order = Window.partitionBy("_tree").orderBy("_h", *df.columns)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+
+
 def _forest_arrays(nodes: list) -> tuple:
     """Rectangular node arrays [tree, node]."""
     trees = 1 + max(r["tree"] for r in nodes)
@@ -115,7 +124,7 @@ def isolation_scores(
     names = list(features)
     filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     inputs = [f"_f_{c}" for c in names]
-    nodes = isolation_trees(filled, inputs, identity, trees, sample, seed).collect()
+    nodes = isolation_trees(filled.select(*inputs, *identity), inputs, identity, trees, sample, seed).collect()
     if not nodes:
         return df.withColumn(output, F.lit(None).cast("double"))
     shared = df.sparkSession.sparkContext.broadcast(_forest_arrays(nodes))

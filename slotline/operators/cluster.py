@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -155,6 +154,80 @@ def standardised(profiles: DataFrame, features: Sequence[str], output: str = "sc
     return profiles.withColumn("_f", frame).withColumns(scaled).drop("_f")
 
 
+STARTS, SEEDED, STEPS, TOLERANCE = 20, 4096, 300, 1e-8
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of ``sample``, each drawn in proportion to its squared distance from those before."""
+    centres = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        gap = ((sample[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2).min(axis=1)
+        total = gap.sum()
+        centres.append(sample[rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))])
+    return np.array(centres)
+
+
+def kmeans(rows: DataFrame, features: Sequence[str], ks: Sequence[int], starts: int = STARTS, seed: int = fixed.SEED) -> dict[int, dict]:
+    """For every k the centres of the cheapest of ``starts`` starts, its cost and the costs of all: all starts of all k in the same passes.
+
+    One pass over the rows sums rows, squared distances and coordinates by (k, start, cluster); only these sums, whose number the call fixes, come to the
+    driver. Runs that no longer move are left out of the next pass. First centres come from at most ``SEEDED`` rows, those with the
+    smallest hash; the passes see all rows. A cluster that loses all rows keeps its centre.
+    """
+    names = list(features)
+    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in names])
+    sample = rows.select(*names).orderBy(order, *names).limit(SEEDED).toPandas().to_numpy(float)
+    rng = np.random.default_rng(seed)
+    runs = {(k, s): _first_centres(sample, k, rng) for k in ks for s in range(starts)}
+    costs: dict[tuple[int, int], float] = {}
+    schema = "k int, start int, cluster int, n long, cost double, sums array<double>"
+
+    def summed(moving: dict[tuple[int, int], np.ndarray]) -> list:
+        def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = {run: (np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(c.shape)) for run, c in moving.items()}
+            for frame in frames:
+                x = frame.to_numpy(float)
+                for i in range(0, len(x), BLOCK_ROWS):
+                    part = x[i : i + BLOCK_ROWS]
+                    for run, centres in moving.items():
+                        gap = ((part[:, None, :] - centres[None]) ** 2).sum(axis=2)
+                        own = gap.argmin(axis=1)
+                        n, cost, sums = out[run]
+                        np.add.at(n, own, 1)
+                        np.add.at(cost, own, gap[np.arange(len(part)), own])
+                        np.add.at(sums, own, part)
+            told = [(*run, j, int(n[j]), float(cost[j]), sums[j].tolist()) for run, (n, cost, sums) in out.items() for j in range(len(n)) if n[j]]
+            yield pd.DataFrame(told, columns=[c.split()[0] for c in schema.split(", ")])
+
+        parts = rows.select(*names).mapInPandas(one, schema)
+        sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(names))])
+        return parts.groupBy("k", "start", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("sums")).collect()
+
+    moving = dict(runs)
+    for _ in range(STEPS):
+        moved, spent = {run: c.copy() for run, c in moving.items()}, dict.fromkeys(moving, 0.0)
+        for r in summed(moving):
+            run = (r["k"], r["start"])
+            moved[run][r["cluster"]] = np.array(r["sums"]) / r["n"]
+            spent[run] += r["cost"]
+        costs.update(spent)
+        runs.update(moving)
+        moving = {run: c for run, c in moved.items() if np.abs(c - moving[run]).max() > TOLERANCE}
+        if not moving:
+            break
+    out = {}
+    for k in ks:
+        best = min(range(starts), key=lambda s: (costs[k, s], s))
+        out[k] = {"centres": runs[k, best], "cost": costs[k, best], "costs": [costs[k, s] for s in range(starts)]}
+    return out
+
+
+def nearest(rows: DataFrame, features: Sequence[str], centres: np.ndarray, output: str = "cluster") -> DataFrame:
+    """``rows`` with the number of the nearest centre, the first of equals."""
+    gaps = F.array(*[reduce(lambda a, b: a + b, [(F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(features, centre)]) for centre in centres])
+    return rows.withColumn("_gaps", gaps).withColumn(output, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+
+
 def choose_clusters(
     profiles: DataFrame,
     key: str = "system_code",
@@ -170,13 +243,8 @@ def choose_clusters(
     if n < 3:
         raise ValueError("clustering needs at least three sites")
     ready = wide.transform(rows)
-    candidates = {
-        k: KMeans(k=k, seed=fixed.SEED, maxIter=100, tol=1e-6, initSteps=5)
-        .fit(ready)
-        .transform(ready)
-        .withColumnRenamed("prediction", "cluster")
-        for k in range(2, min(largest_k, n - 1) + 1)
-    }
+    fits = kmeans(rows, names, list(range(2, min(largest_k, n - 1) + 1)))
+    candidates = {k: nearest(ready, names, fit["centres"]) for k, fit in fits.items()}
     # All labellings in one frame, judged together.
     every = reduce(
         DataFrame.unionByName,

@@ -12,7 +12,8 @@ from slotline.functions import columns as X
 from slotline.operators.asof import asof_join
 from slotline.session import stage
 
-GRID_LEVELS = 24
+GRID_LEVELS = 24  # of the first pass
+DEEPEST = 60  # cell numbers fit in 64 bits; no two doubles share a cell that deep unless they are next to each other
 
 
 def canonical_sites(
@@ -35,6 +36,7 @@ def knn_graph(
     lon: str = "longitude",
     neighbour: str = "neighbor_code",
     floor: float = fixed.ERROR_FLOOR,
+    crowd: int = 64,
 ) -> DataFrame:
     """Exact k nearest sites by Euclidean distance with normalised inverse-distance weights.
 
@@ -42,7 +44,8 @@ def knn_graph(
     picks its finest level whose 3x3 block holds at least k + 1 sites; then its k nearest lie within
     2*sqrt(2) cells, so a 7x7 block of that level contains all of them. The candidates come from an equi
     join on (level, cell). Because the next finer block held fewer than k + 1 sites, a candidate meets only a
-    bounded number of sources: the work is linear in the number of sites. Sites sharing a coordinate
+    bounded number of sources: the work is linear in the number of sites. A block that holds more than ``crowd`` sites at the finest level of the first pass is
+    cut further, so that a spot of a millimetre in a country costs no more than the country. Sites sharing a coordinate
     are one place in the search, of which only the first k + 1 keys can ever be among the nearest
     (ties go to the smaller key), so a pile of co-located sites stays linear too.
     """
@@ -61,7 +64,7 @@ def knn_graph(
         F.min("_lon").alias("lon0"),
         F.greatest(F.max("_lat") - F.min("_lat"), F.max("_lon") - F.min("_lon"), F.lit(1e-12)).alias("side"),
     ).first()
-    # Cells of the finest level are far smaller than an even spread would need, for dense spots.
+    # Cells of the last of these levels are far smaller than an even spread would need.
     levels = min(GRID_LEVELS, 8 + math.ceil(math.log2(math.sqrt(max(frame["n"] or 1, 1)) + 1)))
 
     def cells(df: DataFrame, reach: int = 0) -> DataFrame:
@@ -79,24 +82,47 @@ def knn_graph(
             .drop("_dx", "_dy")
         )
 
-    levelled = places.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    gridded = cells(levelled)
-    # Sites in the 3x3 block around every occupied cell, from one count per occupied cell.
-    around = (
-        gridded.groupBy("_level", "_x", "_y")
-        .agg(F.sum(F.size("_keys")).alias("_in"))
-        .withColumn("_dx", F.expr("explode(sequence(-1, 1))"))
-        .withColumn("_dy", F.expr("explode(sequence(-1, 1))"))
-        .groupBy("_level", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
-        .agg(F.sum("_in").alias("_in"))
-    )
-    # Level 0 is one cell over everything: the fallback when there are k or fewer other sites.
-    chosen = (
-        gridded.join(around, ["_level", "_x", "_y"])
-        .where((F.col("_in") >= k + 1) | (F.col("_level") == 0))
-        .groupBy("_lat", "_lon")
-        .agg(F.max("_level").alias("_level"))
-    )
+    def choose(among: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+        """Cells of the places at levels ``low`` to ``high``, and per place its finest level with enough sites around and how many those are."""
+        gridded = cells(among.withColumn("_level", F.explode(F.sequence(F.lit(low), F.lit(high)))))
+        # Sites in the 3x3 block around every occupied cell, from one count per occupied cell.
+        around = (
+            gridded.groupBy("_level", "_x", "_y")
+            .agg(F.sum(F.size("_keys")).alias("_in"))
+            .withColumn("_dx", F.expr("explode(sequence(-1, 1))"))
+            .withColumn("_dy", F.expr("explode(sequence(-1, 1))"))
+            .groupBy("_level", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
+            .agg(F.sum("_in").alias("_in"))
+        )
+        # Level 0 is one cell over everything: the fallback when there are k or fewer other sites.
+        picked = (
+            gridded.join(around, ["_level", "_x", "_y"])
+            .where((F.col("_in") >= k + 1) | (F.col("_level") == 0))
+            .groupBy("_lat", "_lon")
+            .agg(F.max(F.struct("_level", "_in")).alias("_p"))
+            .select("_lat", "_lon", "_p._level", "_p._in")
+        )
+        return gridded, picked
+
+    gridded, picked = choose(places, 0, levels)
+    picked = stage(picked, "picked")
+    crowded = lambda rows, level: rows.where((F.col("_level") == level) & (F.col("_in") > crowd))
+    # Spots that are too full at the last level are cut further, they and what lies around them only, until no spot is.
+    while levels < DEEPEST and not crowded(picked, levels).isEmpty():
+        deep = stage(crowded(picked, levels).select("_lat", "_lon"), "deep")
+        blocks = cells(deep.withColumn("_level", F.lit(levels)), reach=3).select("_x", "_y").distinct()
+        near = cells(places.withColumn("_level", F.lit(levels))).join(blocks, ["_x", "_y"], "left_semi").select("_lat", "_lon", "_keys")
+        last, levels = levels, min(levels + 8, DEEPEST)
+        finer, again = choose(stage(near, "near"), last + 1, levels)
+        gridded = gridded.unionByName(finer)
+        better = again.join(deep, ["_lat", "_lon"], "left_semi").select("_lat", "_lon", F.col("_level").alias("_deeper"), F.col("_in").alias("_within"))
+        picked = stage(
+            picked.join(better, ["_lat", "_lon"], "left").select(
+                "_lat", "_lon", F.coalesce("_deeper", "_level").alias("_level"), F.when(F.col("_deeper").isNotNull(), F.col("_within")).otherwise(F.col("_in")).alias("_in")
+            ),
+            "picked",
+        )
+    chosen = picked.drop("_in")
     sources = cells(chosen, reach=3).withColumnsRenamed({"_lat": "_slat", "_lon": "_slon"})
     candidates = sources.join(gridded, ["_level", "_x", "_y"]).withColumn(
         "distance", F.expr("sqrt(power(_lat - _slat, 2) + power(_lon - _slon, 2))")

@@ -17,6 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The top-level column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wrapped(df: DataFrame, **more: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside further columns, so that no name of the rows' own can clash with those."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unwrapped(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The rows that ``wrapped`` took in, with the columns of ``like``; ``changed`` columns take the place of the rows' own."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in like.columns])
+
+
 def row_key(id_column: Column, text: Column) -> Column:
     """A non-null key that is equal for repeated rows: same id, same text (by a 64-bit hash, which parts texts of one id)."""
     told = F.when(id_column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), id_column.cast("string")))

@@ -4,7 +4,7 @@ Lines are compared in lower case with white space joined. Every distinct line ge
 bands; lines that agree in a band are compared exactly (Jaccard similarity of the shingle sets, 0.75 or more), and distributed union-find joins
 them. One line of every component stays: the first, by document and place.
 
-Recall of the banding for two lines of similarity s is 1 - (1 - s**ROWS)**BANDS: 0.995 at 0.75, 0.9997 at 0.8.
+Recall of the banding for two lines of similarity s is 1 - (1 - s**ROWS)**BANDS: 0.996 at 0.75, 0.9992 at 0.8.
 Equal lines need no banding: they are one item.
 """
 
@@ -18,16 +18,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import row_key
-from slotline.llm.linking import link, listed
+from slotline.llm.common import row_key, unwrapped, wrapped
+from slotline.llm.linking import Linker, bitmap, link, listed, shared_regions
 from slotline.llm.ngram_join import mixed
 from slotline.session import Staging
 
-SHINGLE, BANDS, ROWS, PERCENT, SEED = 8, 14, 4, 75, 17
+SHINGLE, BANDS, ROWS, PERCENT, SEED = 8, 10, 3, 75, 17
 CHUNK = 200_000  # characters hashed at a time
+WRITTEN = 2_000_000  # characters whose lines are handed over at a time
 REGIONS = 2_000_000  # shared bands (8 bytes each) that are broadcast; more are joined by a shuffle
 
 
+NO_BANDS = np.zeros(0, np.int64)
+
+
 def normal(line: str) -> str:
     return " ".join(line.split()).lower()
 
@@ -78,35 +82,42 @@ def in_chunks(lines: list[str]) -> Iterator[list[str]]:
 
 
 def _spread(docs: DataFrame) -> DataFrame:
-    """(key, id, place, item, bands) of every line that is not blank."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(key, id, place, item, bands) of every line that is not blank; a document without any has one row, at place -1.
+
+    Ids pass through Python as texts, which changes none of them. A line that comes up again in a run of documents has its bands once.
+    """
+    kind = docs.schema["id"].dataType
+
+    def handed(rows: list[tuple], lines: list[str]) -> pd.DataFrame:
+        distinct = list(dict.fromkeys(x for x in lines if x))
+        own = dict(zip(distinct, (row for part in in_chunks(distinct) for row in band_keys(part))))
+        items = {x: item_of(x) for x in distinct} | {"": 0}
+        frame = pd.DataFrame(rows, columns=["key", "id", "place"])
+        return frame.assign(id=frame["id"].astype(object), item=[items[x] for x in lines], bands=[own.pop(x, NO_BANDS) for x in lines])
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, lines, size = [], [], 0
         for frame in frames:
-            keys, ids, places, lines = [], [], [], []
             for key, doc, text in zip(frame["key"], frame["id"], frame["text"]):
+                before = len(rows)
                 for place, line in enumerate((text or "").split("\n")):
                     line = normal(line)
                     if line:
-                        keys.append(key)
-                        ids.append(doc)
-                        places.append(place)
+                        rows.append((key, doc, place))
                         lines.append(line)
-            # A line that comes up again in the batch needs its item only.
-            distinct = list(dict.fromkeys(lines))
-            bands = [row for part in in_chunks(distinct) for row in band_keys(part)]
-            own = dict(zip(distinct, bands))
-            yield pd.DataFrame(
-                {
-                    "key": keys,
-                    "id": pd.Series(ids, dtype=object),
-                    "place": np.array(places, np.int32),
-                    "item": np.array([item_of(x) for x in lines], np.int64),
-                    "bands": [own.pop(x, None) for x in lines],
-                }
-            )
-
-    return docs.mapInPandas(one, f"key string, id {kind}, place int, item long, bands array<long>")
+                        size += len(line)
+                    if size >= WRITTEN:
+                        yield handed(rows, lines)
+                        rows, lines, size, before = [], [], 0, -1
+                if len(rows) == before:
+                    rows.append((key, doc, -1))
+                    lines.append("")
+        if rows:
+            yield handed(rows, lines)
+
+    named = docs.select("key", F.col("id").cast("string").alias("id"), "text")
+    spread = named.mapInPandas(one, "key string, id string, place int, item long, bands array<long>")
+    return spread.withColumn("id", F.col("id").cast(kind))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -122,7 +133,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for p in places:
                     line = normal(split[p])
                     found[item_of(line)] = line
-            yield pd.DataFrame({"item": np.array(list(found), np.int64), "text": list(found.values())})
+            yield pd.DataFrame({"item": np.array(list(found), np.int64), "text": pd.Series(list(found.values()), dtype=object)})
 
     return picked.mapInPandas(one, "item long, text string").dropDuplicates(["item"])
 
@@ -131,34 +142,44 @@ def sets_of(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(shingle_hashes([x])[0]).view(np.int64) for x in lines]
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(item, n, marks) of lines (item, text): size and bitmap of their shingle sets."""
+
+    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = sets_of(frame["text"].tolist())
+            yield pd.DataFrame({"item": frame["item"], "n": np.array([len(s) for s in sets], np.int32), "marks": [bitmap(s) for s in sets]})
+
+    return texts.mapInPandas(one, "item long, n int, marks array<long>")
+
+
 def marked(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id, places, kept) of every document with lines: the places of those that are not blank, and of those that stay."""
+    """(key, id, places, kept) of every document: the places of its lines that are not blank, and of those that stay."""
     plain = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = held.keep(_spread(plain), "lines")
-    spread = lines.filter("bands is not null").select(F.explode("bands").alias("region"), "item")
+    every = held.keep(_spread(plain), "lines")
+    lines = every.filter("place >= 0")
+    spread = lines.filter(F.size("bands") > 0).select(F.explode("bands").alias("region"), "item", F.col("item").alias("root"))
     # A line that fills a third of all rows falls together in the grouped minimum, before anything moves.
-    shared = spread.groupBy("region").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("region")
-    shared = held.keep(shared, "shared")
+    shared = held.keep(shared_regions(spread), "shared")
     few = shared.count() <= REGIONS
-    members = spread.join(F.broadcast(shared) if few else shared, "region").distinct().withColumn("size", F.lit(1))
+    members = spread.drop("root").join(F.broadcast(shared) if few else shared, "region").distinct()
     members = held.keep(members, "members")
-    held.drop("shared")
     # Null ids come last, so that a line with a known document is kept rather.
     order = F.struct(F.col("id").isNull().alias("n"), "id", "key", "place")
     firsts = held.keep(lines.groupBy("item").agg(F.min(order).alias("at")), "firsts")
     roots = None
     if not members.isEmpty():
-
-        def texts_of(items: DataFrame) -> DataFrame:
-            return _texts(plain, held.keep(firsts.join(items, "item").select("item", "at.key", "at.place"), f"wanted{len(held.paths)}"))
-
-        roots = link(members, texts_of, sets_of, PERCENT, held)
+        wanted = firsts.join(members.select("item").distinct(), "item").select("item", "at.key", "at.place")
+        texts = held.keep(_texts(plain, held.keep(wanted, "wanted")), "texts")
+        sketches = held.keep(_sketched(texts), "sketches")
+        sized = held.keep(members.join(sketches.select("item", F.col("n").alias("size")), "item"), "sized")
+        roots = link(sized, Linker(lambda items: texts.join(items, "item"), sets_of, PERCENT, held, sketches))
     if roots is not None:
         rooted = firsts.join(roots.select(F.col("node").alias("item"), "root"), "item", "left")
         firsts = rooted.groupBy(F.coalesce("root", "item").alias("root")).agg(F.min("at").alias("at"))
     # Each component names the place that it keeps; documents, not components, meet in the join.
     kept = firsts.select("at.key", "at.place").groupBy("key").agg(F.collect_list("place").alias("kept"))
-    own = lines.groupBy("key").agg(F.first("id").alias("id"), F.collect_set("place").alias("places"))
+    own = every.groupBy("key").agg(F.first("id").alias("id"), F.collect_set(F.when(F.col("place") >= 0, F.col("place"))).alias("places"))
     nothing = F.array().cast("array<int>")
     return own.join(kept, "key", "left").withColumn("kept", F.coalesce("kept", nothing))
 
@@ -166,7 +187,7 @@ def marked(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str
 def report(docs: DataFrame) -> DataFrame:
     """Per document: its lines that are not blank, those kept, the places (from 0) of those dropped, and what is left of the text.
 
-    Null texts have no lines. Repeated rows (same id and text) are one document here, so a line of theirs that is the first of its component stays
+    Null, empty and blank texts have no lines, and zeros. Repeated rows (same id and text) are one document here, so a line of theirs that is the first of its component stays
     in each of them. Blank lines stay where they are. Other columns are not read.
     """
     held = Staging(docs.sparkSession, "lines")
@@ -184,16 +205,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     held = Staging(docs.sparkSession, "lines")
     found = marked(docs, held, id_col, text_col)
-    drops = found.select(F.col("key").alias("_key"), F.array_except("places", "kept").alias("_drop")).filter(F.size("_drop") > 0)
+    drops = found.select(F.col("key").alias("dropped_key"), F.array_except("places", "kept").alias("drop")).filter(F.size("drop") > 0)
     drops = held.keep(drops, "drops")
-    keyed = docs.withColumn("_own", row_key(F.col(id_col), F.col(text_col)))
-    small = drops.count() <= 200_000 and drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    joined = keyed.join(F.broadcast(drops) if 0 < small <= 2_000_000 else drops, F.col("_own") == F.col("_key"), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(split, lambda line, at: ~F.array_contains(F.col("_drop"), at))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    changed = joined.withColumn("_left", text).filter(F.col("_drop").isNull() | F.col("_left").rlike(r"\S"))
-    columns = {text_col: F.col("_left")}
+    keyed = wrapped(docs, key=row_key(F.col(id_col), F.col(text_col)), text=F.col(text_col))
+    small = drops.count() <= 200_000 and drops.agg(F.sum(F.size("drop"))).first()[0] or 0
+    joined = keyed.join(F.broadcast(drops) if 0 < small <= 2_000_000 else drops, F.col("key") == F.col("dropped_key"), "left")
+    left = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(F.col("drop"), at))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    changed = joined.withColumn("left", text).filter(F.col("drop").isNull() | F.col("left").rlike(r"\S"))
+    columns = {text_col: F.col("left")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+        n_chars = F.col("row").getField("n_chars")
+        columns["n_chars"] = F.when(F.col("drop").isNull(), n_chars).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return unwrapped(changed, docs, **columns)

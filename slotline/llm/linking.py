@@ -3,8 +3,8 @@
 A region is a group of items that share a key (a shingle, a band). Its smallest item is the pivot; every member's exact
 similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Bitmaps, where the
 caller has some, rule most pairs out before texts are fetched; texts move rather than elements, which are several times as large.
-Members linked to the pivot are connected, so no pair among them is looked at. Each item first asks one pivot only, which settles
-most regions. What stays unconnected inside a region meets again around other pivots, and in the end pair by pair, but only
+Members linked to the pivot are connected, so no pair among them is looked at, and a region of one component is settled. Each item first asks one pivot
+only, which settles most regions. Regions that are still large meet again around other pivots; what is left meets pair by pair, but only across components and
 where the triangle inequality allows it: Jaccard distance is a metric, so two items whose distances to a pivot differ by more than the
 threshold are no link. Rings around the pivot, as wide as the threshold, hold these windows: a ring meets itself and the next one.
 """
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from slotline.session import Staging
 
 ROUNDS = 3  # pivots per region before the rest is compared pair by pair
+PIVOTS = 6  # pivots per region in the second round
 FEW = 500_000  # links that one task may join
 BITS = 1024  # of the smallest bitmap that rules pairs out before their texts are fetched
 CELL = 512  # members that one task compares with each other or with as many others
+KEPT = 4_000_000  # elements of sets that a task keeps while it compares
 HOT = 4096  # pairs of one pivot that one task compares; its text is repeated for more
 SHORT = 200_000  # rows of a list that is broadcast
 
@@ -88,32 +90,62 @@ def listed(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(SHORT + 1).count() <= SHORT else rows
 
 
+class Sets(dict):
+    """Distinct elements by item, ascending; emptied when it holds ``KEPT`` elements, so memory is bounded."""
+
+    def __init__(self, sets_of: Callable[[list[str]], list[np.ndarray]]) -> None:
+        super().__init__()
+        self.sets_of, self.size = sets_of, 0
+
+    def of(self, item: int, text: str) -> np.ndarray:
+        found = self.get(item)
+        if found is None:
+            found = np.sort(self.sets_of([text])[0])
+            if self.size + len(found) > KEPT:
+                self.clear()
+                self.size = 0
+            self[item] = found
+            self.size += len(found)
+        return found
+
+
+def shared_elements(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
 def compared(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
     """``pairs`` (a, b) with the sizes of intersection and union of their sets, made from ``texts`` (item, text) where pairs meet.
 
     A pivot ``b`` with more than ``HOT`` pairs is dealt to several tasks.
     """
-    salts = F.floor(F.count(F.lit(1)) / HOT).cast("int").alias("_salts")
-    pivots = pairs.groupBy("b").agg(salts)
     left = texts.select(F.col("item").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("item").alias("b"), F.col("text").alias("_y")).join(pivots, "b")
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), "_salts"))).drop("_salts")
-    dealt = pairs.join(pivots, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_salts") + 1).cast("int")).drop("_salts")
-    both = dealt.join(left, "a").join(right, ["b", "_salt"]).select("a", "b", "_x", "_y")
+    right = texts.select(F.col("item").alias("b"), F.col("text").alias("_y"))
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_salts")).filter("_salts > 1")
+    many = hot.agg(F.max("_salts")).first()[0]
+    if many is None:
+        both = pairs.join(left, "a").join(right, "b")
+    else:
+        salted = right.join(listed(hot), "b", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        dealt = pairs.join(listed(hot), "b", "left").withColumn("_salt", F.pmod(F.xxhash64("a"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+        both = dealt.join(left, "a").join(salted, ["b", "_salt"])
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Sets(sets_of)
         for frame in frames:
             shared, together = np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int32)
-            last, held = None, np.zeros(0, np.int64)
-            for k, (b, x, y) in enumerate(zip(frame["b"], frame["_x"], frame["_y"])):
-                if b != last:
-                    last, held = b, sets_of([y])[0]
-                mine = sets_of([x])[0]
-                shared[k] = len(np.intersect1d(mine, held, assume_unique=True))
-                together[k] = len(mine) + len(held) - shared[k]
+            for k, (a, b, x, y) in enumerate(zip(frame["a"], frame["b"], frame["_x"], frame["_y"])):
+                other, mine = known.of(b, y), known.of(a, x)
+                shared[k] = shared_elements(mine, other)
+                together[k] = len(mine) + len(other) - shared[k]
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "shared": shared, "together": together})
 
-    return both.mapInPandas(one, "a long, b long, shared int, together int")
+    return both.select("a", "b", "_x", "_y").mapInPandas(one, "a long, b long, shared int, together int")
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
@@ -149,97 +181,116 @@ def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return both.filter(near_enough(most, F.col("_n") + F.col("_m") - most, percent)).select("a", "b")
 
 
-def link(
-    members: DataFrame,
-    texts_of: Callable[[DataFrame], DataFrame],
-    sets_of: Callable[[list[str]], list[np.ndarray]],
-    percent: int,
-    held: Staging,
-    marks: DataFrame | None = None,
-) -> DataFrame | None:
-    """(node, root) of all items that are linked; None when nothing is.
+class Linker:
+    """Components of items, grown pair by pair: ``told`` compares pairs and takes the links among them in.
 
-    ``members`` has rows (region, item, size), distinct. ``texts_of`` gives (item, text) for items, ``sets_of`` the distinct elements of
-    texts, ``marks``, if any, (item, n, marks): size and bitmap of every set. The components are those of all pairs that share a
-    region and whose similarity is at least ``percent``.
+    ``texts_of`` gives (item, text) for items, ``sets_of`` the distinct elements of texts, ``marks``, if any, (item, n, marks): size and
+    bitmap of every set. Two items are linked when their similarity is at least ``percent``.
     """
-    epsilon = 1 - percent / 100
-    labels, turn = None, 0
-
-    def told_of(pairs: DataFrame, name: str) -> DataFrame:
-        """Similarities of the promising ``pairs``; ``labels`` takes the links among them in."""
-        nonlocal labels
-        asked = held.keep(pairs if marks is None else promising(pairs, marks, percent), f"asked{name}")
-        items = asked.select(F.col("a").alias("item")).unionByName(asked.select(F.col("b").alias("item"))).distinct()
-        texts = held.keep(texts_of(items), f"texts{name}")
-        told = held.keep(compared(asked, texts, sets_of), f"told{name}")
+
+    def __init__(self, texts_of, sets_of, percent: int, held: Staging, marks: DataFrame | None = None) -> None:
+        self.texts_of, self.sets_of, self.percent, self.held, self.marks = texts_of, sets_of, percent, held, marks
+        self.labels: DataFrame | None = None
+        self._turn = 0
+
+    def told(self, pairs: DataFrame) -> DataFrame:
+        """Similarities of those ``pairs`` (a, b) that the bitmaps leave possible."""
+        held, name = self.held, f"-{self._turn}"
+        self._turn += 1
+        asked = held.keep(pairs if self.marks is None else promising(pairs, self.marks, self.percent), f"asked{name}")
+        items = asked.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        texts = held.keep(self.texts_of(items), f"texts{name}")
+        told = held.keep(compared(asked, texts, self.sets_of), f"told{name}")
         held.drop(f"texts{name}", f"asked{name}")
-        new = told.filter(near_enough(F.col("shared"), F.col("together"), percent)).select("a", "b")
+        new = told.filter(near_enough(F.col("shared"), F.col("together"), self.percent)).select("a", "b")
         if not new.isEmpty():
-            if labels is not None:
-                new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            labels = held.keep(components(new, held, f"step{name}-"), f"labels{name}")
+            before = self.labels
+            if before is not None:
+                new = new.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            self.labels = held.keep(components(new, held, f"step{name}-"), f"labels{name}")
+            for old in [x for x in held.paths if x.startswith("step") or (x.startswith("labels") and x != f"labels{name}")]:
+                held.drop(old)
         return told
 
-    def rooted(rows: DataFrame) -> DataFrame:
-        if labels is None:
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (item, ...) with the smallest item that each is connected with, as root."""
+        if self.labels is None:
             return rows.withColumn("root", F.col("item"))
-        return rows.join(labels.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+        return rows.join(self.labels.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+
+
+def shared_regions(spread: DataFrame) -> DataFrame:
+    """Regions of ``spread`` (region, root, ...) that hold more than one component."""
+    ends = spread.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return ends.filter("low < high").select("region")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """``pairs`` that are not connected yet."""
-        if labels is None:
-            return pairs
-        own = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
-        return pairs.join(own[0], "a", "left").join(own[1], "b", "left").filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b")
+
+def ask_pivots(linker: Linker, members: DataFrame, pivots: int = 1) -> None:
+    """Compare items with pivots of their regions: copies are connected then, and the regions they fill are settled.
+
+    With one pivot, every item meets the smallest item of one of its regions. With more, members of other components meet that many
+    pivots, picked by hash, of each of their regions: pairs grow with the members, not with their square.
+    """
+    if pivots == 1:
+        first = members.groupBy("region").agg(F.min(F.struct("item", "size")).alias("p")).select("region", F.col("p.item").alias("b"), F.col("p.size").alias("_size"))
+        alike = near_enough(F.least("size", "_size"), F.greatest("size", "_size"), linker.percent)
+        pairs = members.join(first, "region").filter((F.col("item") != F.col("b")) & alike).groupBy(F.col("item").alias("a")).agg(F.min("b").alias("b"))
+    else:
+        rooted = linker.rooted(members)
+        picks = [F.min(F.struct(F.xxhash64(F.lit(k), "item").alias("o"), "item", "size", "root")).alias(f"p{k}") for k in range(pivots)]
+        ends = [F.min("root").alias("low"), F.max("root").alias("high")]
+        chosen = rooted.groupBy("region").agg(*ends, *picks).filter("low < high")
+        chosen = chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("p"))
+        alike = near_enough(F.least("size", "p.size"), F.greatest("size", "p.size"), linker.percent)
+        met = rooted.join(chosen, "region").filter((F.col("root") != F.col("p.root")) & alike)
+        pairs = met.select(F.greatest("item", "p.item").alias("a"), F.least("item", "p.item").alias("b")).distinct()
+    linker.told(pairs)
+    linker.held.drop(*[x for x in linker.held.paths if x.startswith("told")])
+
+
+def link(members: DataFrame, linker: Linker) -> DataFrame | None:
+    """(node, root) of all items that are linked; None when nothing is.
+
+    ``members`` has rows (region, item, size), distinct. The components are those of all pairs that share a
+    region and are alike, and of all links that ``linker`` knows already.
+    """
+    held, percent = linker.held, linker.percent
+    epsilon = 1 - percent / 100
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """Rows of the regions that still hold more than one component."""
         kept = rows.groupBy("region").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("count"))
         return rows.join(kept.filter("_low < _high").select("region", "count"), "region")
 
-    # One pivot per item first: copies of a text are connected then, and the regions they fill are settled.
-    pivots = members.groupBy("region").agg(F.min(F.struct("item", "size")).alias("p")).select("region", F.col("p.item").alias("b"), F.col("p.size").alias("_size"))
-    alike = near_enough(F.least("size", "_size"), F.greatest("size", "_size"), percent)
-    asked = members.join(pivots, "region").filter((F.col("item") != F.col("b")) & alike).select(F.col("item").alias("a"), "b")
-    told_of(asked.groupBy("a").agg(F.min("b").alias("b")), "first")
-    left = held.keep(unsettled(rooted(members.select("region", "item", "size"))).drop("count", "root"), "unsettled")
+    ask_pivots(linker, members)
+    ask_pivots(linker, members, PIVOTS)
+    left = held.keep(unsettled(linker.rooted(members.select("region", "item", "size"))).drop("count"), "unsettled")
     # Alike items share many regions; regions with the same members (by two 64-bit sums) ask for the same pairs.
     sums = [F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"_s{k}") for k in (1, 2)]
-    told_apart = left.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), *sums).groupBy("_n", "_s1", "_s2").agg(F.min("region").alias("region"))
-    open_ = rooted(left.join(told_apart.select("region"), "region"))
-    open_ = held.keep(open_.withColumn("away", F.array().cast("array<float>")).select("region", "item", "size", "away", "root"), "open")
+    told_apart = left.groupBy("region").agg(F.count(F.lit(1)).alias("count"), *sums).groupBy("count", "_s1", "_s2").agg(F.min("region").alias("region"))
+    open_ = left.join(told_apart.select("region", "count"), "region").withColumn("away", F.array().cast("array<float>"))
+    open_ = held.keep(open_.select("region", "item", "size", "away", "root", "count"), "open")
     held.drop("unsettled")
-    if open_.isEmpty():
-        return labels
-
-    while turn < ROUNDS:
+    turn = 0
+    while not open_.isEmpty() and turn < ROUNDS and not open_.filter(F.col("count") > CELL).isEmpty():
         # The pivot comes from the region's smallest component first, from others in later rounds.
         turned = F.xxhash64(F.lit(turn), "root") if turn else F.col("root")
-        pivots = open_.groupBy("region").agg(F.min(F.struct(turned.alias("o"), "item", "size")).alias("p")).select("region", F.col("p.item").alias("pivot"), F.col("p.size").alias("pivot_size"))
-        beside = open_.join(pivots, "region")
-        possible = near_enough(F.least("size", "pivot_size"), F.greatest("size", "pivot_size"), percent)
-        asked = beside.filter((F.col("item") != F.col("pivot")) & possible).select(F.col("item").alias("a"), F.col("pivot").alias("b")).distinct()
-        asked = held.keep(apart(asked), f"pairs{turn}")
-        nearest = held.keep(asked.groupBy("a").agg(F.min("b").alias("b")), f"nearest{turn}")
-        told = told_of(nearest, f"{turn}-one")
-        rest = apart(asked).join(nearest, ["a", "b"], "left_anti")
-        told = told.unionByName(told_of(rest, f"{turn}-all"))
-        # Distance to this pivot; by size alone at least 1 - small / large where no comparison was needed.
+        first = F.min(F.struct(turned.alias("o"), "item", "size", "root")).alias("p")
+        pivots = open_.groupBy("region").agg(first).select("region", F.col("p.item").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.root").alias("pivot_root"))
+        beside = open_.drop("count").join(pivots, "region")
+        possible = near_enough(F.least("size", "pivot_size"), F.greatest("size", "pivot_size"), percent) & (F.col("root") != F.col("pivot_root"))
+        told = linker.told(beside.filter(possible).select(F.col("item").alias("a"), F.col("pivot").alias("b")).distinct())
+        # Distance to this pivot; unknown where no comparison was needed.
         far = F.coalesce(1 - F.col("shared") / F.col("together"), F.when(F.col("item") == F.col("pivot"), F.lit(0.0)))
         marked = beside.join(told.select(F.col("a").alias("item"), F.col("b").alias("pivot"), "shared", "together"), ["item", "pivot"], "left")
-        marked = marked.select("region", "item", "size", F.concat("away", F.array(far.cast("float"))).alias("away"), "root")
-        open_ = held.keep(unsettled(rooted(marked.drop("root"))), f"open{turn}")
+        marked = marked.select("region", "item", "size", F.concat("away", F.array(far.cast("float"))).alias("away"))
+        before = "open" if not turn else f"open{turn - 1}"
+        open_ = held.keep(unsettled(linker.rooted(marked)), f"open{turn}")
+        held.drop(before, *[x for x in held.paths if x.startswith("told")])
         turn += 1
-        if open_.isEmpty():
-            return labels
-        if open_.filter(F.col("count") > CELL).isEmpty():
-            break
-        open_ = open_.drop("count")
-
-    pairs = held.keep(windows(open_ if "count" in open_.columns else unsettled(open_), epsilon, percent, turn).distinct(), "pairs")
-    told_of(pairs, "-last")
-    return labels
+    if not open_.isEmpty():
+        linker.told(held.keep(windows(open_, epsilon, percent, turn).distinct(), "pairs"))
+    return linker.labels
 
 
 def windows(rows: DataFrame, epsilon: float, percent: int, pivots: int) -> DataFrame:
@@ -248,13 +299,14 @@ def windows(rows: DataFrame, epsilon: float, percent: int, pivots: int) -> DataF
     Rows go to the ring of their distance to the first pivot, and as window rows to the ring before. A ring with more than ``CELL`` rows is cut
     into chunks that meet two by two, so no task holds more than two chunks.
     """
-    ring = F.floor(F.coalesce(F.element_at("away", 1), F.lit(-1.0)) / F.lit(epsilon + 1e-6))
+    first = F.get("away", F.lit(0))
+    ring = F.floor(F.coalesce(first, F.lit(-1.0)) / F.lit(epsilon + 1e-6)) if pivots else F.lit(0).cast("bigint")
     chunks = F.ceil(F.col("count") / CELL).cast("int")
     placed = rows.withColumn("ring", ring).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(1)), F.col("chunks")).cast("int"))
     # An unknown distance (sizes too unlike to compare with the pivot) may fall in any ring.
-    unknown = F.element_at("away", 1).isNull()
+    unknown = first.isNull() if pivots else F.lit(False)
     last = F.lit(int(1 / epsilon) + 1).cast("bigint")
-    rings = F.when(unknown, F.sequence(F.lit(-1).cast("bigint"), last)).otherwise(F.array(F.col("ring"), F.col("ring") - 1))
+    rings = F.when(unknown, F.sequence(F.lit(-1).cast("bigint"), last)).otherwise(F.array(F.col("ring"), F.col("ring") - 1)) if pivots else F.array("ring")
     dealt = placed.withColumn("at", F.explode(rings)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     own = unknown | (F.col("ring") == F.col("at"))
     cell = ["region", "at", "c1", "c2"]

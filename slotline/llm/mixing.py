@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotline.llm.common import WORD, bounded_join, number_rows
+from slotline.llm.common import WORD, bounded_join, number_rows, unwrapped, wrapped
 from slotline.session import Staging
 
 BITS = 12
@@ -164,17 +164,13 @@ def plan(narrow: DataFrame, held: Staging) -> tuple[DataFrame, DataFrame, int]:
 def mixed_rows(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` itself, each row as often as the mix takes it, with unchanged columns."""
     held = Staging(docs.sparkSession, "mixing")
-    marks = {"_mix_source": F.col(source_col), "_mix_digits": place(F.col(id_col), F.col(text_col), seed)}
-    marked = docs.withColumns(marks)
-    narrow = held.keep(
-        marked.select(F.col("_mix_source").alias("source"), words(F.col(text_col)).alias("size"), F.col("_mix_digits").alias("digits")), "rows"
-    )
+    marked = wrapped(docs, source=F.col(source_col), size=words(F.col(text_col)), digits=place(F.col(id_col), F.col(text_col), seed))
+    narrow = held.keep(marked.drop("row"), "rows")
     _, cuts, sources = plan(narrow, held)
-    cuts = cuts.select(F.col("source").alias("_mix_source"), *[F.col(c).alias(f"_mix_{c}") for c in ("passes", "prefix", "take")])
-    joined = bounded_join(marked, cuts, "_mix_source", sources)
-    times = taken_times(F.col("_mix_digits"), F.col("_mix_passes"), F.col("_mix_prefix"), F.col("_mix_take"))
-    copies = joined.withColumn("_mix_copy", F.explode(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), times)))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = bounded_join(marked.drop("size"), cuts, "source", sources)
+    times = taken_times(F.col("digits"), F.col("passes"), F.col("prefix"), F.col("take"))
+    copies = joined.withColumn("copy", F.explode(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), times)))
+    return unwrapped(copies, docs)
 
 
 def report(docs: DataFrame) -> DataFrame:

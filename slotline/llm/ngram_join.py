@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.linking import bitmap, link, listed
+from slotline.llm.common import unwrapped, wrapped
+from slotline.llm.linking import Linker, ask_pivots, bitmap, link, listed, shared_regions
 from slotline.session import Staging
 
 WORDS, PERCENT = 5, 75
-SAMPLE, SEEN, FREQUENT = 64, 3, 200_000
+SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
+LEAST = 3  # smallest shingles by hash that near copies meet by first
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _KEPT = 400_000
 REGIONS = 2_000_000  # shared regions (8 bytes each) that are broadcast; more are joined by a shuffle
@@ -70,10 +72,13 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, content, size, item, prefix, marks) per row; ``frequent`` holds sample-frequent shingles, the most frequent last."""
+    """(id, content, size, item, least, prefix, marks) per row; ``frequent`` holds sample-frequent shingles, the most frequent last.
+
+    Ids pass through Python as texts, which changes none of them.
+    """
     known = np.argsort(frequent)
     ordered = frequent[known]
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = docs.schema["id"].dataType
 
     def rank(elements: np.ndarray) -> np.ndarray:
         at = np.searchsorted(ordered, elements)
@@ -83,17 +88,19 @@ def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            sizes, items, prefixes, marks = [], [], [], []
+            sizes, items, prefixes, marks, least = [], [], [], [], []
             for text in frame["text"]:
                 s = shingles(text, hashes)
                 sizes.append(len(s))
                 items.append(digest(s))
                 prefixes.append(s[np.lexsort((s, rank(s)))][: prefix_length(len(s))] if len(s) else s)
                 marks.append(bitmap(s))
-            yield pd.DataFrame({"id": frame["id"], "content": frame["content"], "marks": marks, "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "prefix": prefixes})
+                least.append(s[:LEAST])
+            yield pd.DataFrame({"id": frame["id"], "content": frame["content"], "marks": marks, "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "least": least, "prefix": prefixes})
 
-    schema = f"id {kind}, content long, size int, item long, prefix array<long>, marks array<long>"
-    return docs.select("id", "text", F.xxhash64("text").alias("content")).mapInPandas(one, schema)
+    schema = "id string, content long, size int, item long, least array<long>, prefix array<long>, marks array<long>"
+    named = docs.select(F.col("id").cast("string").alias("id"), "text", F.xxhash64("text").alias("content"))
+    return named.mapInPandas(one, schema).withColumn("id", F.col("id").cast(kind))
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -130,24 +137,25 @@ def classes(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: st
     """Per row of ``docs``: id, n_shingles, item (its set) and root (its component, as an item; null without words)."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = held.keep(_summaries(plain, _frequent(plain)), "summaries")
-    # Copies of a set fall together in the grouped minimum and in ``distinct``, before anything moves.
-    spread = rows.filter("size > 0").select(F.explode("prefix").alias("region"), "item", "size")
-    shared = spread.groupBy("region").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("region")
-    shared = held.keep(shared, "shared")
+    full = rows.filter("size > 0")
+    # Copies of a set fall together in the grouped minimum.
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "content")).alias("at")
+    one = held.keep(full.groupBy("item").agg(first, F.min("size").alias("n"), F.first("marks").alias("marks"), F.first("least").alias("least")), "sets")
+    chosen = one.select("item", "at.id", "at.content")
+
+    def texts_of(items: DataFrame) -> DataFrame:
+        return _texts(plain, chosen.join(items, "item"))
+
+    linker = Linker(texts_of, _sets_of, percent, held, one.select("item", "n", "marks"))
+    # Near copies agree in one of their smallest shingles nearly always. Their links are not complete yet, but regions that hold
+    # nothing but one group of copies are settled before any of their rows moves.
+    met = one.select(F.explode("least").alias("region"), "item", F.col("n").alias("size"))
+    ask_pivots(linker, met)
+    spread = linker.rooted(full.select("item", "size", "prefix")).select(F.explode("prefix").alias("region"), "item", "size", "root")
+    shared = held.keep(shared_regions(spread), "shared")
     few = shared.count() <= REGIONS
-    members = held.keep(spread.join(F.broadcast(shared) if few else shared, "region").distinct(), "members")
-    held.drop("shared")
-    roots = None
-    if not members.isEmpty():
-        sets = rows.join(members.select("item").distinct(), "item", "left_semi").groupBy("item")
-        first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "content")).alias("at")
-        one = held.keep(sets.agg(first, F.min("size").alias("n"), F.first("marks").alias("marks")), "sets")
-        chosen = one.select("item", "at.id", "at.content")
-
-        def texts_of(items: DataFrame) -> DataFrame:
-            return _texts(plain, held.keep(chosen.join(items, "item"), f"chosen{len(held.paths)}"))
-
-        roots = link(members, texts_of, _sets_of, percent, held, one.select("item", "n", "marks"))
+    members = held.keep(spread.drop("root").join(F.broadcast(shared) if few else shared, "region").distinct(), "members")
+    roots = link(members, linker) if not members.isEmpty() else linker.labels
     told = rows.select("id", F.col("size").cast("long").alias("n_shingles"), "item")
     if roots is None:
         return told.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("item")))
@@ -172,12 +180,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with the row of the smallest id of every component; of repeated rows one. Rows without words stay."""
     held = Staging(docs.sparkSession, "ngrams")
     found = held.keep(classes(docs, held, id_col, text_col), "classes")
-    smallest = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
-    gone = found.join(smallest, "root").filter(~F.col("id").eqNullSafe(F.col("least"))).select(F.col("id").alias("_gone")).distinct()
-    gone = held.keep(gone, "gone")
+    linked = found.filter(F.col("root").isNotNull())
+    smallest = linked.groupBy("root").agg(F.min("id").alias("least"))
+    gone = held.keep(linked.join(smallest, "root").filter(~F.col("id").eqNullSafe(F.col("least"))).select(F.col("id").alias("gone")).distinct(), "gone")
     # The smallest id itself may come up in several rows; only then are whole rows compared.
-    again = found.filter(F.col("root").isNotNull()).join(gone.withColumnRenamed("_gone", "id"), "id", "left_anti").groupBy("root").count().filter("count > 1").isEmpty()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    if again:
-        return kept
-    return kept.dropDuplicates([id_col])
+    again = linked.join(gone.withColumnRenamed("gone", "id"), "id", "left_anti").groupBy("root").count().filter("count > 1").isEmpty()
+    rows = wrapped(docs, id=F.col(id_col))
+    kept = rows.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    return unwrapped(kept if again else kept.dropDuplicates(["id"]), docs)

@@ -344,7 +344,7 @@ def test_line_dedup(spark, texts, empty):
             drop.setdefault(i, set()).add(p)
         first.setdefault(root, (i, p))
     got = {r.doc_id: set(r.dropped) for r in lines.report(frame(spark, many, repeat=(11,))).collect()}
-    assert got == {i: drop.get(i, set()) for i in {i for i, _, _ in order}}
+    assert got == {i: drop.get(i, set()) for i in range(len(many))}
     left = {r.doc_id: r for r in lines.without_repeats(frame(spark, many)).collect()}
     for i, t in enumerate(many):
         if i not in drop:
@@ -570,3 +570,40 @@ def test_pipeline_stages(spark, small, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() > 0
+
+
+# --- edges of the pipeline's stages -------------------------------------------
+
+LARGE = 2**53 + 1
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, _own string, _key string, _drop int, _gone long, _mix_digits int, _mix_source string, row int, id int, key string, drop int"
+
+
+def clashing(spark, texts):
+    """Rows with large and null ids, and columns named like the operators' own."""
+    ids = [LARGE, None, LARGE + 2, 5, *range(100, 100 + len(texts))]
+    rows = [(i, t, "en", ("s", None, "z")[k % 3], len(t or ""), "own", "key", k, -k, 7, "mine", 3, k, "k", 4) for k, (i, t) in enumerate(zip(ids, texts))]
+    return rows, spark.createDataFrame(rows, CLASHES)
+
+
+@pytest.mark.parametrize("stage", [lines.without_repeats, ngram_join.keep_one, mixing.mixed_rows])
+def test_stages_keep_ids_and_clashing_columns(spark, stage):
+    rows, docs = clashing(spark, [prose(200 + k, 30) for k in range(12)] + ["", None, " \n\t", prose(200, 30)])
+    out = stage(docs.repartition(3))
+    assert out.columns == docs.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got <= set(rows)
+    # Of the two rows with one text the smaller id stays.
+    assert stage is mixing.mixed_rows or {r[0] for r in got} == {r[0] for r in rows} - {LARGE}
+
+
+def test_ids_beyond_floats(spark):
+    rows, docs = clashing(spark, [prose(200 + k, 30) for k in range(3)] + [None])
+    for found in (lines.report(docs), ngram_join.report(docs), packing.report(docs)):
+        assert {r["doc_id"] for r in found.collect()} == {LARGE, None, LARGE + 2, 5}
+
+
+@pytest.mark.parametrize("texts", [[" \n ", None, "", "\t"], [None], [" \n "]])
+def test_lines_of_blank_documents(spark, texts):
+    docs = frame(spark, texts).coalesce(1)
+    assert sorted(tuple(r) for r in lines.report(docs).collect()) == [(i, 0, 0, []) for i in range(len(texts))]
+    assert sorted(r["doc_id"] for r in lines.without_repeats(docs).collect()) == list(range(len(texts)))

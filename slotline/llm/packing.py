@@ -3,16 +3,18 @@
 Documents are tokenised where they lie; from then on only (document, piece, length) rows move. Pieces are packed in
 groups of bounded size: best fit, longest first, then a local search among underfull bins. A fuller bin takes a piece from an
 emptier one, or exchanges one for one or two for one with it; each step raises the sum of squared fills, so that bins
-empty, and it goes on until no bin can be saved or no step is left. Bins that stay underfull are dissolved, and their pieces meet those of other groups
+empty, and it goes on until no bin can be saved or no step is left. Bins that stay underfull are dissolved with a few full ones, and their pieces meet those of other groups
 in the next level, until one group is left or a level no longer helps.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from slotline.session import Staging
 
 CAPACITY, GROUP = 4096, 4096
-UNDERFULL = 32  # a bin with at least so much room is packed again on the next level
+UNDERFULL = 128  # a bin with at least this part of the capacity free is packed again on the next level
+WIDER = 16  # times that a group grows over the levels, by two each
+REOPENED = 3  # full bins that go on to the next level with each underfull one
+STUCK = 0.98  # the levels end when hardly a piece found its place in the last one
 END = 1
 PARTNERS = 12
 WORDS_KEPT, LONGEST_KEPT = 400_000, 64
+RUN = 2_000_000
 
 #: Letters that composition leaves alone and that have one lower case, then marks that the tokenizer keeps apart from letters.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|#$%&*()\"-]*)")
@@ -35,41 +41,66 @@ class Words(dict):
     """Token ids of white-space separated words as little-endian bytes.
 
     The tokenizer never joins text across a space or a line break, so a text's ids are those of its words, one after the other.
-    Words seen once wait in ``rare``; the second time they move here. Each table is emptied when it is full, so memory is bounded
-    whatever the vocabulary, and a flood of rare words does not wash out the frequent ones. A plain word with marks behind it is looked up
-    as the word and the marks, in lower case, which is how the tokenizer parts it.
+    Words that the table lacks are encoded in one call per run of texts; a plain word with marks behind it is looked up
+    as the word and the marks, in lower case, which is how the tokenizer parts it. The table starts anew when it is full and keeps no
+    long words, so memory is bounded whatever the vocabulary.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        # Each task has one core; the library would start a thread per core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self[""] = b""
-        self.rare: dict[str, bytes] = {}
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.rare.pop(word, None)
-        if ids is not None:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-                self[""] = b""
-            self[word] = ids
-            return ids
-        simple = _SIMPLE.fullmatch(word)
-        if simple and (simple[2] or not word.islower()):
-            ids = self[simple[1].lower()] + self[simple[2]]
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self.rare) >= WORDS_KEPT:
-                self.rare.clear()
-            self.rare[word] = ids
-        return ids
+        self.encode = Tokenizer.from_file(path).encode_batch
+
+    def learn(self, words: set[str]) -> None:
+        missing = words - self.keys()
+        if len(self) + len(missing) > WORDS_KEPT:
+            self.clear()
+            self[""] = b""
+            missing = words - self.keys()
+        parted, whole = {}, set()
+        for word in missing:
+            simple = _SIMPLE.fullmatch(word)
+            if simple and (simple[2] or not word.islower()):
+                parted[word] = parts = (simple[1].lower(), simple[2])
+                whole.update(parts)
+            else:
+                whole.add(word)
+        todo = list(whole - self.keys())
+        for word, told in zip(todo, self.encode(todo, add_special_tokens=False)):
+            self[word] = np.array(told.ids, "<u4").tobytes()
+        for word, (letters, marks) in parted.items():
+            self[word] = self[letters] + self[marks]
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; words are learnt for ``RUN`` code points at a time."""
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (size < RUN or stop == start):
+                size += len(texts[stop])
+                stop += 1
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[start:stop]]
+            words = set().union(*split)
+            self.learn(words)
+            for parts in split:
+                yield b"".join(map(self.__getitem__, parts))
+            for word in words:
+                if len(word) > LONGEST_KEPT:
+                    del self[word]
+            start = stop
 
     def ids(self, text: str) -> bytes:
-        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return b"".join(map(self.__getitem__, spaced.split(" ")))
+        return next(self.of([text]))
+
+
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    """The table of this worker process, which serves many tasks."""
+    return Words(path)
 
 
 def default_vocabulary() -> str:
@@ -86,20 +117,22 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     kind = docs.schema[id_col].dataType
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(vocabulary or default_vocabulary())
+        words = words_of(vocabulary or default_vocabulary())
         end = END.to_bytes(4, "little")
         step = 4 * capacity
         for frame in frames:
             rows = []
-            for uid, doc, text in zip(frame["uid"], frame["doc_id"], frame["text"]):
-                ids = words.ids(text or "") + end
+            for uid, doc, ids in zip(frame["uid"], frame["doc_id"], words.of([t or "" for t in frame["text"]])):
+                ids += end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     rows.append((uid, doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": object})
 
-    named = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInPandas(cut, f"uid long, doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    # Ids pass through Python as texts, which changes none of them.
+    named = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    cut_up = named.mapInPandas(cut, "uid long, doc_id string, piece int, start long, length long, ids_crc32 long")
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -144,23 +177,25 @@ def _exchange(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, list[int],
     return best
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, enough: int = 1) -> list[list[int]]:
     """Exchange between underfull bins while that raises the sum of squared fills, until the fewest bins possible are left.
 
-    Every fuller bin meets the emptiest ones and those just below it (``PARTNERS`` of each kind) in a pass; a pass without a step ends the search.
+    Every fuller bin meets the emptiest ones and those just below it (``PARTNERS`` of each kind) in a pass; where such a pass finds no step, one
+    in which every bin meets all emptier ones with ``enough`` room follows, and the search ends when that finds none either.
     """
     least = -(-int(lengths.sum()) // capacity)
     held = [np.array(b) for b in bins]
     fill = [int(lengths[b].sum()) for b in held]
     alive = len(held)
-    moved = True
-    while moved and alive > least:
+    moved, thorough = True, False
+    while (moved or not thorough) and alive > least:
+        thorough = not moved
         moved = False
         order = sorted((b for b in range(len(held)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
         for place in range(len(order) - 1, 0, -1):
             target = order[place]
             below = order[:place]
-            for victim in dict.fromkeys(below[:PARTNERS] + below[-PARTNERS:]):
+            for victim in [b for b in below if capacity - fill[b] >= enough] if thorough else dict.fromkeys(below[:PARTNERS] + below[-PARTNERS:]):
                 while 0 < fill[victim] <= fill[target] < capacity:
                     a, b = held[victim], held[target]
                     gain, out, into = _exchange(lengths[a], lengths[b], capacity - fill[target])
@@ -180,34 +215,40 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    return local_search(best_fit(lengths, capacity), lengths, capacity, max(1, capacity // UNDERFULL))
 
 
 def pack(rows: DataFrame, held: Staging, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Sequence and offset of every piece, from rows (uid, piece, length) with unique (uid, piece)."""
-    schema = "uid long, piece int, length long, grp long, bin int, offset long, room long"
+    schema = "uid long, piece int, length long, grp long, bin int, offset long, again boolean"
+    enough = max(1, capacity // UNDERFULL)
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "uid", "piece"], ascending=[False, True, True], ignore_index=True)
         lengths = frame["length"].to_numpy()
-        number, offset, room = (np.zeros(len(frame), np.int64) for _ in range(3))
-        for k, b in enumerate(fill_bins(lengths, capacity)):
-            at = np.array(b)
+        number, offset, again = np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int64), np.zeros(len(frame), bool)
+        bins = [np.array(b) for b in fill_bins(lengths, capacity)]
+        for k, at in enumerate(bins):
             number[at] = k
             offset[at] = np.cumsum(lengths[at]) - lengths[at]
-            room[at] = capacity - lengths[at].sum()
-        return frame.assign(grp=key[0], bin=number.astype("int32"), offset=offset, room=room)
+        under = [k for k, at in enumerate(bins) if capacity - lengths[at].sum() >= enough]
+        # Long pieces alone find no partners on the next level, so full bins of many pieces go there with them.
+        full = sorted(set(range(len(bins))) - set(under), key=lambda k: (-len(bins[k]), k))
+        for k in [*under, *full[: REOPENED * len(under)]]:
+            again[bins[k]] = True
+        return frame.assign(grp=key[0], bin=number, offset=offset, again=again)
 
     todo, level, done = rows.select("uid", "piece", "length"), 0, []
     left = todo.count()
     while True:
-        groups = max(1, -(-left // group))
+        # What is left is little, so it meets in larger groups.
+        groups = max(1, -(-left // (group * min(1 << level, WIDER))))
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("uid", "piece", F.lit(level)), F.lit(groups)))
         packed = held.keep(dealt.groupBy("grp").applyInPandas(one, schema), f"level{level}")
-        again = packed.filter(F.col("room") >= UNDERFULL)
+        again = packed.filter("again")
         count = again.count() if groups > 1 else 0
-        last = groups == 1 or not count or count > 0.8 * left
-        placed = packed if last else packed.filter(F.col("room") < UNDERFULL)
+        last = groups == 1 or not count or (count > STUCK * left and 1 << level >= WIDER)
+        placed = packed if last else packed.filter("not again")
         number = F.lit(level << 56) + F.shiftleft(F.col("grp"), 20) + F.col("bin")
         done.append(placed.select("uid", "piece", number.alias("sequence_id"), "offset"))
         if last:

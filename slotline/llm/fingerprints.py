@@ -67,7 +67,11 @@ def sample(words: DataFrame, key: str, counts: list[str], samples: int = SAMPLES
         sign = F.col(f"_i{i}").bitwiseXOR(t * F.lit(40_503)).bitwiseAND(F.lit((1 << SIGN_BITS) - 1))
         return F.shiftleft(((value + F.lit(VALUE_SHIFT)) * F.lit(VALUE_SCALE)).cast("long"), SIGN_BITS) + sign
 
-    least = drawn.groupBy(key, "_lane").agg(*[F.min(packed(i, j)).alias(f"_m{i}_{j}") for i, j in cells])
+    def value(i: int, j: int) -> Column:
+        """A word with the same count on both sides has one value."""
+        return packed(i, j) if not j else F.when(F.col(f"_l{j}") == F.col("_l0"), packed(i, 0)).otherwise(packed(i, j))
+
+    least = drawn.groupBy(key, "_lane").agg(*[F.min(value(i, j)).alias(f"_m{i}_{j}") for i, j in cells])
     low = F.lit((1 << 16) - 1)
     lanes = least.select(
         key,

@@ -13,8 +13,9 @@ from slotline.functions import columns as X
 from slotline.operators import anomalies, cluster, decide, drift, profile
 from slotline.operators import evaluate as ev
 from slotline.operators import timeseries as ts
-from slotline.plans import reports, training
+from slotline.plans import normal, reports, training
 from slotline.session import stage
+from slotline.streaming import score
 
 add = CATALOG.add
 DRIFT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -157,6 +158,40 @@ def rolling_backtest(spark, d):
     return training.backtest(model_rows(spark, d), training.SMALL_BOOST)[0]
 
 
+@add(
+    "rolling_linear",
+    A.final(
+        f"""SELECT e.win AS "window", {_SPANS}, n, mae, rmse, r2, mape, band_accuracy, weighted_f1,
+      'Rolling Linear' AS model FROM errors e JOIN summed s ON e.win = s.win""",
+        _METRIC_D,
+        "n",
+        _BACK.replace("tests AS (SELECT p.*, actual, least(1.0, greatest(0.0, raw)) AS predicted FROM forecasts f JOIN plan p", """fits AS (
+  SELECT win, regr_slope(actual, raw) AS a, regr_intercept(actual, raw) AS b FROM forecasts f JOIN plan p ON f.t <= p.train_end_time GROUP BY win),
+tests AS (SELECT p.*, actual, least(1.0, greatest(0.0, a*raw + b)) AS predicted FROM forecasts f JOIN (SELECT * FROM plan JOIN fits USING (win)) p""").replace("errors AS (SELECT win, ", "errors AS (SELECT win, "),
+    ),
+)
+def rolling_linear(spark, d):
+    """Every window's fit from prefix sums of products."""
+    return normal.rolling_linear(A.forecasts(spark, d), ["predicted"], "actual")[0]
+
+
+@add(
+    "site_encoding",
+    A.final(
+        """SELECT o_orderkey, (coalesce(s, 0) - coalesce(fs, 0) + 10*m)/(coalesce(n, 0) - coalesce(fn, 0) + 10) AS site_mean
+      FROM orders o LEFT JOIN (SELECT o_custkey AS k, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) a ON a.k = o.o_custkey
+      LEFT JOIN (SELECT o_custkey AS k, o_orderkey % 5 AS f, sum(o_totalprice) AS fs, count(*) AS fn FROM orders GROUP BY 1, 2) b
+        ON b.k = o.o_custkey AND b.f = o.o_orderkey % 5, (SELECT avg(o_totalprice) AS m FROM orders)""",
+        "site_mean",
+        "o_orderkey",
+    ),
+)
+def site_encoding(spark, d):
+    """Out-of-fold means of as many keys as there are customers."""
+    rows = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return training.target_means(rows, "o_custkey", "o_totalprice", F.col("o_orderkey") % 5).select("o_orderkey", "site_mean")
+
+
 @add(
     "backtest_summary",
     A.final(
@@ -428,6 +463,13 @@ _WHAT_D = "queue_length capacity_pressure parking_stress_index rolling_queue_3 r
 )
 def what_if(spark, d):
     """Every event is one scenario on the newest slot of its site."""
+    return _scenario_rows(spark, d).select(
+        "scenario_id", "system_code", "vehicle_type", "traffic_condition_nearby", "traffic_level",
+        "is_special_day", *_WHAT_D.split(),
+    )
+
+
+def _scenario_rows(spark, d):
     latest = ts.latest_per_key(enriched(spark, d)).withColumns(
         {c: F.lit(None).cast("double") for c in ("rolling_queue_3", "rolling_queue_6", "rolling_stress_3")}
     )
@@ -442,9 +484,41 @@ def what_if(spark, d):
         F.when(user % 5 != 0, user % 2).alias("new_is_special_day"),
         F.when(user % 7 == 0, "truck").alias("new_vehicle_type"),
     )
-    return decide.what_if(latest, scenarios).select(
-        "scenario_id", "system_code", "vehicle_type", "traffic_condition_nearby", "traffic_level",
-        "is_special_day", *_WHAT_D.split(),
+    return decide.what_if(latest, scenarios)
+
+
+_ANSWER = {"utilization": 0.6, "parking_stress_index": 0.25, "rolling_queue_3": 0.004, "capacity_pressure": 0.1}
+
+
+@add(
+    "what_if_scored",
+    A.final(
+        """SELECT scenario_id, system_code, round_even(p*1e6, 0)/1e6 AS predicted_utilization_1h, round_even(greatest(0.0, p - w/2)*1e6, 0)/1e6 AS prediction_interval_lower,
+      round_even(least(1.0, p + w/2)*1e6, 0)/1e6 AS prediction_interval_upper, CAST(round_even(capacity*(1 - p), 0) AS BIGINT) AS predicted_free_spaces_1h
+      FROM (SELECT *, least(1.0, greatest(0.0, """
+        + " + ".join(f"CAST({w!r} AS DOUBLE)*coalesce({c}, 0)" for c, w in _ANSWER.items())
+        + """)) AS p FROM asked), (SELECT max(coalesce(uncertainty_width, 0)) AS w FROM board)""",
+        "predicted_utilization_1h prediction_interval_lower prediction_interval_upper",
+        "scenario_id predicted_free_spaces_1h",
+        A.with_ctes("stressed")
+        + ", "
+        + A.BOARD_SQL.replace("WITH ", "", 1)
+        + f""", asked AS (SELECT *, queue_length AS rolling_queue_3,
+        {A.clip_sql('(CAST(0.7 AS DOUBLE)*utilization + CAST(0.2 AS DOUBLE)*traffic_level/2 + CAST(0.1 AS DOUBLE)*capacity_pressure)')} AS parking_stress_index FROM (
+        SELECT *, queue_length/CAST(capacity AS DOUBLE) AS capacity_pressure FROM (
+          SELECT e.event_id AS scenario_id, l.system_code, l.capacity, l.utilization,
+            coalesce(CASE WHEN user_id % 3 <> 0 THEN CAST(user_id % 25 AS DOUBLE) END, l.queue_length) AS queue_length,
+            CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE l.traffic_level END AS traffic_level
+          FROM events e JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system_code ORDER BY time_slot DESC) AS rn
+            FROM stressed) WHERE rn = 1) l ON l.system_code = e.event_type)))""",
+    ),
+)
+def what_if_scored(spark, d):
+    """The answer to every scenario: a stand-in prediction on its feature row, interval and free spaces."""
+    rows = _scenario_rows(spark, d).withColumn("predicted_utilization_1h", score.linear_prediction(_ANSWER))
+    answer = decide.what_if_answer(rows, A.board(spark, d).select("uncertainty_width"))
+    return answer.select(
+        "scenario_id", "system_code", "predicted_utilization_1h", "prediction_interval_lower", "prediction_interval_upper", "predicted_free_spaces_1h"
     )
 
 

@@ -11,8 +11,8 @@ from slotline.checks.catalog import CATALOG
 from slotline.checks.context import _ASOF_SQL, LIVE_SQL, graph, staged_slots
 from slotline.checks.forecast import drift_rows
 from slotline.checks.forecast import _DRIFT as DRIFT_CTES
-from slotline.checks.summary import scored
-from slotline.operators import activity, decide, ranks
+from slotline.checks.summary import _SNAPSHOT, scored
+from slotline.operators import activity, decide, figures, ranks
 from slotline.plans import reports
 from slotline.session import pin_time_zone, scratch_path, stage
 from slotline.streaming import board as B
@@ -175,6 +175,24 @@ def rank_after_upsert(spark, d):
     return ranks.rank_from_index(board, index, middle)
 
 
+@add(
+    "board_snapshot_stream",
+    A.final(_SNAPSHOT, "mean_utilization", "systems critical_systems high_risk_systems low_availability_systems", _UPSERTED_SQL),
+)
+def board_snapshot_stream(spark, d):
+    """The headline figures after two micro-batches, the second with new forecasts for a third of the sites, kept by differences."""
+    changed = {"predicted_utilization_1h": "CAST((p_size * 3) % 50 AS DOUBLE) / 50", "queue_length": "(p_partkey + 4) % 15"}
+    first = A.board(spark, d).withColumn("version", F.lit(0))
+    second = A.board(spark, d, changed).where(F.col("system_code") % 3 == 0).withColumn("version", F.lit(1))
+    path, board, kept = scratch_path(spark, "changes"), scratch_path(spark, "board"), scratch_path(spark, "figures")
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.read_files(spark, path, first.schema, files_per_batch=1)
+    prepare = lambda rows: figures.with_buckets(decide.score_board(rows))
+    B.board_stream(stream, board, scratch_path(spark, "checkpoint"), "system_code", ["version"], prepare, kept).awaitTermination()
+    return figures.snapshot(B.read_beside(spark, board, kept), B.read_board(spark, board))
+
+
 @add(
     "live_interval",
     A.final(

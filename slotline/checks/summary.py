@@ -286,7 +286,7 @@ def union_topk_dedupe(spark, d):
 
 
 def _stress_sql() -> str:
-    """The four scenarios at step 2 from the same board; spillover needs the site graph and is shown apart."""
+    """The four scenarios at step 2 from the same board; every site is linked with the five that follow, the nearer the heavier."""
     return (
         A.BOARD_SQL
         + """, rush AS (SELECT *, row_number() OVER (ORDER BY predicted_utilization_1h DESC, system_code) - 1 AS i FROM scored
@@ -297,6 +297,7 @@ def _stress_sql() -> str:
     ORDER BY predicted_utilization_1h DESC, system_code LIMIT 3),
   u AS (SELECT *, row_number() OVER (ORDER BY l, j) - 1 AS i FROM (SELECT *, row_number() OVER (
     PARTITION BY system_code ORDER BY l, j) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn = 1),
+  origin AS (SELECT * FROM scored ORDER BY predicted_utilization_1h DESC, system_code LIMIT 1),
   relief AS (SELECT *, 0 AS i FROM scored ORDER BY capacity DESC, system_code LIMIT 8),
   moved AS (
     SELECT 'rush_hour_surge' AS scenario, system_code, capacity, occupancy_clean + capacity*(CAST(0.05+0.015*2 AS DOUBLE)
@@ -304,22 +305,38 @@ def _stress_sql() -> str:
     UNION ALL SELECT 'event_overflow', system_code, capacity, occupancy_clean + capacity*(CAST(0.08+0.02*2 AS DOUBLE)
       + CAST(0.01 AS DOUBLE)*(i % 2)), queue_length + 6 + i, 'high', 1 FROM u
     UNION ALL SELECT 'holiday_relief', system_code, capacity, occupancy_clean - capacity*CAST(0.06+0.015*2 AS DOUBLE),
-      queue_length - greatest(queue_length, 1), 'low', 1 FROM relief)
+      queue_length - greatest(queue_length, 1), 'low', 1 FROM relief
+    UNION ALL SELECT 'spillover_disruption', system_code, capacity, capacity*least(CAST(0.99 AS DOUBLE), greatest(utilization
+      + CAST(0.12 AS DOUBLE) + CAST(0.02 AS DOUBLE)*2, CAST(0.93 AS DOUBLE))), queue_length + 7, 'high', 0 FROM origin
+    UNION ALL SELECT 'spillover_disruption', s.system_code, s.capacity, s.occupancy_clean + s.capacity*CAST(0.04+0.015*2 AS DOUBLE), s.queue_length + 4, 'high', 0
+      FROM (SELECT t.* FROM scored t, origin o WHERE t.system_code - o.system_code BETWEEN 1 AND 5 ORDER BY t.system_code LIMIT 3) s)
   SELECT scenario, system_code, round_even(greatest(0.0, least(CAST(capacity AS DOUBLE), occ))*100, 0)/100 AS occupancy,
     CAST(CASE WHEN traffic = 'low' THEN least(2, greatest(0, least(30, q))) ELSE greatest(0, least(30, q)) END AS BIGINT)
       AS queue_length,
-    traffic AS traffic_condition_nearby, CAST(special AS BIGINT) AS is_special_day FROM moved"""
+    traffic AS traffic_condition_nearby, CAST(special AS BIGINT) AS is_special_day, CAST(capacity AS DOUBLE) AS capacity,
+    CASE system_code % 4 WHEN 0 THEN 'bike' WHEN 1 THEN 'truck' WHEN 2 THEN 'cycle' ELSE 'car' END AS vehicle_type,
+    CAST(system_code % 97 AS DOUBLE) AS latitude, CAST(system_code % 89 AS DOUBLE) AS longitude FROM moved"""
     )
 
 
 @add("stress_scenario", _stress_sql())
 def stress_scenario(spark, d):
-    board = scored(spark, d)
+    code = F.col("system_code")
+    board = scored(spark, d).withColumns(
+        {
+            "vehicle_type": F.when(code % 4 == 0, "bike").when(code % 4 == 1, "truck").when(code % 4 == 2, "cycle"),
+            "latitude": (code % 97).cast("double"),
+            "longitude": (code % 89).cast("double"),
+        }
+    )
+    step = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("step")
+    edges = board.select("system_code", step).select("system_code", (code + F.col("step")).alias("neighbor_code"), (1 / F.col("step")).alias("weight"))
+    edges = edges.join(board.select(code.alias("neighbor_code")), "neighbor_code", "left_semi")
     out = None
-    for name in ("rush_hour_surge", "event_overflow", "holiday_relief"):
-        part = decide.stress_scenario(board, name, 2).select(
+    for name in ("rush_hour_surge", "event_overflow", "holiday_relief", "spillover_disruption"):
+        part = decide.stress_scenario(board, name, 2, edges).select(
             F.lit(name).alias("scenario"), "system_code", "occupancy", "queue_length",
-            "traffic_condition_nearby", "is_special_day",
+            "traffic_condition_nearby", "is_special_day", "capacity", "vehicle_type", "latitude", "longitude",
         )
         out = part if out is None else out.unionByName(part)
     return out

@@ -109,6 +109,18 @@ def what_if(
     )
 
 
+def what_if_answer(rows: DataFrame, widths: DataFrame, predicted: str = "predicted_utilization_1h") -> DataFrame:
+    """What a scenario row with a prediction answers: prediction, interval of half the widest published width, free spaces."""
+    ranged = live_interval(rows, widths, predicted)
+    six = lambda c: F.rint(F.col(c) * 1e6) / 1e6
+    return ranged.withColumns(
+        {
+            "predicted_free_spaces_1h": X.free_spaces("capacity", predicted).cast("long"),
+            **{c: six(c) for c in (predicted, "prediction_interval_lower", "prediction_interval_upper")},
+        }
+    ).drop("uncertainty_width")
+
+
 def live_interval(df: DataFrame, widths: DataFrame, predicted: str = "predicted_utilization_1h") -> DataFrame:
     """Interval of half the widest published width around a live prediction."""
     widest = widths.agg(
@@ -161,7 +173,9 @@ def _stressed(picked: DataFrame, shift: Column, queue_shift: Column, traffic: st
         queue.cast("int").alias("queue_length"),
         F.lit(traffic).alias("traffic_condition_nearby"),
         F.lit(special).alias("is_special_day"),
+        F.coalesce(F.col("vehicle_type"), F.lit("car")).alias("vehicle_type") if "vehicle_type" in picked.columns else F.lit("car").alias("vehicle_type"),
         cap.alias("capacity"),
+        *[F.col(c).cast("double").alias(c) if c in picked.columns else F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")],
     )
 
 

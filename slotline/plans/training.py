@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotline import fixed
@@ -17,6 +17,7 @@ from slotline.functions import columns as X
 from slotline.operators import evaluate as ev
 from slotline.session import stage
 
+HASHED, SITE_WIDTH = ("system_code",), 256
 MODEL_NAMES = {"forest": "Random Forest", "boost": "Boosted Trees"}
 SMALL_FOREST = {"trees": 20, "depth": 6, "min_leaf": 2}
 SMALL_BOOST = {"rounds": 10, "depth": 4, "step": 0.05, "row_share": 0.9, "column_share": "0.8"}
@@ -26,14 +27,21 @@ def preparation(
     numeric: Sequence[str] = tuple(fixed.NUMERIC_FEATURES),
     categorical: Sequence[str] = tuple(fixed.CATEGORICAL_FEATURES),
 ) -> list:
-    """Standardised numbers plus one-hot words; an unseen word encodes as nothing."""
-    coded, hot = [f"{c}_code" for c in categorical], [f"{c}_hot" for c in categorical]
+    """Standardised numbers plus one-hot words; an unseen word encodes as nothing.
+
+    The site key is hashed into ``SITE_WIDTH`` places instead, since there may be any number of sites.
+    """
+    keyed = [c for c in categorical if c in HASHED]
+    words = [c for c in categorical if c not in HASHED]
+    coded, hot = [f"{c}_code" for c in words], [f"{c}_hot" for c in words]
+    hashers = [FeatureHasher(inputCols=[c], categoricalCols=[c], outputCol=f"{c}_hot", numFeatures=SITE_WIDTH) for c in keyed]
     return [
         VectorAssembler(inputCols=list(numeric), outputCol="numbers", handleInvalid="keep"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        StringIndexer(inputCols=list(categorical), outputCols=coded, handleInvalid="keep"),
+        StringIndexer(inputCols=words, outputCols=coded, handleInvalid="keep"),
         OneHotEncoder(inputCols=coded, outputCols=hot, dropLast=True, handleInvalid="error"),
-        VectorAssembler(inputCols=["scaled", *hot], outputCol="features", handleInvalid="keep"),
+        *hashers,
+        VectorAssembler(inputCols=["scaled", *hot, *[f"{c}_hot" for c in keyed]], outputCol="features", handleInvalid="keep"),
     ]
 
 
@@ -66,6 +74,29 @@ def boost_pipeline(label: str, settings: dict = fixed.BOOST_SETTINGS, **prep) ->
     return Pipeline(stages=[*preparation(**prep), model])
 
 
+def target_means(
+    rows: DataFrame, key: str, label: str, fold: Column, prior: float = 10.0, output: str = "site_mean"
+) -> DataFrame:
+    """``rows`` with the mean label of their key's rows in the other folds, drawn towards the mean of all rows as by ``prior`` rows of it.
+
+    An encoding of fixed width for keys of any number: sums by (key, fold) are combined on the map side and joined back, no key comes to the driver,
+    and no row sees its own label. A key that is seen in one fold only gets the mean of all.
+    """
+    folded = rows.withColumn("_fold", fold)
+    sums = folded.where(F.col(label).isNotNull()).groupBy(key, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+    sums = stage(sums, "sums")
+    whole = sums.groupBy(key).agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
+    mean = sums.agg(F.sum("_s") / F.sum("_n")).scalar()
+    # One row per key and fold, so the sides meet without a hot key: what repeats are the rows, which the adaptive join may split.
+    parts = sums.select(F.col(key).alias("_key"), F.col("_fold").alias("_own"), "_s", "_n")
+    met = folded.join(whole.withColumnRenamed(key, "_key2"), F.col(key).eqNullSafe(F.col("_key2")), "left").join(
+        parts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_fold").eqNullSafe(F.col("_own")), "left"
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    value = (zero("_all_s") - zero("_s") + F.lit(prior) * mean) / (zero("_all_n") - zero("_n") + F.lit(prior))
+    return met.withColumn(output, value).drop("_fold", "_s", "_n", "_all_s", "_all_n", "_key", "_key2", "_own")
+
+
 def model_input(df: DataFrame) -> DataFrame:
     """Model columns as doubles and null-safe words; null numbers count as 0."""
     return df.withColumns(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from slotline.operators import figures as F_
 from slotline.operators.activity import upsert_latest
 from slotline.streaming.ingest import checkpoint_id
 
@@ -38,6 +39,12 @@ def read_board(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{known[-1]:012d}") if known else None
 
 
+def read_beside(spark: SparkSession, path: str, beside: str) -> DataFrame | None:
+    """What is kept below ``beside`` for the newest version of the board."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{beside}/v{known[-1]:012d}") if known else None
+
+
 def write_version(df: DataFrame, path: str, number: int) -> None:
     """A version becomes visible only when complete, so readers never see half a board."""
     df.write.mode("overwrite").parquet(f"{path}/v{number:012d}")
@@ -94,10 +101,11 @@ def reset(baseline: DataFrame, path: str) -> int:
 
 
 def upsert_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: list[str],
-                 source: str = "batch") -> bool:
+                 source: str = "batch", beside: Callable[[int | None, int, DataFrame, DataFrame], None] | None = None) -> bool:
     """Merge one micro-batch of ``source`` into the board as its next version.
 
-    A batch id that this source has delivered before changes nothing; version numbers are only an order.
+    A batch id that this source has delivered before changes nothing; version numbers are only an order. ``beside`` gets the version before, the new
+    version, and the rows of the changed keys before and after, and keeps what follows from the board; it is done before the version becomes visible.
     """
     spark = batch.sparkSession
     merged = _merged(spark, path)
@@ -107,6 +115,10 @@ def upsert_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: li
     board = read_board(spark, path)
     rows = upsert_latest(batch.limit(0) if board is None else board, batch, key, order)
     number = known[-1] + 1 if known else 0
+    if beside is not None:
+        keys = batch.select(key).distinct()
+        old = batch.limit(0) if board is None else board.join(keys, key, "left_semi")
+        beside(known[-1] if known else None, number, old, upsert_latest(old, batch, key, order))
     write_version(rows, path, number)
     # Merging the same batch twice gives the same board, so a crash before the markers does no harm.
     _settle(spark, path, number, merged | {source: batch_id})
@@ -114,12 +126,20 @@ def upsert_batch(batch: DataFrame, path: str, batch_id: int, key: str, order: li
 
 
 def board_stream(changes: DataFrame, path: str, checkpoint: str, key: str, order: list[str],
-                 prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Keep the board current from a stream. ``prepare`` adds context and scores per micro-batch."""
+                 prepare: Callable[[DataFrame], DataFrame] | None = None, figures: str | None = None) -> StreamingQuery:
+    """Keep the board current from a stream. ``prepare`` adds context and scores per micro-batch.
+
+    With ``figures``, a path, the headline figures of every version are kept there too, by differences.
+    """
+
+    def keep(before: int | None, number: int, old: DataFrame, new: DataFrame) -> None:
+        known = None if before is None else old.sparkSession.read.parquet(f"{figures}/v{before:012d}")
+        write_version(F_.after_changes(known, old, new), figures, number)
+
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         source = checkpoint_id(batch.sparkSession, checkpoint)
-        upsert_batch(prepare(batch) if prepare else batch, path, batch_id, key, order, source)
+        upsert_batch(prepare(batch) if prepare else batch, path, batch_id, key, order, source, keep if figures else None)
 
     return (
         changes.writeStream.foreachBatch(merge)

@@ -101,7 +101,6 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 def audit(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "events")
-        .where(F.col("event_type").isin("signup", "purchase"))
         .select(
             F.col("event_id"),
             F.col("event_type"),
@@ -116,13 +115,12 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     status = (
         F.when(kind == "signup", "queued")
-        .when(kind == "view", "running")
+        .when(kind.isin("view", "click"), "running")
         .when(kind == "purchase", "completed")
         .when(kind == "error", "failed")
     )
     return (
         table(spark, folder, "events")
-        .where(kind != "click")
         .select(
             F.col("user_id").alias("job_id"),
             status.alias("status"),

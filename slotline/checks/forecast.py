@@ -71,24 +71,24 @@ def prediction_frame(spark, d):
     return ev.prediction_frame(rows, "Momentum", F.col("rolling_utilization_3") + F.col("utilization_delta_30m"))
 
 
-def _tested(spark, d, maker):
-    rows = training.model_input(model_rows(spark, d))
+def _scored_test(table, maker):
+    rows = training.model_input(table)
     cut = F.lit(ev.split_time(rows).first()["split_time"])
     time = F.col("target_time_slot")
     model = maker.fit(rows.where(time <= cut))
-    return model, training.score(model, rows.where(time > cut), "_p")
+    return training.score(model, rows.where(time > cut), "_p")
 
 
 @add("rf_forecast")
 def rf_forecast(spark, d):
     maker = training.forest_pipeline("target_utilization_1h", training.SMALL_FOREST)
-    return ev.prediction_frame(_tested(spark, d, maker)[1], "Random Forest", F.col("_p"))
+    return ev.prediction_frame(_scored_test(model_rows(spark, d), maker), "Random Forest", F.col("_p"))
 
 
 @add("gbt_forecast")
 def gbt_forecast(spark, d):
     maker = training.boost_pipeline("target_utilization_1h", training.SMALL_BOOST)
-    return ev.prediction_frame(_tested(spark, d, maker)[1], "Boosted Trees", F.col("_p"))
+    return ev.prediction_frame(_scored_test(model_rows(spark, d), maker), "Boosted Trees", F.col("_p"))
 
 
 @add("feature_importance")
@@ -351,6 +351,86 @@ def cluster_facts(spark, d):
     return out
 
 
+@add(
+    "pca_facts",
+    """SELECT count(DISTINCT event_type || '-' || CAST(user_id % 8 AS VARCHAR)) AS sites, true AS centred, true AS uncorrelated, true AS first_is_widest, true AS spread_is_largest FROM events""",
+)
+def pca_facts(spark, d):
+    """What holds for the first two components of any table: centred, uncorrelated, ordered, and no input column spreads more than the first."""
+    rows = cluster.standardised(many_site_profiles(spark, d), fixed.PROFILE_FEATURES)
+    both = rows.join(pca_project(spark, d), "system_code")
+    widest = F.greatest(*[F.var_pop(f"z_{c}") for c in fixed.PROFILE_FEATURES])
+    near = lambda c: F.abs(c) < 1e-6
+    return both.agg(
+        F.count(F.lit(1)).alias("sites"),
+        (near(F.avg("pca_1")) & near(F.avg("pca_2"))).alias("centred"),
+        near(F.covar_pop("pca_1", "pca_2")).alias("uncorrelated"),
+        (F.var_pop("pca_1") >= F.var_pop("pca_2") - 1e-9).alias("first_is_widest"),
+        (F.var_pop("pca_1") >= widest - 1e-9).alias("spread_is_largest"),
+    )
+
+
+_SPLIT_SQL = """, times AS (SELECT DISTINCT target_time_slot AS t FROM model),
+cut AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n FROM times) WHERE rn = greatest(1, floor(n*CAST(0.8 AS DOUBLE)))),
+tested AS (SELECT * FROM model WHERE target_time_slot > (SELECT t FROM cut))"""
+
+
+@add(
+    "forecast_facts",
+    A.final(
+        """SELECT unnest(['Boosted Trees', 'Random Forest']) AS model, system_code, time_slot, target_time_slot, capacity, target_utilization_1h, true AS in_range, true AS spaces_follow,
+      true AS within_training FROM tested""",
+        "target_utilization_1h",
+        "capacity",
+        A.with_ctes("model") + _SPLIT_SQL,
+    ),
+)
+def forecast_facts(spark, d):
+    """Every test row of both tree models, with what any fit must keep: range, free spaces, and (for averages of labels) the span of the training labels."""
+    rows = model_rows(spark, d)
+    out = None
+    for name, maker in (
+        ("Random Forest", training.forest_pipeline("target_utilization_1h", training.SMALL_FOREST)),
+        ("Boosted Trees", training.boost_pipeline("target_utilization_1h", training.SMALL_BOOST)),
+    ):
+        frame = ev.prediction_frame(_scored_test(rows, maker), name, F.col("_p"))
+        p = F.col("predicted_utilization_1h")
+        ends = rows.agg(F.min("target_utilization_1h").alias("a"), F.max("target_utilization_1h").alias("b"))
+        # A forest averages labels, so it stays between them; boosted trees may go beyond by a little.
+        inside = p.between(ends.select("a").scalar() - 0.05, ends.select("b").scalar() + 0.05)
+        part = frame.select(
+            "model", "system_code", "time_slot", "target_time_slot", "capacity", "target_utilization_1h", p.between(0, 1).alias("in_range"),
+            (F.col("predicted_available_spaces_1h") == F.rint(F.col("capacity") * (1 - p))).alias("spaces_follow"), inside.alias("within_training"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@add(
+    "forecast_board_facts",
+    A.final(
+        """SELECT system_code, time_slot, round_even(capacity*(1 - least(1.0, greatest(0.0, utilization))), 0) AS free_now, true AS ranged, true AS spaces_follow, true AS ranked
+      FROM (SELECT *, row_number() OVER (PARTITION BY system_code ORDER BY time_slot DESC) AS rn FROM model) WHERE rn = 1""",
+        "free_now",
+        "",
+        A.with_ctes("model"),
+    ),
+)
+def forecast_board_facts(spark, d):
+    """The forecast board's rows with what any trained board must keep: order of the interval, free spaces, ranks that follow the scores."""
+    rows = model_rows(spark, d)
+    trained = training.train_and_evaluate(rows, training.SMALL_FOREST, training.SMALL_BOOST)
+    board = stage(decide.recommend(training.score_latest(ts.latest_per_key(rows), trained)), "board")
+    p = F.col("predicted_utilization_1h")
+    scores = board.agg(F.array_sort(F.collect_set("balanced_score"))).scalar()  # one score per site of the test tables
+    return board.withColumn("_scores", scores).select(
+        "system_code", "time_slot", X.free_spaces("capacity", "utilization").alias("free_now"),
+        ((F.col("prediction_interval_lower") <= p) & (p <= F.col("prediction_interval_upper"))).alias("ranged"),
+        (F.col("predicted_available_spaces_1h") == F.rint(F.col("capacity") * (1 - p))).alias("spaces_follow"),
+        (F.col("recommendation_rank") == F.size(F.filter(F.col("_scores"), lambda x: x > F.col("balanced_score"))) + 1).alias("ranked"),
+    )
+
+
 @add("pca_project")
 def pca_project(spark, d):
     from pyspark.ml.feature import VectorAssembler

@@ -311,8 +311,8 @@ _JOBS = """jobs AS (SELECT job_id, arg_max(status, row(moment, event_id)) AS sta
   max(CASE WHEN status = 'running' THEN moment END) AS started_at,
   max(CASE WHEN status IN ('completed', 'failed') THEN moment END) AS finished_at, arg_max(message, row(moment, event_id)) AS message
   FROM (SELECT user_id AS job_id, event_id, ts AS moment, props AS message, CASE event_type WHEN 'signup' THEN 'queued'
-    WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status
-    FROM events WHERE event_type <> 'click') GROUP BY job_id)"""
+    WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status
+    FROM events) GROUP BY job_id)"""
 
 
 @add("job_state", f"WITH {_JOBS} SELECT * FROM jobs")

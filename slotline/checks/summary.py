@@ -539,7 +539,7 @@ def recent_rows(spark, d):
 @add(
     "activity_feed",
     """WITH audit AS (SELECT 'audit' AS source, ts AS created_at, event_type AS title, props AS summary,
-  CAST(event_id AS VARCHAR) AS entry_id FROM events WHERE event_type IN ('signup', 'purchase')),
+  CAST(event_id AS VARCHAR) AS entry_id FROM events),
 calls AS (SELECT 'api' AS source, ts AS created_at, event_type || ' /u/' || user_id AS title,
   printf('status=%d duration_ms=%.2f', CASE WHEN event_type = 'error' THEN 500 ELSE 200 END, round_even(value*100, 0)/100) AS summary,
   CAST(event_id AS VARCHAR) AS entry_id FROM events)

@@ -42,6 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of what the stages keep of ``documents``.
+
+    Null, empty and blank texts have no lines and no words: they pass the line and near-duplicate stages untouched, are sized 0 in the mix, and
+    become one piece with the end id, unless the classifier rejects them. Repeated rows are one row from the near-duplicate stage on, except those without words;
+    the mix may take a row twice. Null ids and sources are values like others. Without documents there are no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline{k}")

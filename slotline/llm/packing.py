@@ -9,7 +9,6 @@ in the next level, until one group is left or a level no longer helps.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -31,7 +30,6 @@ STUCK = 0.98  # the levels end when hardly a piece found its place in the last o
 END = 1
 PARTNERS = 12
 WORDS_KEPT, LONGEST_KEPT = 400_000, 64
-RUN = 2_000_000
 
 #: Letters that composition leaves alone and that have one lower case, then marks that the tokenizer keeps apart from letters.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|#$%&*()\"-]*)")
@@ -41,60 +39,41 @@ class Words(dict):
     """Token ids of white-space separated words as little-endian bytes.
 
     The tokenizer never joins text across a space or a line break, so a text's ids are those of its words, one after the other.
-    Words that the table lacks are encoded in one call per run of texts; a plain word with marks behind it is looked up
-    as the word and the marks, in lower case, which is how the tokenizer parts it. The table starts anew when it is full and keeps no
-    long words, so memory is bounded whatever the vocabulary.
+    Words seen once wait in ``rare``; the second time they move here. Each table is emptied when it is full, so memory is bounded
+    whatever the vocabulary, and a flood of rare words does not wash out the frequent ones. A plain word with marks behind it is looked up
+    as the word and the marks, in lower case, which is how the tokenizer parts it.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        # Each task has one core; the library would start a thread per core of the machine.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self[""] = b""
-        self.encode = Tokenizer.from_file(path).encode_batch
-
-    def learn(self, words: set[str]) -> None:
-        missing = words - self.keys()
-        if len(self) + len(missing) > WORDS_KEPT:
-            self.clear()
-            self[""] = b""
-            missing = words - self.keys()
-        parted, whole = {}, set()
-        for word in missing:
-            simple = _SIMPLE.fullmatch(word)
-            if simple and (simple[2] or not word.islower()):
-                parted[word] = parts = (simple[1].lower(), simple[2])
-                whole.update(parts)
-            else:
-                whole.add(word)
-        todo = list(whole - self.keys())
-        for word, told in zip(todo, self.encode(todo, add_special_tokens=False)):
-            self[word] = np.array(told.ids, "<u4").tobytes()
-        for word, (letters, marks) in parted.items():
-            self[word] = self[letters] + self[marks]
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; words are learnt for ``RUN`` code points at a time."""
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (size < RUN or stop == start):
-                size += len(texts[stop])
-                stop += 1
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[start:stop]]
-            words = set().union(*split)
-            self.learn(words)
-            for parts in split:
-                yield b"".join(map(self.__getitem__, parts))
-            for word in words:
-                if len(word) > LONGEST_KEPT:
-                    del self[word]
-            start = stop
+        self.rare: dict[str, bytes] = {}
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.rare.pop(word, None)
+        if ids is not None:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+                self[""] = b""
+            self[word] = ids
+            return ids
+        simple = _SIMPLE.fullmatch(word)
+        if simple and (simple[2] or not word.islower()):
+            ids = self[simple[1].lower()] + self[simple[2]]
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self.rare) >= WORDS_KEPT:
+                self.rare.clear()
+            self.rare[word] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        return next(self.of([text]))
+        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.__getitem__, spaced.split(" ")))
 
 
 @lru_cache(2)
@@ -122,8 +101,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         step = 4 * capacity
         for frame in frames:
             rows = []
-            for uid, doc, ids in zip(frame["uid"], frame["doc_id"], words.of([t or "" for t in frame["text"]])):
-                ids += end
+            for uid, doc, text in zip(frame["uid"], frame["doc_id"], frame["text"]):
+                ids = words.ids(text or "") + end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     rows.append((uid, doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)))

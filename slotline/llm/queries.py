@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from slotline.llm import (
     fill_middle, fingerprints, lines, mixing, neighbours, ngram_join, packing, page_text, personal, quality, secrets, sharding, turns,
 )
@@ -87,12 +86,3 @@ def op12_page_text(spark, folder):
 @query
 def op13_turns(spark, folder):
     return turns.report(table(spark, folder, "conversations"))
-
-
-@query
-def pipeline(spark, folder):
-    return corpus_pipeline.run(spark, folder)
-
-
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

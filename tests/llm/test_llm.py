@@ -572,6 +572,91 @@ def test_pipeline_stages(spark, small, tmp_path):
         assert docs.count() > 0
 
 
+def pages_of(tmp_path, spark, texts, labels):
+    rows = [(i, t, "en", ("s", None, "z")[k % 3], len(t or "")) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls, blanks, repeats and copies: what is left has no near copy, no fuzzy line twice, and full sequences that hold every piece of every kept row."""
+    import corpus_pipeline
+
+    copies = edited_group(70, 12, words=120, edits=3)
+    plain = [prose(500 + k, 60) + ".\n" + prose(600 + k, 30) + "." for k in range(30)]
+    texts = [(k, t) for k, t in enumerate([*plain, *copies, None, "", " \n ", "one", plain[0], plain[0]])] + [(None, plain[3]), (None, None), (LARGE, prose(900, 40)), (7, plain[7])]
+    folder = pages_of(tmp_path / "in", spark, texts, [(k, 1, 0) for k in range(20)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "line dedup":
+            lined = [n for r in docs.collect() for n in map(lines.normal, (r.text or "").split("\n")) if n]
+            sets = {i: frozenset(n[j : j + lines.SHINGLE] for j in range(max(1, len(n) - lines.SHINGLE + 1))) for i, n in enumerate(lined)}
+            # The first line of a repeated row stays in each of the repeats.
+            apart = {i: s for i, s in sets.items() if lined.index(lined[i]) == i}
+            assert all(i == root for i, root in brute_components(apart).items())
+        if name == "n-gram Jaccard join":
+            kept = {k: grams(r.text) for k, r in enumerate(docs.collect()) if grams(r.text)}
+            assert all(i == root for i, root in brute_components(kept).items())
+            before = docs.collect()
+        if name == "mixing sources to target weights":
+            assert {tuple(r) for r in docs.collect()} <= {tuple(r) for r in before}
+            mixed_ids = Counter(r.doc_id for r in docs.collect())
+    out = docs.collect()
+    assert Counter(r.doc_id for r in out if r.piece == 0) == mixed_ids
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert corpus_pipeline.run(spark, folder).count() == len(out)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, pages_of(tmp_path / "in", spark, [], [])).count() == 0
+
+
+def test_spans_of_nothing(empty):
+    assert secrets.report(empty).count() == 0 and personal.report(empty).count() == 0
+
+
+# --- the quality fit against plain numpy ---------------------------------------
+
+
+def test_quality_fit_equals_numpy(spark):
+    texts = [prose(k, 20 + k % 60) + (" !!!" * (k % 7)) for k in range(250)]
+    truth = {k: (k * 7) % 3 != 0 for k in range(250)}
+    described = quality.with_statistics(frame(spark, texts).repartition(4), "text", F.col("doc_id").alias("id")).cache()
+    model = quality.fit(described, spark.createDataFrame([(k, int(v)) for k, v in truth.items()], "doc_id long, quality int"))
+    stats = {r["id"]: np.array(r["stats"]) for r in described.collect()}
+    folds = {k: zlib.crc32(str(k).encode()) % quality.FOLDS for k in truth}
+    known = np.array([stats[k] for k in truth if folds[k] != quality.HELD_OUT])
+    assert np.allclose(model.mean, known.mean(axis=0)) and np.allclose(model.scale, np.where(known.std(axis=0) > 1e-9, known.std(axis=0), 1.0))
+    fitted = [k for k in truth if folds[k] not in (quality.HELD_OUT, quality.CALIBRATION)]
+    z = quality.fourier(np.array([stats[k] for k in fitted]), model.mean, model.scale)
+    y = np.array([float(truth[k]) for k in fitted])
+    left = z.T @ z / len(z) + quality.RIDGE / z.shape[1] * np.eye(z.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(left, z.T @ y / len(z)), rtol=1e-6, atol=1e-8)
+
+
+def test_isotonic_equals_min_max():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        counts = r.integers(1, 9, n).astype(float)
+        sums = counts * r.uniform(0, 1, n)
+        mean = lambda a, b: sums[a : b + 1].sum() / counts[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(quality.pool(sums, counts), want)
+
+
 # --- edges of the pipeline's stages -------------------------------------------
 
 LARGE = 2**53 + 1

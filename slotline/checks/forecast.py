@@ -13,7 +13,7 @@ from slotline.functions import columns as X
 from slotline.operators import anomalies, cluster, decide, drift, profile
 from slotline.operators import evaluate as ev
 from slotline.operators import timeseries as ts
-from slotline.plans import normal, reports, training
+from slotline.plans import boosted, normal, reports, training
 from slotline.session import stage
 from slotline.streaming import score
 
@@ -375,6 +375,33 @@ cut AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*)
 tested AS (SELECT * FROM model WHERE target_time_slot > (SELECT t FROM cut))"""
 
 
+@add(
+    "boosted_first_cut",
+    A.final(
+        """SELECT feature, cut, gain, gl, CAST(hl AS BIGINT) AS hl FROM (
+      SELECT *, row_number() OVER (ORDER BY gain DESC, feature, cut) AS rn FROM (
+        SELECT *, CASE WHEN hl >= 1 AND ht - hl >= 1 THEN power(greatest(abs(gl) - CAST(0.1 AS DOUBLE), 0), 2)/(hl + 1) + power(greatest(abs(gt - gl) - CAST(0.1 AS DOUBLE), 0), 2)/(ht - hl + 1)
+          - power(greatest(abs(gt) - CAST(0.1 AS DOUBLE), 0), 2)/(ht + 1) ELSE -1 END AS gain FROM (
+          SELECT feature, v AS cut, sum(g) OVER w AS gl, sum(n) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(n) OVER (PARTITION BY feature) AS ht
+          FROM (SELECT feature, v, sum(g) AS g, count(*) AS n FROM (
+            UNPIVOT (SELECT CAST(l_quantity AS BIGINT) AS f0, CAST(l_linenumber AS BIGINT) AS f1, CAST(round(l_discount*100) AS BIGINT) AS f2,
+              (SELECT avg(l_extendedprice/10000) FROM lineitem) - l_extendedprice/10000 AS g FROM lineitem) ON f0, f1, f2 INTO NAME feature VALUE v) GROUP BY 1, 2)
+          WINDOW w AS (PARTITION BY feature ORDER BY v)))) WHERE rn = 1""",
+        "gain gl",
+    ),
+)
+def boosted_first_cut(spark, d):
+    """The first cut of a boosted tree for prices, from sums per value of three features."""
+    rows = A.table(spark, d, "lineitem")
+    mean = rows.agg(F.avg(F.col("l_extendedprice") / 10000)).scalar()
+    values = F.array(F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long"), F.rint(F.col("l_discount") * 100).cast("long"))
+    long = rows.select((mean - F.col("l_extendedprice") / 10000).alias("g"), F.posexplode(values).alias("feature", "bin"))
+    sums = long.groupBy(F.lit(0).alias("node"), "feature", "bin").agg(F.sum("g").alias("g"), F.count(F.lit(1)).cast("double").alias("h"))
+    penalties = fixed.BOOST_PENALTIES
+    best = boosted.best_cuts(sums, penalties["l1"], penalties["l2"], penalties["least_weight"])
+    return best.select(F.format_string("f%d", "feature").alias("feature"), F.col("bin").alias("cut"), "gain", "gl", F.col("hl").cast("long").alias("hl"))
+
+
 @add(
     "forecast_facts",
     A.final(

@@ -176,6 +176,7 @@ DEFAULT_INTERVAL_WIDTH = 0.08
 # --- model settings --------------------------------------------------------
 FOREST_SETTINGS = {"trees": 350, "depth": 14, "min_leaf": 2}
 BOOST_SETTINGS = {"rounds": 350, "depth": 6, "step": 0.05, "row_share": 0.9, "column_share": "0.8"}
+BOOST_PENALTIES = {"l1": 0.1, "l2": 1.0, "least_weight": 1.0}
 ANOMALY_SHARE = 0.03
 ANOMALY_TREES = 100
 ANOMALY_SAMPLE = 256

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotline.checks import adapters as A
 from slotline.operators import activity, anomalies, asof, cluster, decide, figures, profile, ranks, spatial
 from slotline.operators.asof import asof_join
-from slotline.plans import normal, training
+from slotline.plans import boosted, normal, training
 from slotline.plans.features import build_clean
 from slotline.session import scratch_path, stage
 from slotline.streaming import board as B
@@ -249,3 +249,47 @@ def test_site_means_leave_the_own_fold_out(spark):
     mean = 18 / 5
     want = {("a", 0, 1.0): (5 + 2 * mean) / 3, ("a", 0, 3.0): (5 + 2 * mean) / 3, ("a", 1, 5.0): (4 + 2 * mean) / 4, ("b", 1, 7.0): mean, (None, 0, 2.0): mean, ("c", 1, None): mean}
     assert got == pytest.approx(want)
+
+
+def brute_split(x, g, l1, l2):
+    """(gain, feature, cut) of the best cut over all bins, by trying each."""
+    shrink = lambda v: np.sign(v) * max(abs(v) - l1, 0.0)
+    worth = lambda part: shrink(part.sum()) ** 2 / (len(part) + l2)
+    best = (0.0, -1, -1)
+    for f in range(x.shape[1]):
+        for cut in np.unique(x[:, f])[:-1]:
+            low = x[:, f] <= cut
+            gain = worth(g[low]) + worth(g[~low]) - worth(g)
+            if gain > best[0] + 1e-12:
+                best = (gain, f, int(cut))
+    return best
+
+
+def test_one_round_equals_a_search_of_all_cuts(spark):
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.normal(size=300), rng.integers(0, 4, 300), rng.uniform(size=300)])
+    y = np.where(x[:, 0] > 0.2, 1.0, -0.5) + 0.4 * x[:, 1] + rng.normal(0, 0.1, 300)
+    frame = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=["a", "b", "c", "y"])).repartition(4)
+    model = boosted.fit(frame, ["a", "b", "c"], "y", rounds=1, depth=2, step=1.0, row_share=1.0, column_share=1.0, l1=0.3, l2=2.0, bins=16)
+    tree, bins = model.trees[0], model.bins(x)
+    g = y.mean() - y
+    gain, feature, cut = brute_split(bins, g, 0.3, 2.0)
+    assert (tree.feature[0], tree.cut[0]) == (feature, cut)
+    for side, node in ((bins[:, feature] <= cut, tree.low[0]), (bins[:, feature] > cut, tree.high[0])):
+        assert (tree.feature[node], tree.cut[node]) == brute_split(bins[side], g[side], 0.3, 2.0)[1:]
+        for part, at in ((bins[:, tree.feature[node]] <= tree.cut[node], tree.low[node]), (bins[:, tree.feature[node]] > tree.cut[node], tree.high[node])):
+            own = g[side & part]
+            assert tree.value[at] == pytest.approx(-np.sign(own.sum()) * max(abs(own.sum()) - 0.3, 0) / (len(own) + 2.0))
+
+
+def test_boosting_learns_and_scores_alike(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 4))
+    x[::17, 2] = np.nan
+    y = np.sin(2 * x[:, 0]) + (x[:, 1] > 0) * 0.7 + rng.normal(0, 0.05, 600)
+    frame = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=["a", "b", "c", "d", "y"])).repartition(3)
+    model = boosted.fit(frame, ["a", "b", "c", "d"], "y", rounds=23, depth=3, step=0.3)
+    assert len(model.trees) == 23
+    scored = boosted.score(model, frame, "p").toPandas()
+    assert np.allclose(scored["p"], model.predict(scored[["a", "b", "c", "d"]].to_numpy(float)))
+    assert np.mean((scored["p"] - scored["y"]) ** 2) < 0.15 * np.var(y)

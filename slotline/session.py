@@ -87,6 +87,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows may be long texts: what a Python worker gets at a time is bounded by bytes, not only by rows. A bound set in another unit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(name).rstrip("bB")
+    if known.isdigit() and int(known) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Staging:
     """Owner of the intermediate tables of one operator.
 
@@ -98,6 +109,7 @@ class Staging:
 
     def __init__(self, spark: SparkSession, label: str = "stage") -> None:
         self.spark, self.label, self.paths = spark, label, {}
+        bound_batches(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.label}-{name}")

@@ -220,9 +220,16 @@ class Linker:
 
 
 def shared_regions(spread: DataFrame) -> DataFrame:
-    """Regions of ``spread`` (region, root, ...) that hold more than one component."""
-    ends = spread.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return ends.filter("low < high").select("region")
+    """Regions of ``spread`` (region, item, root, ...) that hold more than one component, one for each set of members.
+
+    Alike items share many regions, and regions with the same members ask for the same pairs. Members are told apart by two 64-bit hashes, summed by halves,
+    so that an item that comes up again changes the sum and two different sets are never taken for one.
+    """
+    half = F.lit((1 << 32) - 1)
+    hashes = [F.xxhash64(F.lit(k), "item") for k in (1, 2)]
+    sums = [F.sum(x).alias(f"_s{k}") for k, x in enumerate([y for h in hashes for y in (h.bitwiseAND(half), F.shiftrightunsigned(h, 32))])]
+    ends = spread.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("_n"), *sums)
+    return ends.filter("low < high").groupBy("_n", "_s0", "_s1", "_s2", "_s3").agg(F.min("region").alias("region")).select("region")
 
 
 def ask_pivots(linker: Linker, members: DataFrame, pivots: int = 1) -> None:

@@ -137,10 +137,12 @@ def classes(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: st
     """Per row of ``docs``: id, n_shingles, item (its set) and root (its component, as an item; null without words)."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = held.keep(_summaries(plain, _frequent(plain)), "summaries")
-    full = rows.filter("size > 0")
-    # Copies of a set fall together in the grouped minimum.
+    told = held.keep(rows.select("id", F.col("size").cast("long").alias("n_shingles"), "item"), "rows")
+    # Copies of a set fall together in the grouped minimum; from here on sets are worked on, not rows.
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "content")).alias("at")
-    one = held.keep(full.groupBy("item").agg(first, F.min("size").alias("n"), F.first("marks").alias("marks"), F.first("least").alias("least")), "sets")
+    own = [F.first(c).alias(c) for c in ("marks", "least", "prefix")]
+    one = held.keep(rows.filter("size > 0").groupBy("item").agg(first, F.min("size").alias("n"), *own), "sets")
+    held.drop("summaries")
     chosen = one.select("item", "at.id", "at.content")
 
     def texts_of(items: DataFrame) -> DataFrame:
@@ -151,12 +153,12 @@ def classes(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: st
     # nothing but one group of copies are settled before any of their rows moves.
     met = one.select(F.explode("least").alias("region"), "item", F.col("n").alias("size"))
     ask_pivots(linker, met)
-    spread = linker.rooted(full.select("item", "size", "prefix")).select(F.explode("prefix").alias("region"), "item", "size", "root")
+    sets = linker.rooted(one.select("item", F.col("n").alias("size"), "prefix"))
+    spread = sets.select(F.explode("prefix").alias("region"), "item", "size", "root")
     shared = held.keep(shared_regions(spread), "shared")
     few = shared.count() <= REGIONS
-    members = held.keep(spread.drop("root").join(F.broadcast(shared) if few else shared, "region").distinct(), "members")
+    members = held.keep(spread.drop("root").join(F.broadcast(shared) if few else shared, "region"), "members")
     roots = link(members, linker) if not members.isEmpty() else linker.labels
-    told = rows.select("id", F.col("size").cast("long").alias("n_shingles"), "item")
     if roots is None:
         return told.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("item")))
     joined = told.join(roots.select(F.col("node").alias("item"), "root"), "item", "left")

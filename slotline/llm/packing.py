@@ -29,7 +29,7 @@ REOPENED = 3  # full bins that go on to the next level with each underfull one
 STUCK = 0.98  # the levels end when hardly a piece found its place in the last one
 END = 1
 PARTNERS = 12
-WORDS_KEPT, LONGEST_KEPT = 400_000, 64
+WORDS_KEPT, LONGEST_KEPT = 200_000, 64
 
 #: Letters that composition leaves alone and that have one lower case, then marks that the tokenizer keeps apart from letters.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|#$%&*()\"-]*)")

@@ -18,23 +18,10 @@ from slotline.session import stage
 def order_bits(value: str | Column) -> Column:
     """The bits of a double as a whole number in the same order: sign, then exponent, then fraction. Infinite values have their place, both zeros share one.
 
-    Built from powers of two, by which division and multiplication are exact. NaN has no place and must be left out.
+    Asked of the JVM once per row; the result is not worked out again where several expressions use it. NaN has no place and must be left out.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.abs(v)
-    two = F.lit(2.0)
-    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
-    # The logarithm may be off by one next to a power of two.
-    exponent = guess + F.when(size >= F.pow(two, guess + 1), 1.0).otherwise(0.0) - F.when(size < F.pow(two, guess), 1.0).otherwise(0.0)
-    whole = F.lit(float(1 << 52))
-    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + ((size / F.pow(two, exponent) - 1) * whole).cast("long")
-    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = (
-        F.when(size == 0, F.lit(0).cast("long"))
-        .when(size == F.lit(float("inf")), F.lit(0x7FF << 52))
-        .when(size < F.lit(2.0**-1022), tiny)
-        .otherwise(normal)
-    )
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(v)).cast("long")
     return F.when(v < 0, -bits).otherwise(bits)
 
 

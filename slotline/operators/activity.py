@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,13 +125,10 @@ def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, buc
     )
     order = Window.partitionBy("_client", "_bucket").orderBy("_us")
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    # Differences of running counts: a sliding frame would look at the whole window again for every row.
+    seen = lambda shift: F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, shift))
     return (
-        rows.withColumns(
-            {
-                "offered": F.count(F.lit(1)).over(order.rangeBetween(-(reach - 1), 0)),
-                "earlier": F.count(F.lit(1)).over(order.rangeBetween(-(reach - 1), -1)),
-            }
-        )
+        rows.withColumns({"offered": seen(0) - seen(-reach), "earlier": seen(-1) - seen(-reach)})
         .where(F.col("_bucket") == F.col("_home"))
         .withColumn("_start", F.max(F.when(F.col("earlier") == 0, F.col("_us"))).over(upto))
         .drop("_home")
@@ -138,6 +136,8 @@ def _rated(requests: DataFrame, client: str, time: str, window_seconds: int, buc
 
 
 BLOCK = 50_000  # rows that one task replays at a time
+SPAN = 100  # blocks whose starts one task works out at a time, from instants alone
+TRIES = 3  # rounds in which spans behind an unsettled one are worked out as well
 
 
 def _replay(times, groups, start: list[int], limit: int, reach: int) -> tuple[list, list, list, list[int]]:
@@ -164,57 +164,85 @@ def _replay(times, groups, start: list[int], limit: int, reach: int) -> tuple[li
     return ok, left, wait, [int(x) for x in admitted]
 
 
+def _window_after(times: np.ndarray, start: list[int], limit: int, reach: int) -> list[int]:
+    """Admitted instants in the window at the end of one burst's sorted ``times``: what ``_replay`` leaves, found by jumps over what is denied."""
+    admitted, at = deque(start), 0
+    while at < len(times):
+        if len(admitted) >= limit:
+            if times[at] - admitted[0] < reach:
+                at += int(np.searchsorted(times[at:], admitted[0] + reach))
+                continue
+            admitted.popleft()
+        admitted.append(int(times[at]))
+        at += 1
+    return [x for x in admitted if times[-1] - x < reach]
+
+
 def _replayed(busy: DataFrame, keep: list[str], schema: T.StructType, order: list[str], limit: int, reach: int) -> DataFrame:
     """Overloaded bursts replayed in blocks of ``BLOCK`` rows, whatever client they belong to.
 
-    Every block is first replayed from an empty window, all at once. Its end is then the start of the next one if that goes on with the same burst; blocks
-    whose start turns out to be another than assumed are replayed again, and so on until no start changes. A lull within a block makes its end
-    independent of its start, so a change seldom travels far; with none it travels a block per round.
+    A block's end depends on its start only if the block lies within one burst; such a block is one row with its instants. The starts of ``SPAN``
+    blocks are worked out at a time, which takes a search per admitted request. Every span first begins with an empty window, all at once; its end is
+    then the start of the next one if that goes on with the same burst, and spans whose start turns out to be another than assumed are done again until no
+    start changes. A lull makes an end independent of the start, so a change seldom travels far; with none it travels a span per round, and after
+    ``TRIES`` rounds only the spans that it has reached are done again. Then all blocks are replayed, each once.
     """
     numbered = row_numbers(busy, [F.col(c) for c in order])
     blocks = numbered.withColumn("_block", F.floor(F.col("row_no") / BLOCK).cast("long"))
     blocks = stage(blocks.withColumn("_group", F.concat_ws("\0", "_client", F.col("_burst").cast("string"))), "blocks")
-    narrow = blocks.select("_block", "row_no", "_group", "_us")
-    ends_schema = "_block long, _head string, _tail string, _end array<long>"
 
-    def end_of(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["_block", "_head", "_tail", "_end"])
+    def tell(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_no")
-        groups = rows["_group"].tolist()
-        start = list(states["_start"].iloc[0]) if len(states) else []
-        end = _replay(rows["_us"].tolist(), groups, start, limit, reach)[3]
-        return pd.DataFrame([(rows["_block"].iloc[0], groups[0], groups[-1], end)], columns=["_block", "_head", "_tail", "_end"])
-
-    def ends(rows: DataFrame, starts: DataFrame) -> DataFrame:
-        return stage(rows.groupBy("_block").cogroup(starts.groupBy("_block")).applyInPandas(end_of, ends_schema), "ends")
-
-    def starts_from(known: DataFrame) -> DataFrame:
-        """(_block, _start) of the blocks that go on with the burst of the one before, where its window is not empty."""
-        before = known.select((F.col("_block") + 1).alias("_block"), F.col("_tail").alias("_head"), F.col("_end").alias("_start"))
-        return known.select("_block", "_head").join(before, ["_block", "_head"]).where(F.size("_start") > 0).select("_block", "_start")
-
-    used = narrow.limit(0).select("_block", F.array().cast("array<long>").alias("_start"))
-    known = ends(narrow, used)
+        groups, times = rows["_group"].to_numpy(), rows["_us"].to_numpy("int64")
+        head, tail = groups[0], groups[-1]
+        end = None if head == tail else _window_after(times[groups == tail], [], limit, reach)
+        return pd.DataFrame({"_block": [rows["_block"].iloc[0]], "_head": [head], "_tail": [tail], "_known": [end], "_times": [times.tobytes() if head == tail else None]})
+
+    told = blocks.select("_block", "row_no", "_group", "_us").groupBy("_block").applyInPandas(tell, "_block long, _head string, _tail string, _known array<long>, _times binary")
+    told = stage(told.withColumn("_span", F.floor(F.col("_block") / SPAN).cast("long")), "told")
+    states = "_span long, _block long, _head string, _tail string, _start array<long>, _end array<long>"
+
+    def follow(rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        out, before = [], None
+        start = list(first["_start"].iloc[0]) if len(first) else []
+        for row in rows.sort_values("_block").itertuples(index=False, name=None):
+            span, block, head, tail, end, times = row
+            if before is not None and before != head:
+                start = []
+            end = list(end) if head != tail else _window_after(np.frombuffer(times, "int64"), start, limit, reach)
+            out.append((span, block, head, tail, start, end))
+            before, start = tail, end
+        return pd.DataFrame(out, columns=["_span", "_block", "_head", "_tail", "_start", "_end"])
+
+    def followed(rows: DataFrame, first: DataFrame) -> DataFrame:
+        rows = rows.select("_span", "_block", "_head", "_tail", "_known", "_times")
+        return rows.groupBy("_span").cogroup(first.groupBy("_span")).applyInPandas(follow, states)
+
+    def changed_in(known: DataFrame) -> DataFrame:
+        """(_span, _start) of the spans that begin otherwise than was assumed. From here on, tables have a row per block or fewer."""
+        last = known.where((F.col("_block") + 1) % SPAN == 0)
+        before = last.select((F.col("_block") + 1).alias("_block"), F.col("_tail").alias("_head"), F.col("_end").alias("_right"))
+        first = known.where(F.col("_block") % SPAN == 0).join(before, ["_block", "_head"], "left")
+        right = F.coalesce("_right", F.array().cast("array<long>"))
+        return first.where(right != F.col("_start")).select("_span", right.alias("_start"))
+
+    none = told.limit(0).select("_span", F.array().cast("array<long>").alias("_start"))
+    known, tries = stage(followed(told, none), "known"), 0
     while True:
-        starts = stage(starts_from(known), "starts")
-        none = F.array().cast("array<long>")
-        changed = starts.join(used.withColumnRenamed("_start", "_used"), "_block", "full").where(F.coalesce("_start", none) != F.coalesce("_used", none))
-        changed = stage(changed.select("_block"), "changed")
+        changed, tries = stage(changed_in(known), "changed"), tries + 1
         if changed.isEmpty():
             break
-        # One row per block.
-        again = ends(narrow.join(changed, "_block", "left_semi"), starts.join(changed, "_block", "left_semi"))
-        known = stage(known.join(changed, "_block", "left_anti").unionByName(again), "known")
-        used = starts
+        if tries > TRIES:
+            changed = changed.join(changed.select((F.col("_span") + 1).alias("_span")), "_span", "left_anti")
+        again = followed(told.join(F.broadcast(changed.select("_span")), "_span", "left_semi"), changed)
+        known = stage(known.join(changed, "_span", "left_anti").unionByName(again), "known")
 
     def judge(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_no")
-        start = list(states["_start"].iloc[0]) if len(states) else []
-        ok, left, wait, _ = _replay(rows["_us"].tolist(), rows["_group"].tolist(), start, limit, reach)
+        ok, left, wait, _ = _replay(rows["_us"].tolist(), rows["_group"].tolist(), list(states["_start"].iloc[0]), limit, reach)
         return rows[keep].assign(allowed=ok, remaining=left, retry_after=wait)
 
-    return blocks.groupBy("_block").cogroup(used.groupBy("_block")).applyInPandas(judge, schema)
+    return blocks.groupBy("_block").cogroup(known.select("_block", "_start").groupBy("_block")).applyInPandas(judge, schema)
 
 
 def rate_admission(

@@ -165,6 +165,32 @@ def test_hot_client_in_blocks(spark, monkeypatch, block):
     assert {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in got} == want
 
 
+@pytest.mark.parametrize("span, tries, most", [(100, 3, 12), (4, 3, 60), (3, 0, 90)])
+def test_burst_without_a_lull_takes_a_round_per_span(spark, monkeypatch, span, tries, most):
+    """One client, 30 requests a window, 50 blocks: a round per block would write 200 tables and more."""
+    tables = []
+    for name, value in {"BLOCK": 8, "SPAN": span, "TRIES": tries}.items():
+        monkeypatch.setattr(activity, name, value)
+    monkeypatch.setattr(activity, "stage", lambda df, label="stage": tables.append(label) or stage(df, label))
+    rng, at, rows = random.Random(4), 0, []
+    for i in range(400):
+        at += rng.randrange(1, 660_000)
+        rows.append((i, "hot", START + timedelta(microseconds=at)))
+    frame = spark.createDataFrame(rows, "request_id int, client_host string, created_at timestamp").repartition(3)
+    got = activity.rate_admission(frame, limit=3, window_seconds=10).collect()
+    want, inside, gap = {}, deque(), timedelta(seconds=10)
+    for i, _, t in rows:
+        while inside and t - inside[0] >= gap:
+            inside.popleft()
+        if len(inside) >= 3:
+            want[i] = (False, 0, max(1, (gap - (t - inside[0])) // timedelta(seconds=1)))
+        else:
+            inside.append(t)
+            want[i] = (True, 3 - len(inside), 0)
+    assert {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in got} == want
+    assert len(tables) <= most
+
+
 @pytest.mark.parametrize("full", [3, 40, 10**6])
 def test_asof_with_a_crowded_minute(spark, full):
     rng = random.Random(4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotline import fixed
@@ -13,6 +13,7 @@ from slotline.operators.asof import asof_join
 from slotline.session import stage
 
 GRID_LEVELS = 24  # of the first pass
+RINGS = 8  # radii that are tried for each place
 DEEPEST = 60  # cell numbers fit in 64 bits; no two doubles share a cell that deep unless they are next to each other
 
 
@@ -42,9 +43,9 @@ def knn_graph(
 
     Sites are laid on nested grids (level ``l`` splits the extent into ``2**l`` cells per side). Each place
     picks its finest level whose 3x3 block holds at least k + 1 sites; then its k nearest lie within
-    2*sqrt(2) cells, so a 7x7 block of that level contains all of them. The candidates come from an equi
-    join on (level, cell). Because the next finer block held fewer than k + 1 sites, a candidate meets only a
-    bounded number of sources: the work is linear in the number of sites. A block that holds more than ``crowd`` sites at the finest level of the first pass is
+    2*sqrt(2) cells, so a 7x7 block of that level contains all of them. Counts by radius in the 3x3 block tell how far to look, so that of the 7x7 block
+    only the cells within that radius are asked and only what lies within it is ranked. The candidates come from an equi join on (level, cell). Because the next finer
+    block held fewer than k + 1 sites, a candidate meets only a bounded number of sources: the work is linear in the number of sites. A block that holds more than ``crowd`` sites at the finest level of the first pass is
     cut further, so that a spot of a millimetre in a country costs no more than the country. Sites sharing a coordinate
     are one place in the search, of which only the first k + 1 keys can ever be among the nearest
     (ties go to the smaller key), so a pile of co-located sites stays linear too.
@@ -64,8 +65,8 @@ def knn_graph(
         F.min("_lon").alias("lon0"),
         F.greatest(F.max("_lat") - F.min("_lat"), F.max("_lon") - F.min("_lon"), F.lit(1e-12)).alias("side"),
     ).first()
-    # Cells of the last of these levels are far smaller than an even spread would need.
-    levels = min(GRID_LEVELS, 8 + math.ceil(math.log2(math.sqrt(max(frame["n"] or 1, 1)) + 1)))
+    # Cells of the last of these levels are smaller than an even spread would need; fuller spots are cut further below.
+    levels = min(GRID_LEVELS, 5 + math.ceil(math.log2(math.sqrt(max(frame["n"] or 1, 1)) + 1)))
 
     def cells(df: DataFrame, reach: int = 0) -> DataFrame:
         """Cell of each row at its ``_level``, or the block of cells around it."""
@@ -123,10 +124,39 @@ def knn_graph(
             "picked",
         )
     chosen = picked.drop("_in")
-    sources = cells(chosen, reach=3).withColumnsRenamed({"_lat": "_slat", "_lon": "_slon"})
-    candidates = sources.join(gridded, ["_level", "_x", "_y"]).withColumn(
-        "distance", F.expr("sqrt(power(_lat - _slat, 2) + power(_lon - _slon, 2))")
+    # A table of the levels in use, at most ``DEEPEST`` rows: what lies on other levels need not move.
+    used = [r["_level"] for r in chosen.select("_level").distinct().collect()]
+    gridded = gridded.where(F.col("_level").isin(used))
+    side = frame["side"] or 1.0
+    step = f"({side!r}D / power(2D, _level))"
+    distance = F.expr("sqrt(power(_lat - _slat, 2) + power(_lon - _slon, 2))")
+    # The 3x3 block has k + 1 sites, so the least of some radii that reaches as many of them reaches all of the nearest. Counts need no sort.
+    radius = lambda j: F.expr(f"{step} * {2.83 * j / RINGS!r}D")
+    whole_block = F.expr(f"{step} * 6 + {1e-14 * side!r}D")  # where rounding counts or there are few sites
+    beside = cells(chosen, reach=1).withColumnsRenamed({"_lat": "_slat", "_lon": "_slon"})
+    rings = (
+        beside.join(gridded.select("_level", "_x", "_y", "_lat", "_lon", F.size("_keys").alias("_n")), ["_level", "_x", "_y"])
+        .withColumn("distance", distance)
+        .groupBy("_slat", "_slon", "_level")
+        .agg(*[F.sum(F.when(F.col("distance") <= radius(j), F.col("_n"))).alias(f"_r{j}") for j in range(1, RINGS + 1)])
+        .withColumn("_reach", F.coalesce(*[F.when(F.col(f"_r{j}") >= k + 1, radius(j)) for j in range(1, RINGS + 1)], whole_block))
+        .select("_slat", "_slon", "_level", "_reach")
     )
+
+    # Only cells that the radius touches, with room for rounding; never more than the 7x7 block.
+    def touched(at: str) -> Column:
+        cell = lambda place, shift: f"CAST(floor({place} / {step}) AS BIGINT) {shift}"
+        low = f"greatest({cell(f'({at} - _wide)', '')}, {cell(at, '- 3')})"
+        return F.expr(f"explode(sequence({low}, least({cell(f'({at} + _wide)', '')}, {cell(at, '+ 3')})))")
+
+    around = (
+        stage(rings, "reach")
+        .withColumn("_wide", F.col("_reach") * 1.000000001 + 1e-15 * side)
+        .withColumn("_x", touched(f"(_slat - ({frame['lat0'] or 0.0!r}D))"))
+        .withColumn("_y", touched(f"(_slon - ({frame['lon0'] or 0.0!r}D))"))
+        .drop("_wide")
+    )
+    candidates = around.join(gridded, ["_level", "_x", "_y"]).withColumn("distance", distance).where(F.col("distance") <= F.col("_reach"))
     # k + 1 nearest keys of each place; a site then drops itself and keeps k.
     near = Window.partitionBy("_slat", "_slon").orderBy("distance", neighbour)
     listed = (

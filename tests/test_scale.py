@@ -230,6 +230,25 @@ def test_sites_within_a_hair(spark):
         assert sorted(got[f"s{i:05d}"]) == sorted((float(x), f"s{j:05d}") for j, x in enumerate(gaps) if j != i)[:3]
 
 
+def test_few_candidates_within_reach(spark, monkeypatch):
+    """Only what lies within a radius with k + 1 sites is ranked, not the whole 7x7 block; lines, ties and piles included."""
+    tables = {}
+    monkeypatch.setattr(spatial, "stage", lambda df, label="stage": tables.setdefault(label, stage(df, label)))
+    rng = np.random.default_rng(6)
+    lattice = np.array([(80.0 + i, 5.0 + j) for i in range(9) for j in range(9)])
+    line = np.column_stack([np.linspace(60, 61, 40), np.full(40, -7.0)])
+    points = np.concatenate([rng.uniform(0, 50, (1500, 2)), lattice, line, np.repeat([[70.0, 70.0]], 7, axis=0), [[-900.0, 4.0]]])
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "system_code int, latitude double, longitude double")
+    got = {}
+    for r in spatial.knn_graph(frame).collect():
+        got.setdefault(r.system_code, []).append((r.distance, r.neighbor_code))
+    for i, at in enumerate(points):
+        gaps = np.sqrt(((points - at) ** 2).sum(axis=1))
+        assert sorted(got[i]) == sorted((float(x), j) for j, x in enumerate(gaps) if j != i)[:3]
+    inside = [int((np.sqrt(((points - (r["_slat"], r["_slon"])) ** 2).sum(axis=1)) <= r["_reach"]).sum()) for r in tables["reach"].collect()]
+    assert len(inside) == len(points) - 6 and min(inside) >= 4 and np.mean(inside) < 10
+
+
 # --- models ----------------------------------------------------------------------
 
 

@@ -19,15 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotline.llm.common import row_key, unwrapped, wrapped
-from slotline.llm.linking import Linker, bitmap, link, listed, shared_regions
-from slotline.llm.ngram_join import mixed
-from slotline.session import Staging
+from slotline.llm.linking import bitmap, link, listed, mixed, shared_regions
+from slotline.session import Staging, free_shuffles
 
 SHINGLE, BANDS, ROWS, PERCENT, SEED = 8, 10, 3, 75, 17
 CHUNK = 200_000  # characters hashed at a time
 WRITTEN = 2_000_000  # characters whose lines are handed over at a time
-REGIONS = 2_000_000  # shared bands (8 bytes each) that are broadcast; more are joined by a shuffle
-
 
 NO_BANDS = np.zeros(0, np.int64)
 
@@ -139,18 +136,22 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sets_of(lines: list[str]) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes([x])[0]).view(np.int64) for x in lines]
+    sets = []
+    for part in in_chunks(lines):
+        hashes, firsts = shingle_hashes(part)
+        sets += [np.unique(x).view(np.int64) for x in np.split(hashes, firsts[1:])]
+    return sets
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """(item, n, marks) of lines (item, text): size and bitmap of their shingle sets."""
+    """(item, size, marks) of lines (item, text): size and bitmap of their shingle sets."""
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = sets_of(frame["text"].tolist())
-            yield pd.DataFrame({"item": frame["item"], "n": np.array([len(s) for s in sets], np.int32), "marks": [bitmap(s) for s in sets]})
+            yield pd.DataFrame({"item": frame["item"], "size": np.array([len(s) for s in sets], np.int32), "marks": [bitmap(s) for s in sets]})
 
-    return texts.mapInPandas(one, "item long, n int, marks array<long>")
+    return texts.mapInPandas(one, "item long, size int, marks binary")
 
 
 def marked(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,22 +159,19 @@ def marked(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: str
     plain = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = held.keep(_spread(plain), "lines")
     lines = every.filter("place >= 0")
-    spread = lines.filter(F.size("bands") > 0).select(F.explode("bands").alias("region"), "item", F.col("item").alias("root"))
-    # A line that fills a third of all rows falls together in the grouped minimum, before anything moves.
-    shared = held.keep(shared_regions(spread), "shared")
-    few = shared.count() <= REGIONS
-    members = spread.drop("root").join(F.broadcast(shared) if few else shared, "region").distinct()
-    members = held.keep(members, "members")
+    told = lines.filter(F.size("bands") > 0)
+    spread = told.select(F.explode("bands").alias("region"), "item")
+    members = held.keep(shared_regions(spread, told.count() * BANDS), "members")
     # Null ids come last, so that a line with a known document is kept rather.
     order = F.struct(F.col("id").isNull().alias("n"), "id", "key", "place")
     firsts = held.keep(lines.groupBy("item").agg(F.min(order).alias("at")), "firsts")
+    free_shuffles(docs.sparkSession)
     roots = None
     if not members.isEmpty():
         wanted = firsts.join(members.select("item").distinct(), "item").select("item", "at.key", "at.place")
         texts = held.keep(_texts(plain, held.keep(wanted, "wanted")), "texts")
         sketches = held.keep(_sketched(texts), "sketches")
-        sized = held.keep(members.join(sketches.select("item", F.col("n").alias("size")), "item"), "sized")
-        roots = link(sized, Linker(lambda items: texts.join(items, "item"), sets_of, PERCENT, held, sketches))
+        roots = link(members, sketches, lambda items: texts.join(items, "item"), sets_of, PERCENT, held)
     if roots is not None:
         rooted = firsts.join(roots.select(F.col("node").alias("item"), "root"), "item", "left")
         firsts = rooted.groupBy(F.coalesce("root", "item").alias("root")).agg(F.min("at").alias("at"))

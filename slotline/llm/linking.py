@@ -1,12 +1,15 @@
 """Links between sets that are alike, found region by region, and the connected components they form.
 
-A region is a group of items that share a key (a shingle, a band). Its smallest item is the pivot; every member's exact
-similarity to the pivot is worked out once per pair, whatever the number of regions that ask for it. Bitmaps, where the
-caller has some, rule most pairs out before texts are fetched; texts move rather than elements, which are several times as large.
-Members linked to the pivot are connected, so no pair among them is looked at, and a region of one component is settled. Each item first asks one pivot
-only, which settles most regions. Regions that are still large meet again around other pivots; what is left meets pair by pair, but only across components and
-where the triangle inequality allows it: Jaccard distance is a metric, so two items whose distances to a pivot differ by more than the
-threshold are no link. Rings around the pivot, as wide as the threshold, hold these windows: a ring meets itself and the next one.
+A region is a group of items that share a key (a shingle, a band). Regions with the same members are one. What moves grows with the memberships, never with
+the pairs: members meet once in a region, each with a bitmap of its set, and tasks rule out by bitmaps which of them can be alike. Those that can be are connected to clusters,
+one row per item, and only their texts move, once, to where their cluster is settled exactly.
+
+There items are pivots in turn. A pivot's exact distances to the members that are not connected yet come from one pass over their elements; those near enough are
+connected and become pivots next, so a group of copies takes one pass. Jaccard distance is a metric, so two items whose distances to an earlier
+pivot differ by more than the threshold are no link: only the ring around a pivot is compared with it.
+
+Groups beyond ``CELL`` members are cut into chunks. Each chunk, with a few members that all of them have, is connected by itself first; then only what is outside the largest component
+of a group meets the other chunks, so a large group of copies is dealt once, not squared.
 """
 
 from __future__ import annotations
@@ -20,16 +23,30 @@ from pyspark.sql import functions as F
 
 from slotline.session import Staging
 
-ROUNDS = 3  # pivots per region before the rest is compared pair by pair
-PIVOTS = 6  # pivots per region in the second round
 FEW = 500_000  # links that one task may join
-BITS = 1024  # of the smallest bitmap that rules pairs out before their texts are fetched
-CELL = 512  # members that one task compares with each other or with as many others
-KEPT = 4_000_000  # elements of sets that a task keeps while it compares
-HOT = 4096  # pairs of one pivot that one task compares; its text is repeated for more
+LEAST_BITS, MOST_BITS = 128, 1 << 16  # of a bitmap; larger sets than that may meet in vain
+CELL = 2048  # members of a chunk; a task compares those of one or two
+LOAD = 2_000_000  # characters of a chunk
+COMMON = 16  # members that all chunks of a group have in common, about
+SMALL = 24  # members of a group whose pairs are listed at once with those of other groups
+PIVOTS = 3  # pivots whose distances are kept as rings
+BLOCK = 1 << 16  # pairs whose bitmaps are compared at once
+PART = 1_000_000  # memberships that one task sorts
 SHORT = 200_000  # rows of a list that is broadcast
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of ``x``, sorted, each once; for short arrays this takes a fraction of the time of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of links (a, b) and the smallest node that each is connected with, by minima and pointer jumping."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -81,251 +98,280 @@ def components(links: DataFrame, held: Staging, name: str, few: int = FEW) -> Da
     )
 
 
-def near_enough(shared: Column, together: Column, percent: int) -> Column:
-    return shared * 100 >= together * percent
-
-
 def listed(rows: DataFrame) -> DataFrame:
     """``rows`` for a join: broadcast when they are few by count, else left to a shuffle."""
     return F.broadcast(rows) if rows.limit(SHORT + 1).count() <= SHORT else rows
 
 
-class Sets(dict):
-    """Distinct elements by item, ascending; emptied when it holds ``KEPT`` elements, so memory is bounded."""
-
-    def __init__(self, sets_of: Callable[[list[str]], list[np.ndarray]]) -> None:
-        super().__init__()
-        self.sets_of, self.size = sets_of, 0
-
-    def of(self, item: int, text: str) -> np.ndarray:
-        found = self.get(item)
-        if found is None:
-            found = np.sort(self.sets_of([text])[0])
-            if self.size + len(found) > KEPT:
-                self.clear()
-                self.size = 0
-            self[item] = found
-            self.size += len(found)
-        return found
-
-
-def shared_elements(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x):
-        return 0
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int(np.count_nonzero(y[at] == x))
-
+def shared_regions(spread: DataFrame, rows: int) -> DataFrame:
+    """(group, item), distinct, of the regions of ``spread`` (region, item; about ``rows`` of them) that hold more than one item.
 
-def compared(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of intersection and union of their sets, made from ``texts`` (item, text) where pairs meet.
-
-    A pivot ``b`` with more than ``HOT`` pairs is dealt to several tasks.
+    Alike items share many regions, and regions with the same members ask for the same pairs: a group is named by a hash of its members, so
+    these become one. Two different groups under one name would be one larger group, which loses nothing.
     """
-    left = texts.select(F.col("item").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("item").alias("b"), F.col("text").alias("_y"))
-    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_salts")).filter("_salts > 1")
-    many = hot.agg(F.max("_salts")).first()[0]
-    if many is None:
-        both = pairs.join(left, "a").join(right, "b")
-    else:
-        salted = right.join(listed(hot), "b", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        dealt = pairs.join(listed(hot), "b", "left").withColumn("_salt", F.pmod(F.xxhash64("a"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-        both = dealt.join(left, "a").join(salted, ["b", "_salt"])
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Sets(sets_of)
-        for frame in frames:
-            shared, together = np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int32)
-            for k, (a, b, x, y) in enumerate(zip(frame["a"], frame["b"], frame["_x"], frame["_y"])):
-                other, mine = known.of(b, y), known.of(a, x)
-                shared[k] = shared_elements(mine, other)
-                together[k] = len(mine) + len(other) - shared[k]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "shared": shared, "together": together})
-
-    return both.select("a", "b", "_x", "_y").mapInPandas(one, "a long, b long, shared int, together int")
-
-
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    """Bits, as 64-bit integers, in which each element marks one: a power of two of them, at least twice the elements."""
-    width = max(BITS, 1 << (2 * len(elements)).bit_length())
+        parts = [(f["region"].to_numpy(), f["item"].to_numpy()) for f in frames if len(f)]
+        if not parts:
+            return
+        region, item = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.argsort(region)
+        region, item = region[order], item[order]
+        again = region[1:] == region[:-1]
+        several = np.append(again, False) | np.append(False, again)
+        region, item = region[several], item[several]
+        order = np.lexsort((item, region))
+        region, item = region[order], item[order]
+        first = np.append(True, (region[1:] != region[:-1]) | (item[1:] != item[:-1]))[: len(region)]
+        region, item = region[first], item[first]
+        if not len(region):
+            return
+        starts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        counts = np.diff(np.append(starts, len(region)))
+        names = mixed(np.add.reduceat(mixed(item.view(np.uint64)), starts) + counts.astype(np.uint64)).view(np.int64)
+        wanted = np.zeros(len(starts), bool)
+        wanted[np.unique(names, return_index=True)[1]] = True
+        wanted = np.repeat(wanted & (counts > 1), counts)
+        yield pd.DataFrame({"group": np.repeat(names, counts)[wanted], "item": item[wanted]})
+
+    return spread.select("region", "item").repartition(rows // PART + 1, "region").mapInPandas(one, "group long, item long").distinct()
+
+
+def bitmap(elements: np.ndarray) -> bytes:
+    """Bits in which each element marks one: a power of two of them, at least the elements up to ``MOST_BITS``."""
+    width = min(max(LEAST_BITS, 1 << (len(elements) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(width, bool)
     bits[elements.view(np.uint64) % np.uint64(width)] = True
-    return np.packbits(bits).view(np.int64)
+    return np.packbits(bits).tobytes()
 
 
-def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) that the bitmaps leave possible.
+class Bitmaps:
+    """Sizes and bitmaps of sets, and which pairs of them can be alike.
 
     Every bit that only one of two sets marks stands for an element the other lacks, so they share at most
-    their size less those bits: no pair that is alike enough is left out, and texts move for the others only. Sets whose sizes
-    are alike have bitmaps of the same or of double width; the wider one is folded.
+    their size less those bits: no pair that is alike enough is ruled out. Of bitmaps of different width the wider is folded.
     """
-    left = marks.select(F.col("item").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
-    right = marks.select(F.col("item").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
-
-    def folded(x: str, y: str) -> Column:
-        half = F.size(y)
-        other = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
-        return F.when(F.size(x) > half, other).otherwise(F.col(x))
 
-    def alone(x: str, y: str) -> Column:
-        bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+    def __init__(self, sizes: np.ndarray, marks: list[bytes], percent: int) -> None:
+        self.sizes, self.percent = sizes.astype(np.int64), percent
+        self.widths = np.fromiter(map(len, marks), np.int64, len(marks)) // 8
+        self.at, self.rows = {}, {}
+        wider, rows = np.zeros(0, np.int64), None
+        for w in np.unique(self.widths)[::-1].tolist():
+            own = np.flatnonzero(self.widths == w)
+            found = np.frombuffer(b"".join([marks[k] for k in own]), np.uint64).reshape(-1, w)
+            if rows is not None:
+                found = np.concatenate([found, np.bitwise_or.reduce(rows.reshape(len(rows), -1, w), axis=1)])
+            wider, rows = np.concatenate([own, wider]), found
+            self.at[w] = np.zeros(len(marks), np.int64)
+            self.at[w][wider] = np.arange(len(wider))
+            self.rows[w] = rows
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = self.sizes[i], self.sizes[j]
+        out = np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
+        width = np.minimum(self.widths[i], self.widths[j])
+        for w in np.unique(width[out]).tolist():
+            here = np.flatnonzero(out & (width == w))
+            at, rows = self.at[w], self.rows[w]
+            for k in range(0, len(here), BLOCK):
+                some = here[k : k + BLOCK]
+                x, y = rows[at[i[some]]], rows[at[j[some]]]
+                both = x & y
+                alone = [np.bitwise_count(z ^ both).sum(axis=1, dtype=np.int64) for z in (x, y)]
+                most = np.minimum(n[some] - alone[0], m[some] - alone[1])
+                out[some] = most * 100 >= (n[some] + m[some] - most) * self.percent
+        return out
+
+
+def connected(roots: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Per member one that it is connected with. ``near`` tells which others a member reaches; members with equal ``roots`` are connected already."""
+    out, rest = np.zeros(len(roots), np.int64), np.arange(len(roots))
+    while len(rest):
+        first = rest[0]
+        here = roots[rest] == roots[first]
+        queue, rest = [rest[here]], rest[~here]
+        out[queue[0]] = first
+        while queue:
+            for p in queue.pop():
+                if not len(rest):
+                    return out
+                hit = near(p, rest)
+                if hit.any():
+                    here = np.isin(roots[rest], roots[rest[hit]])
+                    out[rest[here]] = first
+                    queue.append(rest[here])
+                    rest = rest[~here]
+    return out
+
+
+def whole_cells(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by ``cell``, a few whole cells at a time, and where each begins and the last ends."""
+
+    def told(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        cell = rows["cell"].to_numpy()
+        return rows, np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+
+    kept: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        cell = frame["cell"].to_numpy()
+        if kept and kept[-1]["cell"].iloc[-1] != cell[-1] or cell[0] != cell[-1]:
+            end = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
+            yield told([*kept, frame.iloc[:end]] if end else kept)
+            kept = []
+            frame = frame.iloc[end:]
+        kept.append(frame)
+    if kept:
+        yield told(kept)
+
+
+def as_links(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    """Links (a, b), as few as connect the same."""
+    nodes, roots = _roots(np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]))
+    return pd.DataFrame({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
+
+
+def by_bitmaps(percent: int):
+    """Links of cells of (cell, item, root, size, marks) between those that can be alike."""
 
-    most = F.least(F.col("_n") - alone("_x", "_y"), F.col("_m") - alone("_y", "_x"))
-    both = pairs.join(left, "a").join(right, "b").filter(near_enough(F.least("_n", "_m"), F.greatest("_n", "_m"), percent))
-    both = both.select("a", "b", "_n", "_m", folded("_x", "_y").alias("_x"), folded("_y", "_x").alias("_y"))
-    return both.filter(near_enough(most, F.col("_n") + F.col("_m") - most, percent)).select("a", "b")
+    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, ends in whole_cells(frames):
+            item, root = rows["item"].to_numpy(), rows["root"].to_numpy()
+            maps = Bitmaps(rows["size"].to_numpy(), rows["marks"].tolist(), percent)
+            starts, counts = ends[:-1], np.diff(ends)
+            a, b = [], []
+            for n in np.unique(counts[(counts > 1) & (counts <= SMALL)]).tolist():
+                low, high = np.triu_indices(n, 1)
+                i, j = (np.add.outer(starts[counts == n], k).ravel() for k in (low, high))
+                hit = maps.possible(i, j)
+                a.append(item[i[hit]])
+                b.append(item[j[hit]])
+            for start, n in zip(starts[counts > SMALL], counts[counts > SMALL]):
+                found = connected(root[start : start + n], lambda p, rest: maps.possible(np.full(len(rest), start + p), start + rest))
+                a.append(item[start : start + n])
+                b.append(item[start + found])
+            yield as_links(a, b)
+
+    return one
+
+
+class Ring:
+    """Sets of one cell; ``near`` tells which of ``rest`` a pivot is linked with."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        known, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mine = np.zeros(len(known), bool)
+        self.percent, self.epsilon, self.away = percent, 1 - percent / 100, []
+
+    def near(self, pivot: int, rest: np.ndarray) -> np.ndarray:
+        n, m = self.lengths[pivot], self.lengths[rest]
+        out = np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
+        for far in self.away:
+            # Unknown distances (nan) rule nothing out.
+            out &= ~(np.abs(far[rest] - far[pivot]) > self.epsilon + 1e-6)
+        asked = rest[out]
+        if not len(asked):
+            return out
+        lengths = m[out]
+        before = np.cumsum(lengths) - lengths
+        own = self.codes[self.starts[pivot] : self.starts[pivot] + n]
+        self.mine[own] = True
+        at = np.arange(lengths.sum()) + np.repeat(self.starts[asked] - before, lengths)
+        shared = np.add.reduceat(self.mine[self.codes[at]], before, dtype=np.int64)
+        self.mine[own] = False
+        together = n + lengths - shared
+        if len(self.away) < PIVOTS:
+            far = np.full(len(self.lengths), np.nan)
+            far[asked], far[pivot] = 1 - shared / together, 0.0
+            self.away.append(far)
+        out[out] = shared * 100 >= together * self.percent
+        return out
+
+
+def by_sets(sets_of: Callable[[list[str]], list[np.ndarray]], percent: int):
+    """Links of cells of (cell, item, root, text) between those whose sets of elements, none empty, are alike."""
 
+    def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, ends in whole_cells(frames):
+            item, root = rows["item"].to_numpy(), rows["root"].to_numpy()
+            a, b = [], []
+            for start, end in zip(ends[:-1], ends[1:]):
+                if end - start > 1:
+                    found = connected(root[start:end], Ring(sets_of(rows["text"].iloc[start:end].tolist()), percent).near)
+                    a.append(item[start:end])
+                    b.append(item[start + found])
+            yield as_links(a, b)
 
-class Linker:
-    """Components of items, grown pair by pair: ``told`` compares pairs and takes the links among them in.
+    return one
 
-    ``texts_of`` gives (item, text) for items, ``sets_of`` the distinct elements of texts, ``marks``, if any, (item, n, marks): size and
-    bitmap of every set. Two items are linked when their similarity is at least ``percent``.
-    """
 
-    def __init__(self, texts_of, sets_of, percent: int, held: Staging, marks: DataFrame | None = None) -> None:
-        self.texts_of, self.sets_of, self.percent, self.held, self.marks = texts_of, sets_of, percent, held, marks
-        self.labels: DataFrame | None = None
-        self._turn = 0
-
-    def told(self, pairs: DataFrame) -> DataFrame:
-        """Similarities of those ``pairs`` (a, b) that the bitmaps leave possible."""
-        held, name = self.held, f"-{self._turn}"
-        self._turn += 1
-        asked = held.keep(pairs if self.marks is None else promising(pairs, self.marks, self.percent), f"asked{name}")
-        items = asked.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        texts = held.keep(self.texts_of(items), f"texts{name}")
-        told = held.keep(compared(asked, texts, self.sets_of), f"told{name}")
-        held.drop(f"texts{name}", f"asked{name}")
-        new = told.filter(near_enough(F.col("shared"), F.col("together"), self.percent)).select("a", "b")
-        if not new.isEmpty():
-            before = self.labels
-            if before is not None:
-                new = new.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            self.labels = held.keep(components(new, held, f"step{name}-"), f"labels{name}")
-            for old in [x for x in held.paths if x.startswith("step") or (x.startswith("labels") and x != f"labels{name}")]:
-                held.drop(old)
-        return told
-
-    def rooted(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (item, ...) with the smallest item that each is connected with, as root."""
-        if self.labels is None:
-            return rows.withColumn("root", F.col("item"))
-        return rows.join(self.labels.select(F.col("node").alias("item"), "root"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-
-
-def shared_regions(spread: DataFrame) -> DataFrame:
-    """Regions of ``spread`` (region, item, root, ...) that hold more than one component, one for each set of members.
-
-    Alike items share many regions, and regions with the same members ask for the same pairs. Members are told apart by two 64-bit hashes, summed by halves,
-    so that an item that comes up again changes the sum and two different sets are never taken for one.
-    """
-    half = F.lit((1 << 32) - 1)
-    hashes = [F.xxhash64(F.lit(k), "item") for k in (1, 2)]
-    sums = [F.sum(x).alias(f"_s{k}") for k, x in enumerate([y for h in hashes for y in (h.bitwiseAND(half), F.shiftrightunsigned(h, 32))])]
-    ends = spread.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("_n"), *sums)
-    return ends.filter("low < high").groupBy("_n", "_s0", "_s1", "_s2", "_s3").agg(F.min("region").alias("region")).select("region")
+def _chunks(n: str, load: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / CELL), F.ceil(F.col(load) / LOAD), F.lit(1)).cast("int")
 
 
-def ask_pivots(linker: Linker, members: DataFrame, pivots: int = 1) -> None:
-    """Compare items with pivots of their regions: copies are connected then, and the regions they fill are settled.
+def linked(members: DataFrame, payload: DataFrame, compare, held: Staging, name: str) -> DataFrame:
+    """(node, root) of the items that ``compare`` connects in their groups.
 
-    With one pivot, every item meets the smallest item of one of its regions. With more, members of other components meet that many
-    pivots, picked by hash, of each of their regions: pairs grow with the members, not with their square.
+    ``members`` has distinct rows (group, item, load), ``payload`` what ``compare`` reads, one row per item.
     """
-    if pivots == 1:
-        first = members.groupBy("region").agg(F.min(F.struct("item", "size")).alias("p")).select("region", F.col("p.item").alias("b"), F.col("p.size").alias("_size"))
-        alike = near_enough(F.least("size", "_size"), F.greatest("size", "_size"), linker.percent)
-        pairs = members.join(first, "region").filter((F.col("item") != F.col("b")) & alike).groupBy(F.col("item").alias("a")).agg(F.min("b").alias("b"))
-    else:
-        rooted = linker.rooted(members)
-        picks = [F.min(F.struct(F.xxhash64(F.lit(k), "item").alias("o"), "item", "size", "root")).alias(f"p{k}") for k in range(pivots)]
-        ends = [F.min("root").alias("low"), F.max("root").alias("high")]
-        chosen = rooted.groupBy("region").agg(*ends, *picks).filter("low < high")
-        chosen = chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(pivots)]))).alias("p"))
-        alike = near_enough(F.least("size", "p.size"), F.greatest("size", "p.size"), linker.percent)
-        met = rooted.join(chosen, "region").filter((F.col("root") != F.col("p.root")) & alike)
-        pairs = met.select(F.greatest("item", "p.item").alias("a"), F.least("item", "p.item").alias("b")).distinct()
-    linker.told(pairs)
-    linker.held.drop(*[x for x in linker.held.paths if x.startswith("told")])
-
-
-def link(members: DataFrame, linker: Linker) -> DataFrame | None:
-    """(node, root) of all items that are linked; None when nothing is.
-
-    ``members`` has rows (region, item, size), distinct. The components are those of all pairs that share a
-    region and are alike, and of all links that ``linker`` knows already.
-    """
-    held, percent = linker.held, linker.percent
-    epsilon = 1 - percent / 100
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Rows of the regions that still hold more than one component."""
-        kept = rows.groupBy("region").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("count"))
-        return rows.join(kept.filter("_low < _high").select("region", "count"), "region")
-
-    ask_pivots(linker, members)
-    ask_pivots(linker, members, PIVOTS)
-    left = held.keep(unsettled(linker.rooted(members.select("region", "item", "size"))).drop("count"), "unsettled")
-    # Alike items share many regions; regions with the same members (by two 64-bit sums) ask for the same pairs.
-    sums = [F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"_s{k}") for k in (1, 2)]
-    told_apart = left.groupBy("region").agg(F.count(F.lit(1)).alias("count"), *sums).groupBy("count", "_s1", "_s2").agg(F.min("region").alias("region"))
-    open_ = left.join(told_apart.select("region", "count"), "region").withColumn("away", F.array().cast("array<float>"))
-    open_ = held.keep(open_.select("region", "item", "size", "away", "root", "count"), "open")
-    held.drop("unsettled")
-    turn = 0
-    while not open_.isEmpty() and turn < ROUNDS and not open_.filter(F.col("count") > CELL).isEmpty():
-        # The pivot comes from the region's smallest component first, from others in later rounds.
-        turned = F.xxhash64(F.lit(turn), "root") if turn else F.col("root")
-        first = F.min(F.struct(turned.alias("o"), "item", "size", "root")).alias("p")
-        pivots = open_.groupBy("region").agg(first).select("region", F.col("p.item").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.root").alias("pivot_root"))
-        beside = open_.drop("count").join(pivots, "region")
-        possible = near_enough(F.least("size", "pivot_size"), F.greatest("size", "pivot_size"), percent) & (F.col("root") != F.col("pivot_root"))
-        told = linker.told(beside.filter(possible).select(F.col("item").alias("a"), F.col("pivot").alias("b")).distinct())
-        # Distance to this pivot; unknown where no comparison was needed.
-        far = F.coalesce(1 - F.col("shared") / F.col("together"), F.when(F.col("item") == F.col("pivot"), F.lit(0.0)))
-        marked = beside.join(told.select(F.col("a").alias("item"), F.col("b").alias("pivot"), "shared", "together"), ["item", "pivot"], "left")
-        marked = marked.select("region", "item", "size", F.concat("away", F.array(far.cast("float"))).alias("away"))
-        before = "open" if not turn else f"open{turn - 1}"
-        open_ = held.keep(unsettled(linker.rooted(marked)), f"open{turn}")
-        held.drop(before, *[x for x in held.paths if x.startswith("told")])
-        turn += 1
-    if not open_.isEmpty():
-        linker.told(held.keep(windows(open_, epsilon, percent, turn).distinct(), "pairs"))
-    return linker.labels
-
-
-def windows(rows: DataFrame, epsilon: float, percent: int, pivots: int) -> DataFrame:
-    """Pairs (a, b) of one region that its pivots leave possible: other component, like size, like distances.
-
-    Rows go to the ring of their distance to the first pivot, and as window rows to the ring before. A ring with more than ``CELL`` rows is cut
-    into chunks that meet two by two, so no task holds more than two chunks.
+
+    def met(cells: DataFrame) -> DataFrame:
+        placed = cells.join(payload, "item").repartition("cell").sortWithinPartitions("cell")
+        return placed.mapInPandas(compare, "a long, b long")
+
+    def labelled(links: DataFrame, turn: str) -> DataFrame:
+        out = held.keep(components(links, held, f"{name}{turn}-"), f"{name}labels{turn}")
+        held.drop(*[x for x in held.paths if x.startswith(f"{name}{turn}-")])
+        return out
+
+    sized = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("l"))
+    large = held.keep(sized.select("group", "n", _chunks("n", "l").alias("chunks")).filter("chunks > 1"), f"{name}large")
+    # About ``COMMON`` members of a large group are in each of its chunks, which connects copies across the chunks.
+    common = F.coalesce(F.pmod(F.xxhash64("item", F.lit(2)), F.col("n")) < COMMON, F.lit(False))
+    chunk = F.pmod(F.xxhash64("item"), F.coalesce("chunks", F.lit(1))).cast("int")
+    chunks = F.when(common, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    cells = members.join(listed(large), "group", "left").withColumn("chunk", F.explode(chunks))
+    cells = cells.select("item", F.col("item").alias("root"), F.xxhash64("group", "chunk").alias("cell"))
+    labels = labelled(met(cells), "1")
+    if large.isEmpty():
+        return labels
+    # Groups of several chunks: what is outside the largest component meets all chunks.
+    again = members.join(listed(large.select("group")), "group").join(labels.withColumnRenamed("node", "item"), "item", "left")
+    again = held.keep(again.withColumn("root", F.coalesce("root", "item")), f"{name}again")
+    tally = again.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("l"))
+    ends = tally.groupBy("group").agg(F.max(F.struct("n", "l", "root")).alias("most"), F.sum("n").alias("n"), F.sum("l").alias("l"))
+    ends = ends.select("group", F.col("most.root").alias("main"), F.col("most.n").alias("n1"), F.col("most.l").alias("l1"), (F.col("n") - F.col("most.n")).alias("n2"), (F.col("l") - F.col("most.l")).alias("l2"))
+    ends = ends.filter("n2 > 0").select("group", "main", _chunks("n1", "l1").alias("c1"), _chunks("n2", "l2").alias("c2"))
+    placed = again.join(listed(held.keep(ends, f"{name}ends")), "group").withColumn("inside", F.col("root") == F.col("main"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(1)), F.when(F.col("inside"), F.col("c1")).otherwise(F.col("c2"))).cast("int"))
+
+    def cell(kind: int, x: Column, y: Column) -> Column:
+        return F.xxhash64("group", F.lit(kind), x, y)
+
+    def upto(count: str) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    outside = F.transform(upto("c1"), lambda k: cell(0, k, F.col("chunk")))
+    others = F.transform(F.filter(upto("c2"), lambda k: k != F.col("chunk")), lambda k: cell(1, F.least(k, F.col("chunk")), F.greatest(k, F.col("chunk"))))
+    own = F.transform(upto("c2"), lambda k: cell(0, F.col("chunk"), k))
+    cells = placed.select("item", "root", F.explode(F.when(F.col("inside"), own).otherwise(F.concat(outside, others))).alias("cell"))
+    known = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return labelled(met(cells).unionByName(known), "2")
+
+
+def link(members: DataFrame, sketches: DataFrame, texts_of, sets_of, percent: int, held: Staging) -> DataFrame:
+    """(node, root) of all items that are linked: those that share a group of ``members`` (group, item) and are alike, to ``percent`` at least.
+
+    ``sketches`` has (item, size, marks) of every member, ``texts_of`` gives (item, text) for items, ``sets_of`` the distinct elements of texts.
     """
-    first = F.get("away", F.lit(0))
-    ring = F.floor(F.coalesce(first, F.lit(-1.0)) / F.lit(epsilon + 1e-6)) if pivots else F.lit(0).cast("bigint")
-    chunks = F.ceil(F.col("count") / CELL).cast("int")
-    placed = rows.withColumn("ring", ring).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(1)), F.col("chunks")).cast("int"))
-    # An unknown distance (sizes too unlike to compare with the pivot) may fall in any ring.
-    unknown = first.isNull() if pivots else F.lit(False)
-    last = F.lit(int(1 / epsilon) + 1).cast("bigint")
-    rings = F.when(unknown, F.sequence(F.lit(-1).cast("bigint"), last)).otherwise(F.array(F.col("ring"), F.col("ring") - 1)) if pivots else F.array("ring")
-    dealt = placed.withColumn("at", F.explode(rings)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    own = unknown | (F.col("ring") == F.col("at"))
-    cell = ["region", "at", "c1", "c2"]
-    cells = dealt.select(
-        "region", "at", F.least("chunk", "with").alias("c1"), F.greatest("chunk", "with").alias("c2"),
-        *[F.col(c).alias(f"{c}_a") for c in ("item", "size", "root", "away", "chunk")], own.alias("own_a"),
-    )
-    other = cells.select(*cell, *[F.col(c).alias(c[:-1] + "b") for c in cells.columns[4:]])
-    possible = near_enough(F.least("size_a", "size_b"), F.greatest("size_a", "size_b"), percent)
-    for k in range(pivots):
-        gap = F.abs(F.element_at("away_a", k + 1) - F.element_at("away_b", k + 1))
-        possible = possible & F.coalesce(gap <= F.lit(epsilon + 1e-6), F.lit(True))
-    same_chunk = (F.col("c1") == F.col("c2")) | (F.col("chunk_a") != F.col("chunk_b"))
-    wanted = (F.col("item_a") > F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("own_a") | F.col("own_b"))
-    return cells.join(other, cell).filter(wanted & same_chunk & possible).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
+    clusters = linked(members.withColumn("load", F.lit(0)), sketches, by_bitmaps(percent), held, "near")
+    texts = held.keep(texts_of(clusters.select(F.col("node").alias("item"))), "clustered")
+    told = clusters.select(F.col("root").alias("group"), F.col("node").alias("item"))
+    told = told.join(texts.select("item", F.length("text").cast("long").alias("load")), "item")
+    return linked(told, texts, by_sets(sets_of, percent), held, "links")

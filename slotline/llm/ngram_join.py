@@ -5,7 +5,8 @@ pivots breaks the tie, so its Voronoi region is that of its first shingle. The t
 can be: with at least 75 % in common, two documents share one of their first n - ceil(0.75 n) + 1 shingles, so replicating a document to the
 regions of these keeps every pair together. The order puts shingles that are frequent in a sample last, which keeps regions small; any order is exact.
 
-Level two, inside a region: documents are pivots (``linking``), rings of their distances are the windows, and the rest meets recursively.
+Level two: bitmaps connect the members of a region that can be alike to clusters (``linking``); inside a cluster documents are pivots, and rings of
+their exact distances are the windows.
 """
 
 from __future__ import annotations
@@ -19,21 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotline.llm.common import unwrapped, wrapped
-from slotline.llm.linking import Linker, ask_pivots, bitmap, link, listed, shared_regions
-from slotline.session import Staging
+from slotline.llm.linking import bitmap, distinct, link, listed, mixed, shared_regions
+from slotline.session import Staging, free_shuffles
 
 WORDS, PERCENT = 5, 75
 SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
-LEAST = 3  # smallest shingles by hash that near copies meet by first
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _KEPT = 400_000
-REGIONS = 2_000_000  # shared regions (8 bytes each) that are broadcast; more are joined by a shuffle
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class WordHashes(dict):
@@ -59,7 +52,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     total = np.zeros(len(h) - WORDS + 1, np.uint64)
     for k in range(WORDS):
         total += h[k : len(h) - WORDS + 1 + k] * _MULTIPLIERS[k]
-    return np.unique(mixed(total)).view(np.int64)
+    return distinct(mixed(total)).view(np.int64)
 
 
 def digest(elements: np.ndarray) -> int:
@@ -72,7 +65,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, content, size, item, least, prefix, marks) per row; ``frequent`` holds sample-frequent shingles, the most frequent last.
+    """(id, content, size, item, prefix, marks) per row; ``frequent`` holds sample-frequent shingles, the most frequent last.
 
     Ids pass through Python as texts, which changes none of them.
     """
@@ -88,17 +81,16 @@ def _summaries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            sizes, items, prefixes, marks, least = [], [], [], [], []
+            sizes, items, prefixes, marks = [], [], [], []
             for text in frame["text"]:
                 s = shingles(text, hashes)
                 sizes.append(len(s))
                 items.append(digest(s))
                 prefixes.append(s[np.lexsort((s, rank(s)))][: prefix_length(len(s))] if len(s) else s)
-                marks.append(bitmap(s))
-                least.append(s[:LEAST])
-            yield pd.DataFrame({"id": frame["id"], "content": frame["content"], "marks": marks, "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "least": least, "prefix": prefixes})
+                marks.append(bitmap(s) if len(s) else b"")
+            yield pd.DataFrame({"id": frame["id"], "content": frame["content"], "marks": marks, "size": np.array(sizes, np.int32), "item": np.array(items, np.int64), "prefix": prefixes})
 
-    schema = "id string, content long, size int, item long, least array<long>, prefix array<long>, marks array<long>"
+    schema = "id string, content long, size int, item long, prefix array<long>, marks binary"
     named = docs.select(F.col("id").cast("string").alias("id"), "text", F.xxhash64("text").alias("content"))
     return named.mapInPandas(one, schema).withColumn("id", F.col("id").cast(kind))
 
@@ -140,27 +132,20 @@ def classes(docs: DataFrame, held: Staging, id_col: str = "doc_id", text_col: st
     told = held.keep(rows.select("id", F.col("size").cast("long").alias("n_shingles"), "item"), "rows")
     # Copies of a set fall together in the grouped minimum; from here on sets are worked on, not rows.
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "content")).alias("at")
-    own = [F.first(c).alias(c) for c in ("marks", "least", "prefix")]
-    one = held.keep(rows.filter("size > 0").groupBy("item").agg(first, F.min("size").alias("n"), *own), "sets")
+    own = [F.first(c).alias(c) for c in ("marks", "prefix")]
+    one = held.keep(rows.filter("size > 0").groupBy("item").agg(first, F.min("size").alias("size"), *own), "sets")
     held.drop("summaries")
     chosen = one.select("item", "at.id", "at.content")
 
     def texts_of(items: DataFrame) -> DataFrame:
         return _texts(plain, chosen.join(items, "item"))
 
-    linker = Linker(texts_of, _sets_of, percent, held, one.select("item", "n", "marks"))
-    # Near copies agree in one of their smallest shingles nearly always. Their links are not complete yet, but regions that hold
-    # nothing but one group of copies are settled before any of their rows moves.
-    met = one.select(F.explode("least").alias("region"), "item", F.col("n").alias("size"))
-    ask_pivots(linker, met)
-    sets = linker.rooted(one.select("item", F.col("n").alias("size"), "prefix"))
-    spread = sets.select(F.explode("prefix").alias("region"), "item", "size", "root")
-    shared = held.keep(shared_regions(spread), "shared")
-    few = shared.count() <= REGIONS
-    members = held.keep(spread.drop("root").join(F.broadcast(shared) if few else shared, "region"), "members")
-    roots = link(members, linker) if not members.isEmpty() else linker.labels
-    if roots is None:
+    prefixes = one.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    members = held.keep(shared_regions(one.select(F.explode("prefix").alias("region"), "item"), prefixes), "members")
+    free_shuffles(docs.sparkSession)
+    if members.isEmpty():
         return told.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("item")))
+    roots = link(members, one.select("item", "size", "marks"), texts_of, _sets_of, percent, held)
     joined = told.join(roots.select(F.col("node").alias("item"), "root"), "item", "left")
     return joined.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "item")))
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotline.llm.common import row_key, unwrapped, wrapped
-from slotline.llm.linking import bitmap, link, listed, mixed, shared_regions
+from slotline.llm.linking import bitmap, distinct, link, listed, mixed, shared_regions
 from slotline.session import Staging, free_shuffles
 
 SHINGLE, BANDS, ROWS, PERCENT, SEED = 8, 10, 3, 75, 17
-CHUNK = 200_000  # characters hashed at a time
+CHUNK = 64_000  # characters hashed at a time; their hashes fit into a core's cache
 WRITTEN = 2_000_000  # characters whose lines are handed over at a time
 
 NO_BANDS = np.zeros(0, np.int64)
@@ -56,12 +56,16 @@ def band_keys(lines: list[str]) -> np.ndarray:
     """One row of ``BANDS`` 64-bit keys per line."""
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     hashes, firsts = shingle_hashes(lines)
+    least, product = np.empty((BANDS * ROWS, len(lines)), np.uint64), np.empty_like(hashes)
+    for k, factor in enumerate(factors):
+        np.multiply(hashes, factor, out=product)
+        np.minimum.reduceat(product, firsts, out=least[k])
+    least >>= np.uint64(32)
     keys = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, np.uint64)
         for r in range(ROWS):
-            least = np.minimum.reduceat((hashes * factors[b * ROWS + r]) >> np.uint64(32), firsts)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
         keys[:, b] = key
     return keys.view(np.int64)
 
@@ -139,7 +143,8 @@ def sets_of(lines: list[str]) -> list[np.ndarray]:
     sets = []
     for part in in_chunks(lines):
         hashes, firsts = shingle_hashes(part)
-        sets += [np.unique(x).view(np.int64) for x in np.split(hashes, firsts[1:])]
+        ends = np.append(firsts[1:], len(hashes))
+        sets += [distinct(hashes[a:b]).view(np.int64) for a, b in zip(firsts, ends)]
     return sets
 
 

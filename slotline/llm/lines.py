@@ -153,8 +153,12 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = sets_of(frame["text"].tolist())
-            yield pd.DataFrame({"item": frame["item"], "size": np.array([len(s) for s in sets], np.int32), "marks": [bitmap(s) for s in sets]})
+            sizes, marks = [], []
+            for part in in_chunks(frame["text"].tolist()):
+                sets = sets_of(part)
+                sizes += map(len, sets)
+                marks += map(bitmap, sets)
+            yield pd.DataFrame({"item": frame["item"], "size": np.array(sizes, np.int32), "marks": marks})
 
     return texts.mapInPandas(one, "item long, size int, marks binary")
 

@@ -26,12 +26,12 @@ from slotline.session import Staging
 FEW = 500_000  # links that one task may join
 LEAST_BITS, MOST_BITS = 128, 1 << 16  # of a bitmap; larger sets than that may meet in vain
 CELL = 2048  # members of a chunk; a task compares those of one or two
-LOAD = 2_000_000  # characters of a chunk
-COMMON = 16  # members that all chunks of a group have in common, about
+LOAD = 500_000  # characters of a chunk
+COMMON = 16  # members, at most about, that all chunks of a group have in common
 SMALL = 24  # members of a group whose pairs are listed at once with those of other groups
 PIVOTS = 3  # pivots whose distances are kept as rings
 BLOCK = 1 << 16  # pairs whose bitmaps are compared at once
-PART = 1_000_000  # memberships that one task sorts
+PART = 500_000  # memberships that one task sorts
 SHORT = 200_000  # rows of a list that is broadcast
 
 
@@ -332,8 +332,8 @@ def linked(members: DataFrame, payload: DataFrame, compare, held: Staging, name:
 
     sized = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("l"))
     large = held.keep(sized.select("group", "n", _chunks("n", "l").alias("chunks")).filter("chunks > 1"), f"{name}large")
-    # About ``COMMON`` members of a large group are in each of its chunks, which connects copies across the chunks.
-    common = F.coalesce(F.pmod(F.xxhash64("item", F.lit(2)), F.col("n")) < COMMON, F.lit(False))
+    # A few members of a large group, fewer than a chunk's own, are in each of its chunks, which connects copies across the chunks.
+    common = F.coalesce(F.pmod(F.xxhash64("item", F.lit(2)), F.col("n")) < F.least(F.lit(COMMON), F.col("n") / (4 * F.col("chunks"))), F.lit(False))
     chunk = F.pmod(F.xxhash64("item"), F.coalesce("chunks", F.lit(1))).cast("int")
     chunks = F.when(common, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
     cells = members.join(listed(large), "group", "left").withColumn("chunk", F.explode(chunks))

@@ -26,7 +26,7 @@ from slotline.session import Staging, free_shuffles
 WORDS, PERCENT = 5, 75
 SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_KEPT = 400_000
+_KEPT = 150_000
 
 
 class WordHashes(dict):

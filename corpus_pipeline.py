@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from slotline.llm import lines, mixing, ngram_join, packing, quality
 from slotline.llm.common import table
-from slotline.session import scratch_path
+from slotline.session import bound_batches, scratch_path
+
+#: One set of executors serves all stages, and what a batch took of their memory is seldom given back; so batches are smaller than those of one operator alone.
+BATCH_BYTES = 4 << 20
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +34,21 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.report(docs)
 
 
+def _in_small_batches(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", good_documents),
-    ("line dedup", distinct_lines),
-    ("n-gram Jaccard join", distinct_documents),
-    ("mixing sources to target weights", mixed_documents),
-    ("best-fit packing", packed_sequences),
+    ("quality classifier", _in_small_batches(good_documents)),
+    ("line dedup", _in_small_batches(distinct_lines)),
+    ("n-gram Jaccard join", _in_small_batches(distinct_documents)),
+    ("mixing sources to target weights", _in_small_batches(mixed_documents)),
+    ("best-fit packing", _in_small_batches(packed_sequences)),
 ]
 
 #: No SQL: a trained classifier decides what the later stages see. Each stage is tested against brute force instead.

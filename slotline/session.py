@@ -90,12 +90,12 @@ def free_shuffles(spark: SparkSession) -> None:
 BATCH_BYTES = 16 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Rows may be long texts: what a Python worker gets at a time is bounded by bytes, not only by rows. A bound set in another unit stays."""
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Rows may be long texts: what a Python worker gets at a time is bounded by bytes, not only by rows. A bound set in another unit, or a lower one, stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     known = spark.conf.get(name).rstrip("bB")
-    if known.isdigit() and int(known) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if known.isdigit() and int(known) > most:
+        spark.conf.set(name, str(most))
 
 
 class Staging:

@@ -676,6 +676,36 @@ def test_isotonic_equals_min_max():
         assert np.allclose(quality.pool(sums, counts), want)
 
 
+def test_pipeline_hands_python_little_at_a_time(spark, small, monkeypatch):
+    import pandas as pd
+
+    import corpus_pipeline
+
+    def received(frames):
+        for f in frames:
+            yield pd.DataFrame({"size": [f["text"].str.len().sum()]})
+
+    def measured(docs, *more):
+        return docs.select("text").mapInPandas(received, "size long")
+
+    for module, name in ((quality, "keep_good"), (lines, "without_repeats"), (ngram_join, "keep_one"), (mixing, "mixed_rows"), (packing, "report")):
+        monkeypatch.setattr(module, name, measured)
+    docs = spark.range(12, numPartitions=1).select(F.expr("repeat('x', 1000000)").alias("text"))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(bound, str(16 << 20))
+            sizes = [r["size"] for r in stage(spark, docs, small).collect()]
+            assert sum(sizes) == 12_000_000, name
+            assert max(sizes) <= (4 << 20) + 1_000_000, name
+        spark.conf.set(bound, str(1 << 20))
+        corpus_pipeline.STAGES[0][1](spark, docs, small)
+        assert spark.conf.get(bound) == str(1 << 20)
+    finally:
+        spark.conf.set(bound, before)
+
+
 # --- edges of the pipeline's stages -------------------------------------------
 
 LARGE = 2**53 + 1

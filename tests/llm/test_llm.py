@@ -254,6 +254,31 @@ def test_collision_rate_is_weighted_jaccard(spark):
     assert abs(np.mean(gaps)) < 0.03 and np.std(gaps) < 0.1
 
 
+def test_near_words_give_the_same_samples(spark):
+    r = np.random.default_rng(4)
+    sizes = [1, 2, 5, 60, 2000]
+    rows = [(k, int(w), int(r.integers(0, 2)) + int(w % 40 == 0) * int(r.integers(0, 9)), int(r.integers(0, 3))) for k, n in enumerate(sizes) for w in range(n)]
+    rows += [(9, w, 0, 1) for w in range(300)]
+    df = spark.createDataFrame(rows, "key long, word long, a long, b long")
+    whole = {x.key: x for x in fingerprints.sample(df.repartition(2, "key"), "key", ["a", "b"]).collect()}
+    for depth, all_sure in ((24.0, True), (1.0, False)):
+        ends = df.groupBy("key").agg(
+            *[F.when(F.sum(c) > 0, F.log(F.lit(depth) / F.sum(c))).alias(f"x_{c}") for c in "ab"]
+        )
+        near = fingerprints.sample_near(df.join(ends, "key").repartition(2, "key"), "key", ["a", "b"], ["x_a", "x_b"]).collect()
+        sure = {x.key for x in near if x.sure}
+        assert (sure == {k for k, *w in rows if any(w[1:])}) == all_sure
+        for x in near:
+            if x.sure:
+                assert (x.samples_0, x.samples_1) == (whole[x.key].samples_0, whole[x.key].samples_1)
+
+
+def test_fingerprints_scored_again(spark, docs):
+    """With a depth at which most documents stay uncertain, all rows are as ever."""
+    want = sorted(map(repr, fingerprints.report(docs).collect()))
+    assert sorted(map(repr, fingerprints.report(docs, depth=0.5).collect())) == want
+
+
 # --- components, 5 lines, 8 n-gram join --------------------------------------
 
 
